@@ -69,4 +69,4 @@ def since(ts, as_of, amount: int, unit: str) -> Column:
 def add_hours(ts, hours) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
     h = hours if isinstance(hours, Column) else F.lit(int(hours))
-    return F.timestampadd("HOUR", h, c)
+    return F.timestamp_add("HOUR", h, c)

@@ -92,22 +92,33 @@ def interval_join(
     bucket: int | None = None,
     left_alias: str = "l",
     right_alias: str = "r",
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner band join ``lo <= right_t - left_t <= hi`` on equal ``keys``.
+    """Band join ``lo <= right_t - left_t <= hi`` on equal ``keys``.
 
     ``left_t``/``right_t`` are integer time expressions (e.g. epoch seconds) evaluated on
-    each side. Each left row is copied to the (at most two) right buckets its band can
-    touch; the equi-join on (keys, bucket) keeps a hot key spread over many tasks, and the
-    exact band plus ``residual`` is applied afterwards. Columns are addressed as
-    ``l.<col>`` / ``r.<col>`` in ``residual`` and the output.
+    each side. One side is copied to the (at most two) buckets of the other side its band
+    can touch; the equi-join on (keys, bucket) keeps a hot key spread over many tasks, and
+    the exact band plus ``residual`` is applied afterwards. Columns are addressed as
+    ``l.<col>`` / ``r.<col>`` in ``residual`` and in the output of an inner join.
+    ``how='left_semi'`` / ``'left_anti'`` copy the right side instead, so every left row
+    is returned at most once (existence tests without materialising pairs).
     """
     width = int(bucket or max(hi - lo, 1))
     l = left.withColumn("_bt", left_t.cast("long"))
     r = right.withColumn("_bt", right_t.cast("long"))
-    first = F.floor((F.col("_bt") + F.lit(lo)) / F.lit(width)).cast("long")
-    last = F.floor((F.col("_bt") + F.lit(hi)) / F.lit(width)).cast("long")
-    l = l.withColumn("_bk", F.explode(F.sequence(first, last)))
-    r = r.withColumn("_bk", F.floor(F.col("_bt") / F.lit(width)).cast("long"))
+    if how == "inner":
+        first = F.floor((F.col("_bt") + F.lit(lo)) / F.lit(width)).cast("long")
+        last = F.floor((F.col("_bt") + F.lit(hi)) / F.lit(width)).cast("long")
+        l = l.withColumn("_bk", F.explode(F.sequence(first, last)))
+        r = r.withColumn("_bk", F.floor(F.col("_bt") / F.lit(width)).cast("long"))
+    elif how in ("left_semi", "left_anti"):
+        first = F.floor((F.col("_bt") - F.lit(hi)) / F.lit(width)).cast("long")
+        last = F.floor((F.col("_bt") - F.lit(lo)) / F.lit(width)).cast("long")
+        r = r.withColumn("_bk", F.explode(F.sequence(first, last)))
+        l = l.withColumn("_bk", F.floor(F.col("_bt") / F.lit(width)).cast("long"))
+    else:
+        raise ValueError(f"interval_join: unsupported how={how}")
     la, ra = l.alias(left_alias), r.alias(right_alias)
     cond = [F.col(f"{left_alias}.{k}") == F.col(f"{right_alias}.{k}") for k in keys]
     cond.append(F.col(f"{left_alias}._bk") == F.col(f"{right_alias}._bk"))
@@ -115,7 +126,9 @@ def interval_join(
     cond.append(delta.between(lo, hi))
     if residual is not None:
         cond.append(residual)
-    out = la.join(ra, on=_and(cond), how="inner")
+    out = la.join(ra, on=_and(cond), how=how)
+    if how != "inner":
+        out = out.drop("_bt", "_bk")
     return out
 
 

@@ -130,3 +130,113 @@ def _sanctioned(i: Inputs) -> DataFrame:
 @query("rule_mixer")
 def _mixer(i: Inputs) -> DataFrame:
     return R.mixer(i.transfers, i.wallets, C_AS_OF, DEFAULT_RULES)
+
+
+# ------------------------------------------------------------------ trade features
+
+from tradewatch.plans import features as FE  # noqa: E402
+from tradewatch.plans import scoring as SC  # noqa: E402
+
+
+@query("trade_rolling_1h")
+def _roll_1h(i: Inputs) -> DataFrame:
+    pw = FE.pair_windows(FE.base_trades(i.trades, T_AS_OF), frames=("1h",))
+    return pw.select("trade_id", "trade_count_1h", "volume_usd_1h", "avg_price_1h", "price_stddev_1h",
+                     "buy_vol_1h", "sell_vol_1h")
+
+
+@query("trade_rolling_4h")
+def _roll_4h(i: Inputs) -> DataFrame:
+    pw = FE.pair_windows(FE.base_trades(i.trades, T_AS_OF), frames=("4h",))
+    return pw.select("trade_id", "trade_count_4h", "volume_usd_4h", "avg_price_4h", "price_stddev_4h")
+
+
+@query("trade_rolling_24h")
+def _roll_24h(i: Inputs) -> DataFrame:
+    pw = FE.pair_windows(FE.base_trades(i.trades, T_AS_OF), frames=("24h",))
+    return pw.select("trade_id", "trade_count_24h", "volume_usd_24h", "avg_price_24h", "price_max_24h",
+                     "price_min_24h", "buy_vol_24h", "sell_vol_24h", "maker_count_24h")
+
+
+@query("trade_rolling_7d")
+def _roll_7d(i: Inputs) -> DataFrame:
+    aw = FE.account_windows(FE.base_trades(i.trades, T_AS_OF))
+    return aw.select("trade_id", "trade_count_7d", "volume_usd_7d", "avg_trade_size_7d", "trade_size_stddev_7d")
+
+
+@query("trade_ratios")
+def _ratios(i: Inputs) -> DataFrame:
+    base = FE.base_trades(i.trades, T_AS_OF)
+    pw = FE.pair_windows(base, frames=("1h", "24h"))
+    aw = FE.account_windows(base).select("trade_id", "volume_usd_7d")
+    r = FE.ratios(pw.join(aw, on="trade_id", how="inner"))
+    return r.select("trade_id", "buy_sell_ratio_1h", "buy_sell_ratio_24h", "price_range_pct_24h",
+                    "volume_spike_ratio_1h", "maker_ratio_24h")
+
+
+@query("venue_distinct")
+def _venues(i: Inputs) -> DataFrame:
+    return FE.venue_distinct(FE.base_trades(i.trades, T_AS_OF))
+
+
+@query("wash_signal")
+def _wash_signal(i: Inputs) -> DataFrame:
+    return FE.wash_signal(i.trades, T_AS_OF)
+
+
+@query("cancelled_orders_1h")
+def _cancel_signal(i: Inputs) -> DataFrame:
+    return FE.cancel_signal(i.trades, i.orders, T_AS_OF)
+
+
+@query("trade_features")
+def _trade_features(i: Inputs) -> DataFrame:
+    """Flagship: every rolling feature of every trade of the last 30 days."""
+    return FE.trade_features(i.trades, i.orders, T_AS_OF)
+
+
+# ------------------------------------------------------------------ entity features and scores
+
+
+def entity_features(i: Inputs) -> DataFrame:
+    return FE.entity_features(i.entities, i.trades, i.transfers, i.wallets, T_AS_OF,
+                              account_map=i.account_map, onchain_as_of=C_AS_OF)
+
+
+@query("entity_onchain_stats")
+def _onchain_stats(i: Inputs) -> DataFrame:
+    return FE.onchain_stats(i.transfers, i.wallets, C_AS_OF)
+
+
+@query("entity_cex_stats")
+def _cex_stats(i: Inputs) -> DataFrame:
+    return FE.cex_stats(i.trades, T_AS_OF, i.account_map)
+
+
+@query("entity_burst")
+def _burst(i: Inputs) -> DataFrame:
+    return FE.burst_stats(i.trades, T_AS_OF, i.account_map)
+
+
+@query("entity_features")
+def _entity_features(i: Inputs) -> DataFrame:
+    return entity_features(i)
+
+
+@query("rule_score")
+def _rule_score(i: Inputs) -> DataFrame:
+    ef = entity_features(i)
+    return ef.select("entity_id", SC.score_column(ef).alias("ml_fraud_probability"))
+
+
+@query("alert_scores")
+def _alert_scores(i: Inputs) -> DataFrame:
+    return SC.alert_scores(entity_features(i), T_AS_OF)
+
+
+@query("ml_score")
+def _ml_score(i: Inputs) -> DataFrame:
+    """Model-backed probability (rows-only check): GBT fitted on rule-derived labels."""
+    ef = entity_features(i)
+    model = SC.train_score_model(ef, SC.rule_labels(ef))
+    return SC.apply_score_model(model, ef)

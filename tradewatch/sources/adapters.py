@@ -330,7 +330,7 @@ def entities(customer: DataFrame) -> DataFrame:
         sanctions.alias("sanctions_flag"),
         F.lit(False).alias("adverse_media_flag"),
         F.when(F.col("c_nationkey") % 3 == 0, F.lit("INSTITUTIONAL")).otherwise(F.lit("INDIVIDUAL")).alias("account_type"),
-        F.timestampadd("HOUR", k, F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")).alias("onboarded_at"),
+        F.timestamp_add("HOUR", k, F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")).alias("onboarded_at"),
         F.lit("ACTIVE").alias("status"),
     )
 
@@ -381,11 +381,11 @@ def cases_store(orders_t: DataFrame) -> DataFrame:
         prio.alias("composite_severity"),
         F.when(k % 5 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("analyst_"), (k % 5).cast("string"))).alias("assigned_to"),
-        F.timestampadd("HOUR", sla, created).alias("due_by"),
+        F.timestamp_add("HOUR", sla, created).alias("due_by"),
         (k % 7 == 0).alias("sla_breached"),
         F.when(closed, F.when(k % 4 == 0, F.lit("FALSE_POSITIVE")).otherwise(F.lit("TRUE_POSITIVE"))).alias("resolution_type"),
         created.alias("created_at"),
         created.alias("updated_at"),
-        F.when(closed, F.timestampadd("HOUR", k % 200, created)).alias("closed_at"),
+        F.when(closed, F.timestamp_add("HOUR", k % 200, created)).alias("closed_at"),
         F.lit("SEED").alias("created_by"),
     )
