@@ -180,7 +180,7 @@ FROM events
 CTES["cases_store"] = """
 SELECT 'C' || CAST(o_orderkey AS VARCHAR) AS case_id,
        'CASE-' || strftime(o_orderdate, '%Y%m%d') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 5, '0') AS case_ref,
-       'ENT' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS entity_id,
+       'ENT' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS entity_id,
        CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'P' THEN 'IN_REVIEW' WHEN 'F' THEN 'CLOSED' ELSE 'OPEN' END AS state,
        CASE o_orderpriority WHEN '1-URGENT' THEN 'CRITICAL' WHEN '2-HIGH' THEN 'HIGH'
             WHEN '3-MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END AS priority,

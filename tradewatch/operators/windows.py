@@ -151,3 +151,45 @@ def rows_last_non_null(
     y = x.join(vals, on=[*keys, "_last_nn"], how="left")
     y = y.withColumn(out, F.when(F.col("_idx") - F.col("_last_nn") <= preceding, F.col("_v_back")))
     return y.drop("_nn", "_nn_in", "_nn_before", "_last_nn", "_v_back", "_idx", "_slice")
+
+
+def global_row_number(df: DataFrame, order: Sequence[Column | str], out: str = "_rownum") -> DataFrame:
+    """1-based position of every row in the total order ``order`` (a distributed
+    zipWithIndex): a range-partitioned sort, per-partition row counts (one small row per
+    partition), their running offsets, and offset + position inside the partition.
+
+    No step moves all rows into one task. The sorted frame is checkpointed (reliable
+    checkpoint folder) so that the partition ids used for the counts and for the rows are
+    the same ones, also after an executor loss.
+    """
+    from tradewatch.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    ordc = [F.col(c) if isinstance(c, str) else c for c in order]
+    mid = F.monotonically_increasing_id()
+    s = df.orderBy(*ordc).withColumn("_mid", mid).checkpoint(eager=True)
+    s = s.withColumn("_part", F.shiftright(F.col("_mid"), 33)).withColumn(
+        "_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    # one row per partition: a size bound independent of the data volume
+    r = s.join(F.broadcast(offsets), on="_part", how="inner")
+    return r.withColumn(out, (F.col("_off") + F.col("_pos") + F.lit(1)).cast("long")).drop(
+        "_mid", "_part", "_pos", "_off")
+
+
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
+          salt_buckets: int = 16, salt_col: str | None = None, rank_col: str = "_rank") -> DataFrame:
+    """The first ``k`` rows per ``keys`` in ``order`` (1-based ``rank_col``).
+
+    Two phases so a key with very many rows is never sorted whole in one task: the top ``k``
+    per (keys, salt) first (``salt`` = hash of ``salt_col`` or of the row), then the top
+    ``k`` of those at most ``k * salt_buckets`` candidates per key.
+    """
+    h = F.xxhash64(F.col(salt_col)) if salt_col else F.xxhash64(*[F.col(c) for c in df.columns])
+    x = df.withColumn("_salt", F.pmod(h, F.lit(salt_buckets)))
+    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    x = x.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt")
+    w2 = Window.partitionBy(*keys).orderBy(*order)
+    return x.withColumn(rank_col, F.row_number().over(w2)).filter(F.col(rank_col) <= k)

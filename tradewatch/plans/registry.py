@@ -240,3 +240,162 @@ def _ml_score(i: Inputs) -> DataFrame:
     ef = entity_features(i)
     model = SC.train_score_model(ef, SC.rule_labels(ef))
     return SC.apply_score_model(model, ef)
+
+
+# ------------------------------------------------------------------ alerts
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from tradewatch.plans import alerts as AL  # noqa: E402
+from tradewatch.plans import cases as CA  # noqa: E402
+from tradewatch.plans import context as CX  # noqa: E402
+from tradewatch.plans import governance as GV  # noqa: E402
+
+
+def alert_candidates(i: Inputs, shift_hours: int = 0) -> DataFrame:
+    """All six rules (widened trade parameters so the synthetic trades produce hits),
+    shaped, resolved to entities and scored. ``shift_hours`` moves the detection time."""
+    def later(df: DataFrame) -> DataFrame:
+        if not shift_hours:
+            return df
+        return df.withColumn("detected_at", F.timestamp_add("HOUR", F.lit(shift_hours), F.col("detected_at")))
+
+    shaped = AL.shape_rules(
+        pump=later(R.pump_dump(i.trades, None, T_AS_OF, WIDE_RULES)),
+        wash=later(R.wash_trades(i.trades, T_AS_OF, WIDE_RULES)),
+        sanctioned=later(R.sanctioned(i.transfers, i.wallets, C_AS_OF)),
+        cross=later(R.cross_venue(i.trades, T_AS_OF, WIDE_RULES)),
+        structuring=later(R.structuring(i.trades, T_AS_OF, WIDE_RULES)),
+        mixer=later(R.mixer(i.transfers, i.wallets, C_AS_OF)),
+    )
+    scores = SC.alert_scores(entity_features(i), T_AS_OF)
+    return AL.to_alerts(shaped, scores, i.account_map)
+
+
+def present_alerts(a: DataFrame) -> DataFrame:
+    return a.select(
+        *[c for c in AL.ALERT_COLUMNS if c not in ("rule_flags", "trade_ids", "tx_hashes")],
+        F.array_join(F.map_keys("rule_flags"), ",").alias("rule_flag"),
+        F.array_join("trade_ids", ",").alias("trade_ids"),
+        F.array_join("tx_hashes", ",").alias("tx_hashes"),
+    )
+
+
+@query("alerts_unified")
+def _alerts_unified(i: Inputs) -> DataFrame:
+    """First refresh into an empty store: one alert per hash, scores and tiers attached."""
+    store = AL.empty_store(i.spark)
+    return present_alerts(AL.refresh_alerts(store, alert_candidates(i)))
+
+
+@query("refresh_alerts_second_run")
+def _alerts_second(i: Inputs) -> DataFrame:
+    """Second refresh one hour later against the first run's store: only hashes outside
+    their rule's look-back come back (pump alerts hash the detection hour)."""
+    store = AL.refresh_alerts(AL.empty_store(i.spark), alert_candidates(i))
+    return present_alerts(AL.refresh_alerts(store, alert_candidates(i, shift_hours=1)))
+
+
+# ------------------------------------------------------------------ cases
+
+
+def present_cases(c: DataFrame) -> DataFrame:
+    return (c.withColumn("root_alert_ids", F.array_join("root_alert_ids", ","))
+            .withColumn("alert_types", F.array_join("alert_types", ",")))
+
+
+def new_cases(i: Inputs):
+    return CA.create_cases(i.alerts_store, i.cases_store, T_AS_OF)
+
+
+@query("create_cases")
+def _create_cases(i: Inputs) -> DataFrame:
+    cases, _ = new_cases(i)
+    return present_cases(cases)
+
+
+@query("alerts_linked")
+def _alerts_linked(i: Inputs) -> DataFrame:
+    _, linked = new_cases(i)
+    return linked
+
+
+@query("sla_breaches")
+def _sla(i: Inputs) -> DataFrame:
+    _, events = CA.check_sla(i.cases_store, C_AS_OF)
+    return events.select("event_id", "case_id", "event_type",
+                         F.col("event_data")["due_by"].alias("due_by"),
+                         F.col("event_data")["breached_at"].alias("breached_at"),
+                         F.col("event_data")["priority"].alias("priority"),
+                         "performed_by", "event_ts")
+
+
+def acted(i: Inputs):
+    return CA.apply_actions(i.cases_store, i.alerts_store, A.case_actions(i.table("orders")))
+
+
+@query("apply_actions")
+def _apply_actions(i: Inputs) -> DataFrame:
+    cases, _, _ = acted(i)
+    return present_cases(cases)
+
+
+@query("case_events_actions")
+def _action_events(i: Inputs) -> DataFrame:
+    _, _, events = acted(i)
+    return events.select("event_id", "case_id", "event_type",
+                         F.coalesce(F.col("event_data")["new_state"], F.col("event_data")["narrative_chars"]).alias("event_value"),
+                         "performed_by", "event_ts")
+
+
+@query("snapshot_diff")
+def _snapshot_diff(i: Inputs) -> DataFrame:
+    from tradewatch.operators.state import snapshot_diff
+    before = CA._with_case_defaults(i.cases_store)
+    after, _, _ = acted(i)
+    return present_cases(snapshot_diff(before, after, ["case_id"]))
+
+
+# ------------------------------------------------------------------ governance
+
+
+@query("mask_admin")
+def _mask_admin(i: Inputs) -> DataFrame:
+    return GV.mask(i.entities, "SURVEILLANCE_ADMIN")
+
+
+@query("mask_analyst")
+def _mask_analyst(i: Inputs) -> DataFrame:
+    return GV.mask(i.entities, "SURVEILLANCE_ANALYST")
+
+
+@query("mask_other")
+def _mask_other(i: Inputs) -> DataFrame:
+    return GV.mask(i.entities, "SURVEILLANCE_ML")
+
+
+@query("scope_cases")
+def _scope(i: Inputs) -> DataFrame:
+    return GV.scope_cases(i.cases_store, "SURVEILLANCE_AUDITOR", "analyst_1")
+
+
+# ------------------------------------------------------------------ context / prompt
+
+
+def contexts(i: Inputs) -> DataFrame:
+    cases, linked = new_cases(i)
+    return CX.case_context(cases, i.entities, entity_features(i), linked)
+
+
+@query("case_context")
+def _case_context(i: Inputs) -> DataFrame:
+    ctx = contexts(i)
+    recent = F.array_join(F.transform(F.col("recent_alerts"), lambda a: F.concat_ws(
+        "|", a["severity"], a["alert_type"], F.date_format(a["detected_at"], "yyyy-MM-dd HH:mm:ss"))), ";")
+    return (ctx.withColumn("alert_types", F.array_join("alert_types", ","))
+            .withColumn("recent_alerts", recent))
+
+
+@query("case_prompt")
+def _case_prompt(i: Inputs) -> DataFrame:
+    return CX.case_prompt(contexts(i))

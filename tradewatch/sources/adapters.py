@@ -362,7 +362,8 @@ def alerts_store(events: DataFrame) -> DataFrame:
 
 
 def cases_store(orders_t: DataFrame) -> DataFrame:
-    """Case store for the reports: one case per order."""
+    """Case store for the reports: one case per order, for the entity numbered like the
+    order (so some entities have open cases, some only closed ones, most none)."""
     k = F.col("o_orderkey")
     state = _map(CASE_STATE_BY_STATUS, F.col("o_orderstatus"), "OPEN")
     prio = _map(PRIORITY_BY_ORDER_PRIORITY, F.col("o_orderpriority"), "LOW")
@@ -373,7 +374,7 @@ def cases_store(orders_t: DataFrame) -> DataFrame:
         F.concat(F.lit("C"), k.cast("string")).alias("case_id"),
         F.concat(F.lit("CASE-"), F.date_format(created, "yyyyMMdd"), F.lit("-"),
                  F.lpad(k.cast("string"), 5, "0")).alias("case_ref"),
-        entity_of(F.col("o_custkey")).alias("entity_id"),
+        entity_of(k).alias("entity_id"),
         state.alias("state"),
         prio.alias("priority"),
         F.concat(F.lit("order "), k.cast("string")).alias("title"),
@@ -389,3 +390,50 @@ def cases_store(orders_t: DataFrame) -> DataFrame:
         F.when(closed, F.timestamp_add("HOUR", k % 200, created)).alias("closed_at"),
         F.lit("SEED").alias("created_by"),
     )
+
+
+def case_actions(orders_t: DataFrame) -> DataFrame:
+    """Analyst actions for the report cases: state changes on every 10th order's case, a
+    later second change on every 20th, a narrative on every 40th, and actions on unknown
+    cases for every 500th."""
+    k = F.col("o_orderkey")
+    d = F.col("o_orderdate")
+    base = orders_t.select("o_orderkey", "o_orderdate")
+    first = base.filter(k % 10 == 0).select(
+        F.concat(F.lit("A"), k.cast("string")).alias("action_id"),
+        F.concat(F.lit("C"), k.cast("string")).alias("case_id"),
+        F.lit("STATE_CHANGE").alias("action"),
+        F.when(k % 30 == 0, F.lit("FALSE_POSITIVE")).when(k % 30 == 10, F.lit("ESCALATED"))
+         .otherwise(F.lit("CLOSED")).alias("new_state"),
+        F.concat(F.lit("analyst_"), (k % 7).cast("string")).alias("analyst"),
+        F.lit(None).cast("string").alias("narrative"),
+        F.timestamp_add("DAY", F.lit(1), d).alias("action_ts"),
+    )
+    second = base.filter(k % 20 == 0).select(
+        F.concat(F.lit("B"), k.cast("string")).alias("action_id"),
+        F.concat(F.lit("C"), k.cast("string")).alias("case_id"),
+        F.lit("STATE_CHANGE").alias("action"),
+        F.lit("SAR_FILED").alias("new_state"),
+        F.concat(F.lit("analyst_"), (k % 7).cast("string")).alias("analyst"),
+        F.lit(None).cast("string").alias("narrative"),
+        F.timestamp_add("DAY", F.lit(2), d).alias("action_ts"),
+    )
+    narrative = base.filter(k % 40 == 0).select(
+        F.concat(F.lit("N"), k.cast("string")).alias("action_id"),
+        F.concat(F.lit("C"), k.cast("string")).alias("case_id"),
+        F.lit("NARRATIVE").alias("action"),
+        F.lit(None).cast("string").alias("new_state"),
+        F.lit("copilot").alias("analyst"),
+        F.concat(F.lit("Narrative for case C"), k.cast("string")).alias("narrative"),
+        F.timestamp_add("DAY", F.lit(3), d).alias("action_ts"),
+    )
+    unknown = base.filter(k % 500 == 0).select(
+        F.concat(F.lit("U"), k.cast("string")).alias("action_id"),
+        F.concat(F.lit("C-missing-"), k.cast("string")).alias("case_id"),
+        F.lit("STATE_CHANGE").alias("action"),
+        F.lit("CLOSED").alias("new_state"),
+        F.lit("analyst_x").alias("analyst"),
+        F.lit(None).cast("string").alias("narrative"),
+        F.timestamp_add("DAY", F.lit(1), d).alias("action_ts"),
+    )
+    return first.unionByName(second).unionByName(narrative).unionByName(unknown)
