@@ -14,7 +14,8 @@ def finish(df: DataFrame, scale: int = SCALE) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name), scale).alias(f.name))
+            # + 0.0 turns a rounded negative zero into zero
+            cols.append((F.round(F.col(f.name), scale) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

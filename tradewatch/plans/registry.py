@@ -399,3 +399,141 @@ def _case_context(i: Inputs) -> DataFrame:
 @query("case_prompt")
 def _case_prompt(i: Inputs) -> DataFrame:
     return CX.case_prompt(contexts(i))
+
+
+# ------------------------------------------------------------------ prices and labels
+
+from tradewatch.plans import prices as PX  # noqa: E402
+from tradewatch.plans import reports as RP  # noqa: E402
+
+
+@query("synthetic_prices")
+def _synthetic_prices(i: Inputs) -> DataFrame:
+    return PX.synthetic_prices(i.trades, T_AS_OF)
+
+
+@query("pivot_prices")
+def _pivot_prices(i: Inputs) -> DataFrame:
+    return PX.pivot_prices(PX.eav_from_trades(i.trades, T_AS_OF))
+
+
+@query("fx_rates")
+def _fx(i: Inputs) -> DataFrame:
+    return PX.fx_rates(PX.fx_from_lineitem(i.table("lineitem")))
+
+
+def market_prices(i: Inputs) -> DataFrame:
+    return PX.market_prices(PX.pivot_prices(PX.eav_from_trades(i.trades, T_AS_OF)),
+                            PX.synthetic_prices(i.trades, T_AS_OF))
+
+
+@query("market_prices")
+def _market_prices(i: Inputs) -> DataFrame:
+    return market_prices(i)
+
+
+@query("wallet_labels")
+def _wallet_labels(i: Inputs) -> DataFrame:
+    return PX.wallet_labels(i.wallets)
+
+
+@query("rule_pump_dump_priced")
+def _pump_priced(i: Inputs) -> DataFrame:
+    """Widened pump rule with the reference price of the pair's base asset ('-' separator)."""
+    from dataclasses import replace
+    return R.pump_dump(i.trades, market_prices(i), T_AS_OF, replace(WIDE_RULES, price_pair_separator="-"))
+
+
+# ------------------------------------------------------------------ reports
+
+
+@query("kris")
+def _kris(i: Inputs) -> DataFrame:
+    return RP.kris(i.alerts_store, i.cases_store, i.entities, T_AS_OF)
+
+
+@query("kpis")
+def _kpis(i: Inputs) -> DataFrame:
+    return RP.kpis(i.cases_store, C_AS_OF)
+
+
+@query("alert_volume")
+def _alert_volume(i: Inputs) -> DataFrame:
+    return RP.alert_volume(i.alerts_store, T_AS_OF)
+
+
+@query("entity_heatmap")
+def _heatmap(i: Inputs) -> DataFrame:
+    ef = entity_features(i)
+    return RP.entity_heatmap(i.entities, SC.alert_scores(ef, T_AS_OF), ef, i.alerts_store)
+
+
+@query("case_sla")
+def _case_sla(i: Inputs) -> DataFrame:
+    return RP.case_sla(i.cases_store, C_AS_OF)
+
+
+@query("trading_summary")
+def _trading_summary(i: Inputs) -> DataFrame:
+    return RP.trading_summary(i.trades, T_AS_OF)
+
+
+@query("onchain_flows")
+def _onchain_flows(i: Inputs) -> DataFrame:
+    return RP.onchain_flows(i.transfers, C_AS_OF)
+
+
+@query("kri_cards")
+def _kri_cards(i: Inputs) -> DataFrame:
+    return RP.kri_cards(i.alerts_store, i.cases_store, T_AS_OF)
+
+
+@query("case_queue")
+def _case_queue(i: Inputs) -> DataFrame:
+    return RP.case_queue(i.cases_store, i.entities)
+
+
+@query("case_queue_filtered")
+def _case_queue_filtered(i: Inputs) -> DataFrame:
+    return RP.case_queue(i.cases_store, i.entities, priority="HIGH", state="OPEN")
+
+
+@query("case_detail_trades")
+def _case_trades(i: Inputs) -> DataFrame:
+    cases, _ = new_cases(i)
+    return RP.case_detail_trades(cases, i.trades, T_AS_OF, i.account_map)
+
+
+@query("case_detail_transfers")
+def _case_transfers(i: Inputs) -> DataFrame:
+    cases, _ = new_cases(i)
+    return RP.case_detail_transfers(cases, i.transfers, i.wallets, C_AS_OF)
+
+
+@query("alert_pivot")
+def _alert_pivot(i: Inputs) -> DataFrame:
+    return RP.alert_pivot(i.alerts_store, T_AS_OF)
+
+
+@query("daily_alert_pivot")
+def _daily_pivot(i: Inputs) -> DataFrame:
+    return RP.daily_alert_pivot(i.alerts_store, T_AS_OF)
+
+
+@query("alert_breakdown")
+def _breakdown(i: Inputs) -> DataFrame:
+    """Breakdown of the pipeline's own alerts (first refresh) by type and severity."""
+    return RP.alert_breakdown(AL.refresh_alerts(AL.empty_store(i.spark), alert_candidates(i)))
+
+
+@query("health_check")
+def _health(i: Inputs) -> DataFrame:
+    return RP.health_check({
+        "trades": (i.trades, ["trade_id"], 1),
+        "orders": (i.orders, ["order_id"], 1),
+        "transfers": (i.transfers, ["chain", "tx_hash", "event_id"], 1),
+        "wallets": (i.wallets, ["wallet_id"], 1),
+        "entities": (i.entities, ["entity_id"], 1),
+        "alerts": (i.alerts_store, ["alert_id"], 50),
+        "cases": (i.cases_store, ["case_id"], 5),
+    })
