@@ -141,12 +141,14 @@ def flagged_wallets(wallets: DataFrame) -> DataFrame:
     )
 
 
-def harmonise_transfers(parsed: DataFrame, wallets: DataFrame, max_flagged: int = 2_000_000) -> DataFrame:
+def harmonise_transfers(parsed: DataFrame, wallets: DataFrame, max_flagged: int = 2_000_000,
+                        dedup: bool = True) -> DataFrame:
     """Typed transfers with counterparty risk (D13): lower-cased addresses, risk score of a
     flagged end, category SANCTIONS before MIXER, sanctioned-counterparty flag.
 
     The flagged wallet list is broadcast only when it is provably small (bounded count);
-    otherwise both look-ups are shuffle joins.
+    otherwise both look-ups are shuffle joins. ``dedup`` keeps one row per (chain, tx_hash,
+    event_id) (latest ingest); streams de-duplicate within a watermark instead.
     """
     t = parsed.filter(F.col("tx_hash").isNotNull() & F.col("chain").isNotNull()).select(
         "event_id", "chain", "block_number", "block_ts", "tx_hash",
@@ -173,6 +175,8 @@ def harmonise_transfers(parsed: DataFrame, wallets: DataFrame, max_flagged: int
         .alias("is_sanctioned_counterparty"),
         "ingested_at", "raw_record_id",
     )
+    if not dedup:
+        return out
     return latest_by(out, ["chain", "tx_hash", "event_id"], ["ingested_at", "raw_record_id"])
 
 

@@ -537,3 +537,79 @@ def _health(i: Inputs) -> DataFrame:
         "alerts": (i.alerts_store, ["alert_id"], 50),
         "cases": (i.cases_store, ["case_id"], 5),
     })
+
+
+# ------------------------------------------------------------------ streaming forms
+
+from tradewatch.streaming import feeds as ST  # noqa: E402
+
+
+def _stream_trades(i: Inputs) -> DataFrame:
+    return A.trades(ST.table_stream(i.spark, i.sf_dir, "events"))
+
+
+def _run(df: DataFrame, name: str) -> DataFrame:
+    out, _ = ST.run_to_parquet(df, name)
+    return ST.ntz(ST.read_output(df.sparkSession, out, df.schema))
+
+
+@query("stream_dlq_split")
+def _stream_dlq(i: Inputs) -> DataFrame:
+    """Dead letters split off a live trade feed by foreachBatch."""
+    raw = A.trades_raw(ST.table_stream(i.spark, i.sf_dir, "events"))
+    _, bad = ST.split_batches(raw, "CEX_TRADES_RAW", "stream_dlq")
+    schema = RAW.dead_letters(A.trades_raw(i.events), "CEX_TRADES_RAW").schema
+    return ST.read_output(i.spark, bad, schema)
+
+
+@query("stream_dedup")
+def _stream_dedup(i: Inputs) -> DataFrame:
+    """Replayed trade records removed within a 1-hour watermark on ingest time."""
+    raw = A.trades_raw(ST.table_stream(i.spark, i.sf_dir, "events"))
+    parsed = H.parse_trades(raw).filter(F.col("trade_id").isNotNull() & F.col("account_id").isNotNull())
+    parsed = parsed.withColumn("_it", ST.event_time("ingest_ts"))
+    d = ST.dedup_within_watermark(parsed, ["trade_id"], "_it", "1 hour")
+    return _run(d.drop("_it", "ingest_ts", "source_system", "raw_record_id"), "stream_dedup")
+
+
+@query("stream_cross_venue")
+def _stream_xv(i: Inputs) -> DataFrame:
+    """T4 (hour windows, widened): appended once the watermark passes the window end."""
+    return _run(ST.cross_venue_windows(_stream_trades(i), "1 hour", "10 minutes", WIDE_RULES), "stream_xv")
+
+
+@query("stream_price_spikes")
+def _stream_spikes(i: Inputs) -> DataFrame:
+    """T5 (widened thresholds)."""
+    return _run(ST.price_spike_windows(_stream_trades(i), "10 minutes", WIDE_RULES), "stream_spikes")
+
+
+@query("stream_structuring")
+def _stream_struct(i: Inputs) -> DataFrame:
+    """T6 (widened band)."""
+    return _run(ST.structuring_windows(_stream_trades(i), "1 hour", WIDE_RULES), "stream_struct")
+
+
+@query("stream_sliding_volume")
+def _stream_sliding(i: Inputs) -> DataFrame:
+    """4-hour windows sliding by 30 minutes."""
+    return _run(ST.sliding_volume(_stream_trades(i), "4 hours", "30 minutes", "10 minutes"), "stream_sliding")
+
+
+@query("stream_wash_join")
+def _stream_wash(i: Inputs) -> DataFrame:
+    """Stream-stream wash-pair join (600 s band)."""
+    return _run(ST.wash_pairs_stream(_stream_trades(i), 600, "15 minutes", DEFAULT_RULES), "stream_wash")
+
+
+@query("stream_sessions")
+def _stream_sessions(i: Inputs) -> DataFrame:
+    """Trading sessions (1-hour gap), appended once closed by the watermark."""
+    return _run(ST.burst_sessions(_stream_trades(i), "1 hour", "0 seconds"), "stream_sessions")
+
+
+@query("stream_sanctioned_flags")
+def _stream_flags(i: Inputs) -> DataFrame:
+    """Stream-static enrichment of transfers; sanctioned-counterparty rows."""
+    t = ST.flag_transfers(ST.transfers_stream(i.spark, i.sf_dir), i.wallets)
+    return _run(t.filter(F.col("is_sanctioned_counterparty")), "stream_flags")
