@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tradewatch.operators.joins import broadcast_if_small
 from tradewatch.operators.state import merge_upsert
 from tradewatch.operators.windows import latest_by
-from tradewatch.sources.raw import field, ts_field, valid
+from tradewatch.sources.raw import (BALANCE_PAYLOAD, ONCHAIN_PAYLOAD, ORDER_PAYLOAD, TRADE_PAYLOAD,
+                                   field, ts_field, valid)
 
 TRADE_COLUMNS = ["trade_id", "order_id", "account_id", "wallet_id", "venue", "trading_pair",
                  "base_asset", "quote_asset", "side", "price", "quantity", "quote_qty", "fee",
@@ -17,7 +18,7 @@ TRADE_COLUMNS = ["trade_id", "order_id", "account_id", "wallet_id", "venue", "tr
 
 
 def parse_trades(raw: DataFrame) -> DataFrame:
-    v = valid(raw)
+    v = valid(raw, TRADE_PAYLOAD)
     ts = ts_field("timestamp")
     return v.select(
         field("trade_id", "string").alias("trade_id"),
@@ -53,7 +54,7 @@ def harmonise_trades(parsed: DataFrame, mode: str = "latest") -> DataFrame:
 
 
 def parse_orders(raw: DataFrame) -> DataFrame:
-    v = valid(raw)
+    v = valid(raw, ORDER_PAYLOAD)
     return v.select(
         field("order_id", "string").alias("order_id"),
         field("account_id", "string").alias("account_id"),
@@ -85,7 +86,7 @@ def harmonise_orders(parsed: DataFrame) -> DataFrame:
 
 
 def parse_balances(raw: DataFrame) -> DataFrame:
-    v = valid(raw)
+    v = valid(raw, BALANCE_PAYLOAD)
     return v.select(
         field("account_id", "string").alias("account_id"),
         field("asset", "string").alias("asset"),
@@ -110,7 +111,7 @@ def harmonise_balances(parsed: DataFrame) -> DataFrame:
 
 
 def parse_onchain(raw: DataFrame) -> DataFrame:
-    v = valid(raw)
+    v = valid(raw, ONCHAIN_PAYLOAD)
     return v.select(
         field("event_id", "string").alias("event_id"),
         field("chain", "string").alias("chain"),

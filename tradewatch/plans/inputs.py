@@ -10,6 +10,17 @@ from tradewatch.plans import harmonise as H
 from tradewatch.sources import adapters as A
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster has cores (a small
+    table stored as one row group would otherwise run every narrow step in one task).
+    Large inputs already have many splits and are returned unchanged; filters and column
+    pruning still reach the scan below the repartition."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 <= cores:
+        return df.repartition(cores)
+    return df
+
+
 class Inputs:
     """Domain tables for ``sf_dir``; each property is a lazy DataFrame (nothing is read
     until an action runs, and Catalyst prunes the columns each query does not use)."""
@@ -19,7 +30,7 @@ class Inputs:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return A.table(self.spark, self.sf_dir, name)
+        return spread(A.table(self.spark, self.sf_dir, name))
 
     @cached_property
     def events(self) -> DataFrame:

@@ -84,14 +84,15 @@ def wallet_labels(wallets: DataFrame) -> DataFrame:
 
 def eav_from_trades(trades: DataFrame, as_of: str, days: int = 90) -> DataFrame:
     """An external-style EAV price series derived from the trades (test input): per (asset,
-    day) five variables; the close is missing on days whose day-of-month is divisible by 5."""
+    day) five variables (open = day low, close = day high; order-independent aggregates);
+    the close is missing on days whose day-of-month is divisible by 5."""
     d = synthetic_prices(trades, as_of, days)
     pairs = F.array(
-        F.struct(F.lit(EAV_VARIABLES["open_price"]).alias("variable"), (F.col("open_price") * F.lit(0.999)).alias("value")),
+        F.struct(F.lit(EAV_VARIABLES["open_price"]).alias("variable"), F.col("low_price").alias("value")),
         F.struct(F.lit(EAV_VARIABLES["high_price"]).alias("variable"), F.col("high_price").alias("value")),
         F.struct(F.lit(EAV_VARIABLES["low_price"]).alias("variable"), F.col("low_price").alias("value")),
         F.struct(F.lit(EAV_VARIABLES["close_price"]).alias("variable"),
-                 F.when(F.dayofmonth("price_date") % 5 != 0, F.col("close_price") * F.lit(1.001)).alias("value")),
+                 F.when(F.dayofmonth("price_date") % 5 != 0, F.col("high_price")).alias("value")),
         F.struct(F.lit(EAV_VARIABLES["volume_base"]).alias("variable"),
                  F.col("volume_base").alias("value")),
     )

@@ -50,7 +50,7 @@ def _harmonise_trades(i: Inputs) -> DataFrame:
 @query("dlq_split")
 def _dlq(i: Inputs) -> DataFrame:
     """Dead letters of the trade feed (payload text is not JSON)."""
-    return RAW.dead_letters(A.trades_raw(i.events), "CEX_TRADES_RAW")
+    return RAW.dead_letters(A.trades_raw(i.events), "CEX_TRADES_RAW", RAW.TRADE_PAYLOAD)
 
 
 @query("harmonise_orders_latest")
@@ -558,7 +558,7 @@ def _stream_dlq(i: Inputs) -> DataFrame:
     """Dead letters split off a live trade feed by foreachBatch."""
     raw = A.trades_raw(ST.table_stream(i.spark, i.sf_dir, "events"))
     _, bad = ST.split_batches(raw, "CEX_TRADES_RAW", "stream_dlq")
-    schema = RAW.dead_letters(A.trades_raw(i.events), "CEX_TRADES_RAW").schema
+    schema = RAW.dead_letters(A.trades_raw(i.events), "CEX_TRADES_RAW", RAW.TRADE_PAYLOAD).schema
     return ST.read_output(i.spark, bad, schema)
 
 

@@ -1,13 +1,13 @@
 """Raw feeds: JSON envelope schema, file ingest, enrichment and the dead-letter split.
 
 Every feed is an envelope of lineage columns plus one JSON payload (schema on read). The
-payload is parsed once into a VARIANT (``try_parse_json``); rows that do not parse go to
-the dead-letter output instead of failing the job.
+payload is parsed once with the feed's schema (``from_json``, PERMISSIVE with a corrupt
+record column); rows that do not parse go to the dead-letter output instead of failing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,14 +25,56 @@ DLQ_COLUMNS = ["_dlq_id", "_load_ts", "source_table", "_source", "_partition_key
                "raw_payload", "error_message", "retry_count", "resolved"]
 
 
-def with_variant(raw: DataFrame) -> DataFrame:
-    """Add ``v`` = parsed payload (NULL when the text is not JSON)."""
-    return raw.withColumn("v", F.try_parse_json(F.col("payload")))
+def _s(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.StringType()) for n in names]
 
 
-def dead_letters(raw: DataFrame, source_table: str) -> DataFrame:
-    """Rows whose payload is not valid JSON, in the dead-letter shape."""
-    bad = with_variant(raw).filter(F.col("v").isNull())
+def _d(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.DoubleType()) for n in names]
+
+
+# Payload schemas of the feeds (schema on read; unknown keys are ignored).
+TRADE_PAYLOAD = T.StructType(
+    _s("event_type", "trade_id", "order_id", "account_id", "wallet_id", "venue", "trading_pair",
+       "base_asset", "quote_asset", "side")
+    + _d("price", "quantity", "quote_qty", "fee")
+    + _s("fee_currency") + [T.StructField("is_maker", T.BooleanType())] + _s("timestamp"))
+ORDER_PAYLOAD = T.StructType(
+    _s("event_type", "order_id", "account_id", "wallet_id", "venue", "trading_pair", "side", "order_type", "state")
+    + _d("price", "orig_qty", "filled_qty") + _s("timestamp"))
+BALANCE_PAYLOAD = T.StructType(
+    _s("event_type", "account_id", "asset") + _d("available", "locked", "total") + _s("change_type", "timestamp"))
+ONCHAIN_PAYLOAD = T.StructType(
+    _s("event_id", "chain") + [T.StructField("block_number", T.LongType())]
+    + _s("block_timestamp", "tx_hash", "from_address", "to_address", "value_raw") + _d("value_decimal")
+    + _s("token_address", "token_symbol") + [T.StructField("decimals", T.IntegerType())] + _s("event_type")
+    + [T.StructField("gas_used", T.LongType())] + _d("gas_price_gwei") + _s("ingested_at", "environment"))
+LOG_PAYLOAD = T.StructType(_s("timestamp", "level", "service", "message"))
+
+CORRUPT = "_corrupt"
+
+
+def parse(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Add ``p`` = payload parsed with ``schema`` (one JVM-side JSON pass). Text that is not
+    JSON, or whose typed fields do not convert (e.g. a non-numeric price), sets
+    ``p._corrupt`` to the raw text instead of failing the job."""
+    full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return raw.withColumn("p", F.from_json(F.col("payload"), full, opts))
+
+
+def _is_bad() -> Column:
+    return F.col("payload").isNull() | F.col(f"p.{CORRUPT}").isNotNull()
+
+
+def valid(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows whose payload parses; ``p`` holds the typed payload struct."""
+    return parse(raw, schema).filter(~_is_bad())
+
+
+def dead_letters(raw: DataFrame, source_table: str, schema: T.StructType) -> DataFrame:
+    """Rows whose payload does not parse, in the dead-letter shape."""
+    bad = parse(raw, schema).filter(_is_bad())
     return bad.select(
         F.sha2(F.concat(F.lit(source_table + ":"), F.col("_record_id")), 256).alias("_dlq_id"),
         F.col("_load_ts"),
@@ -40,30 +82,27 @@ def dead_letters(raw: DataFrame, source_table: str) -> DataFrame:
         F.col("_source"),
         F.col("_partition_key"),
         F.col("payload").alias("raw_payload"),
-        F.lit("MALFORMED_JSON").alias("error_message"),
+        F.when(F.try_parse_json(F.col("payload")).isNull(), F.lit("MALFORMED_JSON"))
+         .otherwise(F.lit("TYPE_MISMATCH")).alias("error_message"),
         F.lit(0).alias("retry_count"),
         F.lit(False).alias("resolved"),
     )
 
 
-def valid(raw: DataFrame) -> DataFrame:
-    """Rows whose payload parses; ``v`` holds the VARIANT."""
-    return with_variant(raw).filter(F.col("v").isNotNull())
-
-
-def split(raw: DataFrame, source_table: str) -> tuple[DataFrame, DataFrame]:
-    """(valid rows with ``v``, dead letters). Two filtered branches of one parse."""
-    return valid(raw), dead_letters(raw, source_table)
+def split(raw: DataFrame, source_table: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(valid rows with ``p``, dead letters): two filtered branches of one parse."""
+    return valid(raw, schema), dead_letters(raw, source_table, schema)
 
 
-def field(path: str, dtype: str):
-    """Typed payload field; NULL when missing or not castable (try_variant_get)."""
-    return F.try_variant_get(F.col("v"), f"$.{path}", dtype)
+def field(path: str, dtype: str | None = None) -> Column:
+    """Typed payload field (the schema already fixed its type)."""
+    c = F.col(f"p.{path}")
+    return c.cast(dtype) if dtype else c
 
 
-def ts_field(path: str):
+def ts_field(path: str) -> Column:
     """Tolerant time parse of a payload text field (NULL on failure), as TIMESTAMP_NTZ."""
-    return F.try_to_timestamp(field(path, "string")).cast("timestamp_ntz")
+    return F.try_to_timestamp(F.col(f"p.{path}")).cast("timestamp_ntz")
 
 
 def read_json_files(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:

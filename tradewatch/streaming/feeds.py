@@ -90,8 +90,8 @@ def split_batches(raw: DataFrame, source_table: str, name: str, trigger: dict |
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        ok, dlq = RAW.split(batch, source_table)
-        H.parse_trades(ok.drop("v")).write.mode("overwrite").parquet(f"{good}/batch_id={batch_id}")
+        dlq = RAW.dead_letters(batch, source_table, RAW.TRADE_PAYLOAD)
+        H.parse_trades(batch).write.mode("overwrite").parquet(f"{good}/batch_id={batch_id}")
         dlq.write.mode("overwrite").parquet(f"{bad}/batch_id={batch_id}")
         batch.unpersist()
 
