@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewatch.functions.timefn import as_ts, epoch_seconds, since, trunc
+from tradewatch.functions.timefn import as_ts, epoch_seconds, shift, since, trunc
 from tradewatch.operators.joins import asof_join, broadcast_if_small, either_key_join, interval_join
 from tradewatch.operators.windows import rolling, rows_last_non_null, rows_sum
 from tradewatch.params import DEFAULT_FEATURES, FeatureParams
@@ -93,8 +93,10 @@ def wash_flags(trades: DataFrame, as_of: str, p: FeatureParams = DEFAULT_FEATURE
     ``wash_signal_price_pct``. An existence test (left-semi band join): no pair rows."""
     t7 = trades.filter(since("trade_ts", as_of, p.signal_days, "day")).select(
         "trade_id", "account_id", "trading_pair", "side", "price", "trade_ts")
-    # candidates: distinct (account, pair, side, second, price) points of all trades
-    cand = trades.filter(F.col("trade_ts").isNotNull()).select(
+    # candidates: distinct (account, pair, side, second, price) points; a partner lies at most
+    # one band before the first trade of the look-back, so older trades are never read
+    first = shift(shift(as_of, -p.signal_days, "day"), -p.wash_signal_band_seconds, "second")
+    cand = trades.filter(F.col("trade_ts") >= as_ts(first)).select(
         "account_id", "trading_pair", "side", "price", epoch_seconds("trade_ts").alias("_sec")).distinct()
     band = p.wash_signal_band_seconds - 1
     resid = ((F.col("l.side") != F.col("r.side"))

@@ -214,3 +214,28 @@ def sync_wallets(wallets: DataFrame, found: DataFrame, as_of: str) -> DataFrame:
         update={"last_seen_ts": F.col("src.last_seen_ts"), "updated_at": now},
         insert=defaults,
     )
+
+
+# ----------------------------------------------------------------------------- relation edges
+
+EDGE_COLUMNS = ["relation_id", "from_entity_type", "from_id", "relation_type", "to_entity_type", "to_id",
+                "confidence", "evidence_type", "valid_from", "valid_to", "created_by", "created_at"]
+
+
+def owner_edges(wallets: DataFrame) -> DataFrame:
+    """OWNS edges entity -> wallet from the wallet master (the relation table's shape:
+    typed node ids at both ends, validity interval, confidence 1.0)."""
+    w = wallets.filter(F.col("owner_entity_id").isNotNull())
+    return w.select(
+        F.md5(F.concat_ws("|", F.col("owner_entity_id"), F.lit("OWNS"), F.col("wallet_id"))).alias("relation_id"),
+        F.lit("ENTITY").alias("from_entity_type"), F.col("owner_entity_id").alias("from_id"),
+        F.lit("OWNS").alias("relation_type"), F.lit("WALLET").alias("to_entity_type"),
+        F.col("wallet_id").alias("to_id"), F.lit(1.0).alias("confidence"),
+        F.lit("KYC_DOCUMENT").alias("evidence_type"), F.col("created_at").alias("valid_from"),
+        F.lit(None).cast("timestamp_ntz").alias("valid_to"), F.lit("SYSTEM").alias("created_by"),
+        F.col("created_at"))
+
+
+def active_edges(edges: DataFrame) -> DataFrame:
+    """Currently valid edges (``valid_to IS NULL``)."""
+    return edges.filter(F.col("valid_to").isNull())

@@ -613,3 +613,45 @@ def _stream_flags(i: Inputs) -> DataFrame:
     """Stream-static enrichment of transfers; sanctioned-counterparty rows."""
     t = ST.flag_transfers(ST.transfers_stream(i.spark, i.sf_dir), i.wallets)
     return _run(t.filter(F.col("is_sanctioned_counterparty")), "stream_flags")
+
+
+# ------------------------------------------------------------------ files, tags, edges, pipeline
+
+
+@query("json_file_ingest")
+def _json_files(i: Inputs) -> DataFrame:
+    """Trade payloads written as JSON-lines files and read back with the feed schema:
+    corrupt lines are kept aside, the file path is kept as lineage, replays collapse."""
+    from tradewatch.session import checkpoint_dir
+    path = checkpoint_dir(i.spark, "json_ingest")
+    A.trades_raw(i.events).select("payload").write.mode("overwrite").text(path)
+    df = RAW.read_json_files(i.spark, path, RAW.TRADE_PAYLOAD)
+    good = df.filter(F.col(RAW.CORRUPT).isNull())
+    ts = F.try_to_timestamp(F.col("timestamp")).cast("timestamp_ntz")
+    typed = good.select(
+        "trade_id", "order_id", "account_id", "wallet_id", "venue", "trading_pair", "base_asset", "quote_asset",
+        "side", "price", "quantity", "quote_qty", "fee", "fee_currency", "is_maker", ts.alias("trade_ts"),
+        F.date_trunc("day", ts).cast("timestamp_ntz").alias("trade_date"), "_file_name")
+    one = typed.filter(F.col("trade_id").isNotNull() & F.col("account_id").isNotNull()).dropDuplicates(["trade_id"])
+    return one.drop("_file_name")
+
+
+@query("tagged_entities")
+def _tagged(i: Inputs) -> DataFrame:
+    """Entities with PII / sensitivity / regulatory tags in the column metadata."""
+    return GV.tag_columns(i.entities, "entity")
+
+
+@query("active_relations")
+def _relations(i: Inputs) -> DataFrame:
+    return H.active_edges(H.owner_edges(i.wallets))
+
+
+@query("pipeline_health")
+def _pipeline_health(i: Inputs) -> DataFrame:
+    """Runs the whole flow into the checkpoint folder and checks the written tables
+    (rows-only: counts and key uniqueness of every layer)."""
+    from tradewatch.plans.pipeline import pipeline_health, run_pipeline
+    from tradewatch.session import checkpoint_dir
+    paths = run_pipeline(i.spark, i.sf_dir, checkpoint_dir(i.spark, "pipeline"))
+    return pipeline_health(i.spark, paths)

@@ -105,12 +105,14 @@ def ts_field(path: str) -> Column:
     return F.try_to_timestamp(F.col(f"p.{path}")).cast("timestamp_ntz")
 
 
-def read_json_files(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """JSON files whose top level may be an array (each element becomes a row); malformed
-    records are kept in ``_corrupt_record`` (PERMISSIVE) rather than failing the read.
-    The object path is kept for lineage (S8)."""
-    df = (spark.read.option("multiLine", multiline).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+def read_json_files(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = False) -> DataFrame:
+    """JSON files with an explicit schema (no inference). ``multiline=True`` reads files
+    whose top level is an array (each element becomes a row); otherwise one object per line.
+    Malformed records keep their text in ``_corrupt`` (PERMISSIVE) instead of failing the
+    read, and the object path is kept for lineage (S8)."""
+    full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
+    df = (spark.read.schema(full).option("multiLine", multiline).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", CORRUPT).json(path))
     return df.withColumn("_file_name", F.col("_metadata.file_path"))
 
 
