@@ -98,3 +98,32 @@ def test_stream_equals_batch_structuring(spark):
            [_tr(99, "Z", "BUY", 3 * 86400)]
     out = _run_batches(spark, lambda s: ST.structuring_windows(s, "1 hour"), folder, [data], "st")
     assert [(r.account_id, r.below_threshold_count) for r in out.collect()] == [("A", 4)]
+
+
+def test_latest_state_folds_across_batches(spark):
+    from tradewatch.plans import cases as CA
+    from tradewatch.plans import harmonise as H
+
+    folder = tempfile.mkdtemp(prefix="tw-stream-")
+    schema = ("order_id string, account_id string, wallet_id string, venue string, trading_pair string, "
+              "side string, order_type string, state string, price double, orig_qty double, filled_qty double, "
+              "event_ts timestamp_ntz, ingest_ts timestamp_ntz, raw_record_id string")
+
+    def o(oid, state, secs, rid):
+        ts = T + timedelta(seconds=secs)
+        return (oid, "A", "WA", "V0", "BTC-USDT", "BUY", "LIMIT", state, 100.0, 2.0, 1.0, ts, ts, rid)
+
+    src = os.path.join(folder, "src")
+    base = os.path.join(folder, "state")
+    batches = [[o("1", "PARTIAL_FILL", 0, "r1"), o("2", "FILLED", 0, "r2")],
+               [o("1", "FILLED", 60, "r3"), o("2", "CANCELLED", -60, "r4")]]   # order 2: older event
+    empty = H.harmonise_orders(spark.createDataFrame([], schema))
+    seen = []
+    for n, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.parquet(os.path.join(src, f"b{n}"))
+        stream = (spark.readStream.schema(spark.createDataFrame([], schema).schema)
+                  .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(src))
+        path = ST.latest_state_stream(stream, "orders", CA.latest_orders_batch, empty, base=base)
+        seen.append({r.order_id: r.state for r in spark.read.parquet(path).collect()})
+    assert seen[0] == {"1": "PARTIAL_FILL", "2": "FILLED"}
+    assert seen[1] == {"1": "FILLED", "2": "FILLED"}      # restarted query continued from version 0

@@ -108,6 +108,12 @@ def link_alerts(alerts: DataFrame, new_cases: DataFrame, as_of: str) -> DataFram
             .withColumn("updated_at", as_ts(as_of)).drop("_new_case"))
 
 
+def latest_orders_batch(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
+    """T3 step: fold one micro-batch of order events into the latest-state snapshot."""
+    from tradewatch.plans.harmonise import harmonise_orders
+    return harmonise_orders(snapshot.drop("fill_ratio").unionByName(batch))
+
+
 def check_sla(cases: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     """Flag cases past their deadline that are not closed (D24). Returns (case snapshot,
     SLA_BREACH audit rows for exactly the cases flagged now)."""

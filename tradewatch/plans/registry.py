@@ -655,3 +655,35 @@ def _pipeline_health(i: Inputs) -> DataFrame:
     from tradewatch.session import checkpoint_dir
     paths = run_pipeline(i.spark, i.sf_dir, checkpoint_dir(i.spark, "pipeline"))
     return pipeline_health(i.spark, paths)
+
+
+# ------------------------------------------------------------------ investigator views, T3
+
+
+@query("case_daily_volume")
+def _case_daily_volume(i: Inputs) -> DataFrame:
+    cases, _ = new_cases(i)
+    return RP.case_daily_volume(RP.case_detail_trades(cases, i.trades, T_AS_OF, i.account_map))
+
+
+@query("next_case_for_narrative")
+def _next_case(i: Inputs) -> DataFrame:
+    return RP.next_case_for_narrative(CA._with_case_defaults(i.cases_store))
+
+
+@query("case_detail_events")
+def _case_events(i: Inputs) -> DataFrame:
+    _, sla = CA.check_sla(i.cases_store, C_AS_OF)
+    _, _, acts = acted(i)
+    ev = sla.select("event_id", "case_id", "event_type", "performed_by", "event_ts").unionByName(
+        acts.select("event_id", "case_id", "event_type", "performed_by", "event_ts"))
+    return RP.case_detail_events(ev)
+
+
+@query("stream_latest_orders")
+def _stream_orders(i: Inputs) -> DataFrame:
+    """Latest order state kept by a stream (foreachBatch folding into a snapshot)."""
+    events = H.parse_orders(A.orders_raw(ST.table_stream(i.spark, i.sf_dir, "events", max_files=1)))
+    empty = H.harmonise_orders(H.parse_orders(A.orders_raw(i.events))).limit(0)
+    path = ST.latest_state_stream(events, "stream_orders", CA.latest_orders_batch, empty)
+    return i.spark.read.parquet(path)

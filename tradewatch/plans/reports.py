@@ -208,3 +208,23 @@ def health_check(tables: dict[str, tuple[DataFrame, list[str], int]]) -> DataFra
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def case_daily_volume(detail_trades: DataFrame) -> DataFrame:
+    """Daily traded volume of each case's recent trades (the case detail chart)."""
+    return detail_trades.groupBy("case_id", F.to_date("trade_ts").alias("trade_day")).agg(
+        F.sum("quote_qty").alias("volume_usd"), F.count(F.lit(1)).alias("trade_count"))
+
+
+def next_case_for_narrative(cases: DataFrame) -> DataFrame:
+    """The open case without a narrative to prepare first: highest priority, oldest first."""
+    c = cases.filter((F.col("state") == "OPEN") & F.col("sar_narrative").isNull())
+    return c.orderBy(severity_rank(F.col("priority")), F.col("created_at"), F.col("case_id")).limit(1).select(
+        "case_id", "case_ref", "entity_id", "priority", "created_at")
+
+
+def case_detail_events(events: DataFrame, limit: int = 20) -> DataFrame:
+    """The ``limit`` most recent audit events of every case."""
+    top = top_k(events, ["case_id"], [F.col("event_ts").desc(), F.col("event_id").desc()], limit,
+                salt_col="event_id", rank_col="row_rank")
+    return top.select("case_id", "row_rank", "event_id", "event_type", "performed_by", "event_ts")

@@ -216,3 +216,38 @@ def transfers_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On-chain events as a stream: line items stream, orders static (stream-static join)."""
     li = table_stream(spark, sf_dir, "lineitem")
     return A.transfers_parsed(li, A.table(spark, sf_dir, "orders"))
+
+
+# ----------------------------------------------------------------------------- T3 latest state
+
+
+def latest_state_stream(events: DataFrame, name: str, fold, empty: DataFrame,
+                        trigger: dict | None = None, base: str | None = None) -> str:
+    """Keep a latest-state snapshot (orders, balances) current from a stream. Every
+    micro-batch folds its rows into the previous snapshot version and writes version
+    ``v=<batch_id>`` (overwrite, so a retried batch rewrites its own version); readers
+    take the highest complete version. Returns the snapshot folder."""
+    spark = events.sparkSession
+    base = base or checkpoint_dir(spark, name)
+    snap = f"{base}/snapshot"
+
+    def previous(batch_id: int) -> DataFrame:
+        # the newest version written by an earlier batch (found from the folder names, so a
+        # restarted query continues from the last committed version)
+        try:
+            versions = spark.read.parquet(snap).select("v").filter(F.col("v") < batch_id)
+        except Exception:  # noqa: BLE001 - no version yet
+            return empty
+        last = versions.agg(F.max("v").alias("m")).first()["m"]
+        if last is None:
+            return empty
+        return spark.read.parquet(f"{snap}/v={last}")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        fold(previous(batch_id), batch).write.mode("overwrite").parquet(f"{snap}/v={batch_id}")
+
+    q = (events.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/_checkpoint")
+         .trigger(**(trigger or {"availableNow": True})).start())
+    q.awaitTermination()
+    last = spark.read.parquet(snap).agg(F.max("v").alias("m")).first()["m"]
+    return f"{snap}/v={last}"
