@@ -54,8 +54,11 @@ class Inputs:
 
     @cached_property
     def transfers(self) -> DataFrame:
+        # the adapter yields one row per (chain, tx_hash, event_id) already (tx_hash hashes a
+        # unique line key), so the natural-key de-duplication shuffle is skipped here; the
+        # raw-feed path (harmonise_transfers query, pipeline) keeps it
         parsed = A.transfers_parsed(self.table("lineitem"), self.table("orders"))
-        return H.harmonise_transfers(parsed, self.wallets)
+        return H.harmonise_transfers(parsed, self.wallets, dedup=False)
 
     @cached_property
     def entities(self) -> DataFrame:

@@ -1,7 +1,7 @@
 """Risk and case reports (D30), each a grouped aggregate over the stores.
 
-Single-row reports combine one global aggregate per table with an equi-join on a constant
-key (every side has exactly one row). The investigator views are set-wide: all cases at
+Single-row reports combine one global aggregate per table by a union and a max per
+column (no join). The investigator views are set-wide: all cases at
 once, with per-case top-k instead of one query per case.
 """
 
@@ -18,10 +18,13 @@ from tradewatch.params import CLOSED_STATES, SEVERITIES
 
 
 def _one_row(*frames: DataFrame) -> DataFrame:
-    out = frames[0].withColumn("_k", F.lit(1))
+    """Side-by-side columns of several one-row aggregates: union them (missing columns are
+    NULL) and take the max per column. No join, so no cartesian product in the plan."""
+    cols = [c for f in frames for c in f.columns]
+    u = frames[0]
     for f in frames[1:]:
-        out = out.join(f.withColumn("_k", F.lit(1)), on="_k", how="inner")
-    return out.drop("_k")
+        u = u.unionByName(f, allowMissingColumns=True)
+    return u.agg(*[F.max(c).alias(c) for c in cols])
 
 
 def _count_if(c: Column) -> Column:
