@@ -59,3 +59,27 @@ def test_severity_rank_is_not_alphabetical(spark):
     df = spark.createDataFrame([("MEDIUM",), ("CRITICAL",), ("LOW",), ("HIGH",), ("X",)], "s string")
     out = df.select("s", severity_rank("s").alias("r")).orderBy("r").collect()
     assert [r.s for r in out] == ["CRITICAL", "HIGH", "MEDIUM", "LOW", "X"]
+
+
+def test_raw_amount_scaled_by_decimals(spark):
+    from tradewatch.plans.harmonise import parse_onchain
+    raw = spark.createDataFrame([
+        ("r1", '{"tx_hash":"a","chain":"ethereum","value_raw":"1234500000000000000000","decimals":18}'),
+        ("r2", '{"tx_hash":"b","chain":"ethereum","value_raw":"5","decimals":2,"value_decimal":7.5}'),
+        ("r3", '{"tx_hash":"c","chain":"ethereum","value_decimal":"not a number"}'),
+    ], "_record_id string, payload string")
+    got = {r.tx_hash: r.value_decimal for r in parse_onchain(raw).collect()}
+    assert got == {"a": 1234.5, "b": 7.5}       # c is a dead letter (type mismatch)
+
+
+def test_column_tags_and_jsonl_export(spark, tmp_path):
+    from tradewatch.plans.governance import tag_columns
+    from tradewatch.sources.raw import export_jsonl
+    df = spark.createDataFrame([("E1", "Ann", "a@x.io")], "entity_id string, full_name string, email string")
+    t = tag_columns(df, "entity")
+    assert t.schema["full_name"].metadata == {"DATA_SENSITIVITY": "RESTRICTED", "REGULATORY": "KYC", "PII": "name"}
+    assert t.schema["entity_id"].metadata["REGULATORY"] == "KYC"
+    out = str(tmp_path / "all.jsonl")
+    export_jsonl({"entities": df, "other": spark.createDataFrame([(1,)], "n int")}, out)
+    back = spark.read.json(out)
+    assert back.count() == 2 and set(back.columns) >= {"_feed", "entity_id", "n"}

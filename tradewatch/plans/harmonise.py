@@ -121,7 +121,11 @@ def parse_onchain(raw: DataFrame) -> DataFrame:
         field("from_address", "string").alias("from_address"),
         field("to_address", "string").alias("to_address"),
         field("value_raw", "string").alias("value_raw"),
-        field("value_decimal", "double").alias("value_decimal"),
+        # scaled amount; when the feed only carries the raw integer amount, scale it by the
+        # token's decimals in decimal arithmetic (18-decimal amounts overflow LONG)
+        F.coalesce(field("value_decimal", "double"),
+                   (F.col("p.value_raw").cast("decimal(38,0)")
+                    / F.pow(F.lit(10), F.col("p.decimals")).cast("decimal(38,0)")).cast("double")).alias("value_decimal"),
         field("token_address", "string").alias("token_address"),
         field("token_symbol", "string").alias("token_symbol"),
         field("decimals", "int").alias("decimals"),

@@ -687,3 +687,26 @@ def _stream_orders(i: Inputs) -> DataFrame:
     empty = H.harmonise_orders(H.parse_orders(A.orders_raw(i.events))).limit(0)
     path = ST.latest_state_stream(events, "stream_orders", CA.latest_orders_batch, empty)
     return i.spark.read.parquet(path)
+
+
+@query("seed_wallets")
+def _seed_wallets(i: Inputs) -> DataFrame:
+    """Insert-only merge (M2): discovered addresses missing from a master that holds the
+    customers' own wallets (the counterparty addresses get inserted)."""
+    from tradewatch.operators.state import insert_new
+    found = H.discover_wallets(i.transfers).select(
+        F.md5(F.concat(F.col("wallet_address"), F.lit("::"), F.col("chain"))).alias("wallet_id"),
+        "wallet_address", "chain", "first_seen_ts", "last_seen_ts")
+    return insert_new(i.wallets.filter(F.col("owner_entity_id").isNotNull()), found, ["wallet_id"])
+
+
+@query("stream_alert_dedup")
+def _stream_alert_dedup(i: Inputs) -> DataFrame:
+    """Alerts of one entity, type and detection hour kept once within a 2-hour watermark."""
+    alerts = A.alerts_store(ST.table_stream(i.spark, i.sf_dir, "events"))
+    keyed = alerts.select("entity_id", "alert_type", F.date_trunc("hour", "detected_at").cast("timestamp_ntz")
+                          .alias("alert_hour"), ST.event_time("detected_at").alias("_et"))
+    keyed = keyed.withColumn("dedup_hash", F.md5(F.concat_ws("|", "entity_id", "alert_type",
+                                                              F.date_format("alert_hour", "yyyy-MM-dd HH:mm:ss"))))
+    d = ST.dedup_within_watermark(keyed, ["dedup_hash"], "_et", "2 hours")
+    return _run(d.drop("_et"), "stream_alert_dedup")
