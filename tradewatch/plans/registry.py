@@ -685,8 +685,8 @@ def _stream_orders(i: Inputs) -> DataFrame:
     """Latest order state kept by a stream (foreachBatch folding into a snapshot)."""
     events = H.parse_orders(A.orders_raw(ST.table_stream(i.spark, i.sf_dir, "events", max_files=1)))
     empty = H.harmonise_orders(H.parse_orders(A.orders_raw(i.events))).limit(0)
-    path = ST.latest_state_stream(events, "stream_orders", CA.latest_orders_batch, empty)
-    return i.spark.read.parquet(path)
+    path = ST.latest_state_stream(events, "stream_orders", CA.latest_orders_batch, empty, ["order_id"])
+    return i.spark.read.parquet(path).drop("bucket")
 
 
 @query("seed_wallets")
