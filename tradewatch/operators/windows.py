@@ -90,13 +90,14 @@ def sequence_index(
     """Global position (1-based) of each row in ``keys`` ordered by (ts, *tiebreak), plus
     running sums ``_cum_<c>`` of ``prefix_cols`` (inclusive), without a whole-key sort."""
     t = epoch_micros(ts)
-    x = df.withColumn("_slice", F.floor(t / F.lit(slice_us)).cast("long"))
+    base = df.withColumn("_slice", F.floor(t / F.lit(slice_us)).cast("long"))
     w_in = Window.partitionBy(*keys, "_slice").orderBy(F.col(ts), *[F.col(c) for c in tiebreak])
     run = w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = x.withColumn("_rn", F.row_number().over(w_in))
+    x = base.withColumn("_rn", F.row_number().over(w_in))
     for c in prefix_cols:
         x = x.withColumn(f"_in_{c}", F.sum(F.col(c)).over(run))
-    stats = x.groupBy(*keys, "_slice").agg(
+    # slice totals come from the input, not from the windowed rows (no second window pass)
+    stats = base.groupBy(*keys, "_slice").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(c)).alias(f"_tot_{c}") for c in prefix_cols]
     )
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,12 +113,23 @@ def sequence_index(
                   *[f"_before_{c}" for c in prefix_cols])
 
 
+def _pinned(df: DataFrame, materialize: bool) -> DataFrame:
+    """The input of the ROWS-frame operators is read three times (positions, slice totals,
+    look-back join); a reliable checkpoint computes it once (shared checkpoint folder)."""
+    if not materialize:
+        return df
+    from tradewatch.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def rows_sum(
     df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str], value: str,
-    preceding: int, out: str, slice_us: int = DAY_US,
+    preceding: int, out: str, slice_us: int = DAY_US, materialize: bool = True,
 ) -> DataFrame:
     """``SUM(value) OVER (PARTITION BY keys ORDER BY ts, tiebreak ROWS preceding PRECEDING
     AND CURRENT ROW)`` as prefix(i) - prefix(i - preceding - 1)."""
+    df = _pinned(df, materialize)
     x = sequence_index(df, keys, ts, tiebreak, prefix_cols=[value], slice_us=slice_us)
     cum = f"_cum_{value}"
     back = x.select(*keys, (F.col("_idx") + F.lit(preceding + 1)).alias("_idx"),
@@ -129,13 +141,14 @@ def rows_sum(
 
 def rows_last_non_null(
     df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str], value: str,
-    preceding: int, out: str, slice_us: int = DAY_US,
+    preceding: int, out: str, slice_us: int = DAY_US, materialize: bool = True,
 ) -> DataFrame:
     """``LAST_VALUE(value IGNORE NULLS) OVER (... ROWS preceding PRECEDING AND CURRENT ROW)``.
 
     The position of the latest non-null row at or before each row is a running max,
     assembled from per-slice maxima; its value is fetched by an equi-join on (key, position).
     """
+    df = _pinned(df, materialize)
     x = sequence_index(df, keys, ts, tiebreak, slice_us=slice_us)
     x = x.withColumn("_nn", F.when(F.col(value).isNotNull(), F.col("_idx")))
     w_in = (Window.partitionBy(*keys, "_slice").orderBy("_idx")
