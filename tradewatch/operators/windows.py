@@ -60,21 +60,26 @@ def rolling(
     specs: dict[str, tuple[Column, int]],
     slice_us: int | None = None,
 ) -> DataFrame:
-    """Add one column per ``specs[name] = (aggregate, frame_us)``, evaluated over
-    ``RANGE BETWEEN frame PRECEDING AND CURRENT ROW`` ordered by ``ts`` within ``keys``.
+    """Add one column per ``specs[name] = (aggregate, frame_us[, post])``, evaluated over
+    ``RANGE BETWEEN frame PRECEDING AND CURRENT ROW`` ordered by ``ts`` within ``keys``;
+    ``post`` (optional) maps the windowed value (e.g. ``F.size`` of a ``collect_set``).
 
     Peers (equal ``ts``) are inside each other's frame, as in SQL RANGE frames. Frames
     sharing the partition/order share one sort (one Window node).
     """
-    max_frame = max(f for _, f in specs.values())
+    max_frame = max(spec[1] for spec in specs.values())
     slice_us = int(slice_us or max(4 * max_frame, DAY_US))
     t = "_rt_us"
     base = df.withColumn(t, epoch_micros(ts))
     x = explode_slices(base, F.col(t), slice_us, max_frame)
     w = Window.partitionBy(*keys, "_slice").orderBy(t)
     out = x
-    for name, (agg, frame) in specs.items():
-        out = out.withColumn(name, agg.over(w.rangeBetween(-int(frame), 0)))
+    for name, spec in specs.items():
+        agg, frame = spec[0], spec[1]
+        col = agg.over(w.rangeBetween(-int(frame), 0))
+        if len(spec) > 2:
+            col = spec[2](col)
+        out = out.withColumn(name, col)
     return out.filter(~F.col("_ctx")).drop("_ctx", "_slice", t)
 
 

@@ -70,13 +70,19 @@ def pair_windows(base: DataFrame, p: FeatureParams = DEFAULT_FEATURES, frames=("
 
 
 def account_windows(base: DataFrame, p: FeatureParams = DEFAULT_FEATURES) -> DataFrame:
-    """7-day RANGE frame per account."""
+    """7-day RANGE frame per account, plus the true 24-hour distinct pair and venue counts
+    (the reference's ``unique_pairs_24h`` is the constant 1 and its ``unique_venues_24h``
+    spans the whole look-back; both are kept for parity, these are the ``_true`` forms).
+    A distinct count over a frame is the size of the frame's value set (values per
+    account and day are few: pairs, venues)."""
     w = 7 * D_US
     specs = {
         "trade_count_7d": (F.count(F.lit(1)), w),
         "volume_usd_7d": (F.sum("quote_qty"), w),
         "avg_trade_size_7d": (F.avg("quote_qty"), w),
         "trade_size_stddev_7d": (F.stddev_samp("quote_qty"), w),
+        "unique_pairs_24h_true": (F.collect_set("trading_pair"), D_US, F.size),
+        "unique_venues_24h_true": (F.collect_set("venue"), D_US, F.size),
     }
     return rolling(base, ["account_id"], "trade_ts", specs, p.slice_seconds and p.slice_seconds * 1_000_000)
 
@@ -167,6 +173,7 @@ FEATURE_COLUMNS = [
     "trade_count_7d", "volume_usd_7d", "avg_trade_size_7d", "trade_size_stddev_7d",
     "buy_sell_ratio_1h", "buy_sell_ratio_24h", "price_range_pct_24h", "volume_spike_ratio_1h",
     "maker_ratio_24h", "wash_trade_signal", "cancelled_orders_1h",
+    "unique_pairs_24h_true", "unique_venues_24h_true",
 ]
 
 
@@ -175,7 +182,8 @@ def trade_features(trades: DataFrame, orders: DataFrame, as_of: str, p: FeatureP
     base = base_trades(trades, as_of, p)
     pw = pair_windows(base, p)
     aw = account_windows(base, p).select("trade_id", "trade_count_7d", "volume_usd_7d",
-                                         "avg_trade_size_7d", "trade_size_stddev_7d")
+                                         "avg_trade_size_7d", "trade_size_stddev_7d",
+                                         "unique_pairs_24h_true", "unique_venues_24h_true")
     vd = venue_distinct(base)
     ws = wash_signal(trades, as_of, p)
     cs = cancel_signal(trades, orders, as_of, p)
@@ -183,7 +191,9 @@ def trade_features(trades: DataFrame, orders: DataFrame, as_of: str, p: FeatureP
          .join(vd, on="account_id", how="left")
          .join(ws, on="trade_id", how="left")
          .join(cs, on="trade_id", how="left"))
-    j = j.withColumn("unique_pairs_24h", F.lit(1))
+    j = (j.withColumn("unique_pairs_24h", F.lit(1))
+          .withColumn("unique_pairs_24h_true", F.col("unique_pairs_24h_true").cast("long"))
+          .withColumn("unique_venues_24h_true", F.col("unique_venues_24h_true").cast("long")))
     j = ratios(j)
     j = (j.withColumn("wash_trade_signal", F.coalesce(F.col("wash_trade_signal"), F.lit(0)).cast("long"))
           .withColumn("cancelled_orders_1h", F.coalesce(F.col("cancelled_orders_1h"), F.lit(0)).cast("long")))

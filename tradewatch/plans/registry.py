@@ -174,6 +174,14 @@ def _ratios(i: Inputs) -> DataFrame:
                     "volume_spike_ratio_1h", "maker_ratio_24h")
 
 
+@query("trade_distinct_24h")
+def _distinct_24h(i: Inputs) -> DataFrame:
+    """True 24-hour distinct pairs and venues per account, at every trade."""
+    aw = FE.account_windows(FE.base_trades(i.trades, T_AS_OF))
+    return aw.select("trade_id", F.col("unique_pairs_24h_true").cast("long").alias("unique_pairs_24h_true"),
+                     F.col("unique_venues_24h_true").cast("long").alias("unique_venues_24h_true"))
+
+
 @query("venue_distinct")
 def _venues(i: Inputs) -> DataFrame:
     return FE.venue_distinct(FE.base_trades(i.trades, T_AS_OF))
