@@ -37,6 +37,8 @@ class RuleParams:
     wash_critical_price_pct: float = 0.001
     wash_critical_qty_pct: float = 0.01
     wash_high_price_pct: float = 0.005
+    # add a log-quantity bucket to the band join key (only pairs of similar size compared)
+    wash_qty_buckets: bool = True
     # cross venue
     xv_lookback_days: int = 7
     xv_unit: str = "minute"
