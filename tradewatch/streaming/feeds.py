@@ -169,27 +169,42 @@ def wash_pairs_stream(trades: DataFrame, band_seconds: int = 600, delay: str = "
                       p: RuleParams = DEFAULT_RULES) -> DataFrame:
     """BUY x SELL of one account and pair whose times are less than ``band_seconds``
     apart (second boundaries). Both sides are watermarked and the join carries a time-range
-    condition, so each side's state only holds the last band + watermark of trades."""
+    condition, so each side's state only holds the last band + watermark of trades. As in
+    the batch rule, a log-quantity bucket joins only buys and sells of similar size;
+    negative buy quantities (every sell qualifies) take a plain second join."""
+    from tradewatch.plans.rules import _qty_bucket_range
+
     cols = ["trade_id", "account_id", "wallet_id", "trading_pair", "price", "quantity", "trade_ts"]
-    b = (trades.filter(F.col("side") == "BUY").select(*cols).withColumn("_bt", event_time("trade_ts"))
-         .withWatermark("_bt", delay).alias("b"))
-    s = (trades.filter(F.col("side") == "SELL").select(*cols).withColumn("_st", event_time("trade_ts"))
-         .withWatermark("_st", delay).alias("s"))
-    lo = F.col("b._bt") - F.expr(f"INTERVAL {band_seconds} SECONDS")
-    hi = F.col("b._bt") + F.expr(f"INTERVAL {band_seconds} SECONDS")
-    secs = epoch_seconds(F.col("s.trade_ts")) - epoch_seconds(F.col("b.trade_ts"))
-    cond = ((F.col("b.account_id") == F.col("s.account_id")) & (F.col("b.trading_pair") == F.col("s.trading_pair"))
-            & (F.col("s._st") >= lo) & (F.col("s._st") <= hi) & (F.abs(secs) < band_seconds)
-            & (F.col("b.trade_id") != F.col("s.trade_id")))
-    j = b.join(s, cond, "inner")
-    pdiff = F.try_divide(F.abs(F.col("b.price") - F.col("s.price")), F.nullif(F.col("b.price"), F.lit(0.0)))
-    qdiff = F.try_divide(F.abs(F.col("b.quantity") - F.col("s.quantity")), F.nullif(F.col("b.quantity"), F.lit(0.0)))
-    j = j.filter((pdiff < p.wash_price_pct) & (qdiff < p.wash_qty_pct))
-    return j.select(
-        F.col("b.account_id").alias("account_id"), F.col("b.wallet_id").alias("wallet_id"),
-        F.col("b.trading_pair").alias("trading_pair"), F.col("b.trade_id").alias("buy_trade_id"),
-        F.col("s.trade_id").alias("sell_trade_id"), F.col("b.price").alias("buy_price"),
-        F.col("s.price").alias("sell_price"), pdiff.alias("price_diff_pct"), secs.cast("long").alias("seconds_apart"))
+    buys = trades.filter(F.col("side") == "BUY").select(*cols)
+    sells = trades.filter(F.col("side") == "SELL").select(*cols)
+
+    def join(b: DataFrame, s: DataFrame, bucketed: bool) -> DataFrame:
+        b = b.withColumn("_bt", event_time("trade_ts")).withWatermark("_bt", delay).alias("b")
+        s = s.withColumn("_st", event_time("trade_ts")).withWatermark("_st", delay).alias("s")
+        lo = F.col("b._bt") - F.expr(f"INTERVAL {band_seconds} SECONDS")
+        hi = F.col("b._bt") + F.expr(f"INTERVAL {band_seconds} SECONDS")
+        secs = epoch_seconds(F.col("s.trade_ts")) - epoch_seconds(F.col("b.trade_ts"))
+        cond = ((F.col("b.account_id") == F.col("s.account_id")) & (F.col("b.trading_pair") == F.col("s.trading_pair"))
+                & (F.col("s._st") >= lo) & (F.col("s._st") <= hi) & (F.abs(secs) < band_seconds)
+                & (F.col("b.trade_id") != F.col("s.trade_id")))
+        if bucketed:
+            cond = cond & (F.col("b._qb") == F.col("s._qb"))
+        j = b.join(s, cond, "inner")
+        pdiff = F.try_divide(F.abs(F.col("b.price") - F.col("s.price")), F.nullif(F.col("b.price"), F.lit(0.0)))
+        qdiff = F.try_divide(F.abs(F.col("b.quantity") - F.col("s.quantity")), F.nullif(F.col("b.quantity"), F.lit(0.0)))
+        j = j.filter((pdiff < p.wash_price_pct) & (qdiff < p.wash_qty_pct))
+        return j.select(
+            F.col("b.account_id").alias("account_id"), F.col("b.wallet_id").alias("wallet_id"),
+            F.col("b.trading_pair").alias("trading_pair"), F.col("b.trade_id").alias("buy_trade_id"),
+            F.col("s.trade_id").alias("sell_trade_id"), F.col("b.price").alias("buy_price"),
+            F.col("s.price").alias("sell_price"), pdiff.alias("price_diff_pct"),
+            secs.cast("long").alias("seconds_apart"))
+
+    first, last, own = _qty_bucket_range(p.wash_qty_pct)
+    bucketed = join(buys.filter(F.col("quantity") > 0).withColumn("_qb", F.explode(F.sequence(first, last))),
+                    sells.filter(F.col("quantity") > 0).withColumn("_qb", own), True)
+    negative = join(buys.filter(F.col("quantity") < 0), sells, False)
+    return bucketed.unionByName(negative)
 
 
 # ----------------------------------------------------------------------------- T9 sessions
