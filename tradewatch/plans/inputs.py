@@ -10,14 +10,16 @@ from tradewatch.plans import harmonise as H
 from tradewatch.sources import adapters as A
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster has cores (a small
-    table stored as one row group would otherwise run every narrow step in one task).
-    Large inputs already have many splits and are returned unchanged; filters and column
-    pruning still reach the scan below the repartition."""
+def spread(df: DataFrame, max_parts: int = 64) -> DataFrame:
+    """Round-robin a table that is read as a handful of splits (one row group would
+    otherwise run every narrow step, such as JSON parsing or hashing, in one task) over at
+    most ``max_parts`` partitions. Inputs with more than four splits are returned
+    unchanged, so large tables keep their scan parallelism; filters and column pruning
+    still reach the scan below the repartition."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 <= cores:
-        return df.repartition(cores)
+    n = df.rdd.getNumPartitions()
+    if n <= 4 and n * 2 <= cores:
+        return df.repartition(min(cores, max_parts))
     return df
 
 
