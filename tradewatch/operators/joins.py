@@ -23,7 +23,7 @@ from tradewatch.functions.timefn import epoch_micros
 DAY_US = 86_400_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """Broadcast hint only when the frame provably has at most ``max_rows`` rows.
 
     The check reads at most ``max_rows + 1`` rows (``limit`` stops early); above the

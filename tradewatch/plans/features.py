@@ -213,7 +213,7 @@ def _entity_of_account(df: DataFrame, account_map: DataFrame | None) -> DataFram
 
 
 def onchain_stats(transfers: DataFrame, wallets: DataFrame, as_of: str, days: int = 30,
-                  max_mixers: int = 2_000_000) -> DataFrame:
+                  max_mixers: int = 500_000) -> DataFrame:
     """Per owning entity, transfers of the last ``days`` touching one of its wallets
     (either end, same chain): distinct transactions, volume, distinct senders, transfers to
     a mixer address, sanctioned volume, highest counterparty risk."""

@@ -146,7 +146,7 @@ def flagged_wallets(wallets: DataFrame) -> DataFrame:
     )
 
 
-def harmonise_transfers(parsed: DataFrame, wallets: DataFrame, max_flagged: int = 2_000_000,
+def harmonise_transfers(parsed: DataFrame, wallets: DataFrame, max_flagged: int = 500_000,
                         dedup: bool = True) -> DataFrame:
     """Typed transfers with counterparty risk (D13): lower-cased addresses, risk score of a
     flagged end, category SANCTIONS before MIXER, sanctioned-counterparty flag.
