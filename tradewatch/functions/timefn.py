@@ -65,8 +65,3 @@ def since(ts, as_of, amount: int, unit: str) -> Column:
     c = F.col(ts) if isinstance(ts, str) else ts
     return c >= as_ts(shift(as_of, -amount, unit))
 
-
-def add_hours(ts, hours) -> Column:
-    c = F.col(ts) if isinstance(ts, str) else ts
-    h = hours if isinstance(hours, Column) else F.lit(int(hours))
-    return F.timestamp_add("HOUR", h, c)
