@@ -16,8 +16,11 @@ def spread(df: DataFrame, max_parts: int = 64) -> DataFrame:
     most ``max_parts`` partitions. Inputs with more than four splits are returned
     unchanged, so large tables keep their scan parallelism; filters and column pruning
     still reach the scan below the repartition."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (remote session): leave the scan as is
+        return df
     if n <= 4 and n * 2 <= cores:
         return df.repartition(min(cores, max_parts))
     return df
