@@ -260,23 +260,36 @@ from tradewatch.plans import context as CX  # noqa: E402
 from tradewatch.plans import governance as GV  # noqa: E402
 
 
-def alert_candidates(i: Inputs, shift_hours: int = 0) -> DataFrame:
-    """All six rules (widened trade parameters so the synthetic trades produce hits),
-    shaped, resolved to entities and scored. ``shift_hours`` moves the detection time."""
+def rule_outputs(i: Inputs, pin: bool = False) -> dict[str, DataFrame]:
+    """The six rules (widened trade parameters so the synthetic trades produce hits).
+    ``pin`` checkpoints each output, for callers that use them more than once."""
+    out = {
+        "pump": R.pump_dump(i.trades, None, T_AS_OF, WIDE_RULES),
+        "wash": R.wash_trades(i.trades, T_AS_OF, WIDE_RULES),
+        "sanctioned": R.sanctioned(i.transfers, i.wallets, C_AS_OF),
+        "cross": R.cross_venue(i.trades, T_AS_OF, WIDE_RULES),
+        "structuring": R.structuring(i.trades, T_AS_OF, WIDE_RULES),
+        "mixer": R.mixer(i.transfers, i.wallets, C_AS_OF),
+    }
+    if pin:
+        from tradewatch.session import cut_lineage
+        out = {k: cut_lineage(v) for k, v in out.items()}
+    return out
+
+
+def alert_candidates(i: Inputs, shift_hours: int = 0, rules: dict[str, DataFrame] | None = None,
+                     scores: DataFrame | None = None) -> DataFrame:
+    """Rule outputs shaped, resolved to entities and scored. ``shift_hours`` moves the
+    detection time (a later run detecting the same patterns)."""
     def later(df: DataFrame) -> DataFrame:
         if not shift_hours:
             return df
         return df.withColumn("detected_at", F.timestamp_add("HOUR", F.lit(shift_hours), F.col("detected_at")))
 
-    shaped = AL.shape_rules(
-        pump=later(R.pump_dump(i.trades, None, T_AS_OF, WIDE_RULES)),
-        wash=later(R.wash_trades(i.trades, T_AS_OF, WIDE_RULES)),
-        sanctioned=later(R.sanctioned(i.transfers, i.wallets, C_AS_OF)),
-        cross=later(R.cross_venue(i.trades, T_AS_OF, WIDE_RULES)),
-        structuring=later(R.structuring(i.trades, T_AS_OF, WIDE_RULES)),
-        mixer=later(R.mixer(i.transfers, i.wallets, C_AS_OF)),
-    )
-    scores = SC.alert_scores(entity_features(i), T_AS_OF)
+    rules = rules or rule_outputs(i)
+    shaped = AL.shape_rules(**{k: later(v) for k, v in rules.items()})
+    if scores is None:
+        scores = SC.alert_scores(entity_features(i), T_AS_OF)
     return AL.to_alerts(shaped, scores, i.account_map)
 
 
@@ -300,8 +313,11 @@ def _alerts_unified(i: Inputs) -> DataFrame:
 def _alerts_second(i: Inputs) -> DataFrame:
     """Second refresh one hour later against the first run's store: only hashes outside
     their rule's look-back come back (pump alerts hash the detection hour)."""
-    store = AL.refresh_alerts(AL.empty_store(i.spark), alert_candidates(i))
-    return present_alerts(AL.refresh_alerts(store, alert_candidates(i, shift_hours=1)))
+    from tradewatch.session import cut_lineage
+    rules = rule_outputs(i, pin=True)
+    scores = cut_lineage(SC.alert_scores(entity_features(i), T_AS_OF))
+    store = AL.refresh_alerts(AL.empty_store(i.spark), alert_candidates(i, rules=rules, scores=scores))
+    return present_alerts(AL.refresh_alerts(store, alert_candidates(i, 1, rules=rules, scores=scores)))
 
 
 # ------------------------------------------------------------------ cases
