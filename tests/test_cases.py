@@ -83,3 +83,31 @@ def test_apply_actions(spark):
     assert got["c2"].state == "OPEN" and got["c2"].sar_narrative == "text"
     assert rows(al, "alert_id", "status") == [("a1", "FALSE_POSITIVE")]
     assert ev.count() == 3
+
+
+def test_case_prompt_formatting(spark):
+    from pyspark.sql import functions as F
+
+    from tradewatch.plans.context import case_prompt
+    ctx = spark.createDataFrame(
+        [("c1", "CASE-1", "E1", "HIGH", ["WASH_TRADE", "STRUCTURING"], 0.1234, "LOW", True, False,
+          12, 1234567.5, 3, 0.5, 2, 10.0, False, 4),
+         ("c2", None, "E2", None, None, None, None, None, None, None, None, None, None, None, None, None, None)],
+        "case_id string, case_ref string, entity_id string, priority string, alert_types array<string>, "
+        "peak_ml_probability double, aml_risk_rating string, pep_flag boolean, sanctions_flag boolean, "
+        "cex_trade_count_30d long, cex_volume_usd_30d double, onchain_tx_count_30d long, onchain_volume_30d double, "
+        "mixer_interactions_30d long, sanctioned_volume_30d double, has_burst_behaviour boolean, wallet_count long")
+    alerts = F.array(F.struct(F.lit(1).alias("rank"), F.lit("WASH_TRADE").alias("alert_type"),
+                              F.lit("HIGH").alias("severity"), F.lit("pair").alias("reason"),
+                              F.lit(None).cast("timestamp_ntz").alias("detected_at")))
+    ctx = ctx.withColumn("recent_alerts", F.when(F.col("case_id") == "c1", alerts))
+    out = {r.case_id: r.prompt for r in case_prompt(ctx).collect()}
+    p1 = out["c1"]
+    assert "Model fraud probability: 12.3%" in p1
+    assert "PEP: YES | Sanctions: NO" in p1
+    assert "(volume $1,234,568)" in p1 and "(volume 0.5000)" in p1
+    assert "sanctioned counterparty exposure: YES" in p1
+    assert "  - [HIGH] WASH_TRADE: pair" in p1
+    p2 = out["c2"]
+    assert "case N/A" in p2 and "(priority MEDIUM)" in p2 and "0.0%" in p2
+    assert "No specific alert details available" in p2
