@@ -111,3 +111,14 @@ def test_case_prompt_formatting(spark):
     p2 = out["c2"]
     assert "case N/A" in p2 and "(priority MEDIUM)" in p2 and "0.0%" in p2
     assert "No specific alert details available" in p2
+
+
+def test_lexical_severity_parity_option(spark):
+    h = timedelta(hours=1)
+    a = alerts(spark, [("a1", "E1", "WASH_TRADE", "CRITICAL", "OPEN", None, 0.5, NOW - h),
+                       ("a2", "E1", "WASH_TRADE", "MEDIUM", "OPEN", None, 0.5, NOW - h)])
+    c = cases(spark, [("c0", "x", "E9", "CLOSED", "LOW", NOW, False, NOW, NOW, NOW, None)])
+    ranked, _ = C.create_cases(a, c, AS_OF)
+    lexical, _ = C.create_cases(a, c, AS_OF, lexical_severity=True)
+    assert ranked.collect()[0].priority == "CRITICAL"
+    assert lexical.collect()[0].priority == "MEDIUM"        # text maximum, as the reference

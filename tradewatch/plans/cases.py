@@ -47,13 +47,15 @@ def next_case_number(cases: DataFrame, as_of: str) -> int:
 
 
 def create_cases(alerts: DataFrame, cases: DataFrame, as_of: str,
-                 lookback_hours: int = 24) -> tuple[DataFrame, DataFrame]:
+                 lookback_hours: int = 24, lexical_severity: bool = False) -> tuple[DataFrame, DataFrame]:
     """Group open, un-cased alerts of the last ``lookback_hours`` (CRITICAL/HIGH/MEDIUM)
     per entity into new cases, skipping entities that already have a case that is not
     closed (D23). Returns (new case rows, alert rows linked to them).
 
-    Severity is ranked (CRITICAL > HIGH > MEDIUM), not compared as text. Case numbers are a
-    global order (severity, alert count desc, entity) continuing the day's numbering.
+    Severity is ranked (CRITICAL > HIGH > MEDIUM), not compared as text; ``lexical_severity``
+    reproduces the reference's text maximum (MEDIUM > HIGH > CRITICAL) for parity runs. Case
+    numbers are a global order (severity, alert count desc, entity) continuing the day's
+    numbering.
     """
     open_cases = cases.filter(~F.col("state").isin(*CLOSED_STATES)).select("entity_id").distinct()
     a = alerts.filter((F.col("status") == "OPEN") & F.col("case_id").isNull()
@@ -64,7 +66,8 @@ def create_cases(alerts: DataFrame, cases: DataFrame, as_of: str,
         F.max("ml_fraud_probability").alias("peak_ml_probability"),
         F.sort_array(F.collect_set("alert_id")).alias("root_alert_ids"),
         F.sort_array(F.collect_set("alert_type")).alias("alert_types"),
-        F.min(severity_rank(F.col("severity"))).alias("_sev_rank"),
+        (severity_rank(F.max("severity")) if lexical_severity
+         else F.min(severity_rank(F.col("severity")))).alias("_sev_rank"),
         F.count(F.lit(1)).alias("alert_count"),
     )
     start = next_case_number(cases, as_of)

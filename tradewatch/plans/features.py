@@ -213,10 +213,16 @@ def _entity_of_account(df: DataFrame, account_map: DataFrame | None) -> DataFram
 
 
 def onchain_stats(transfers: DataFrame, wallets: DataFrame, as_of: str, days: int = 30,
-                  max_mixers: int = 500_000) -> DataFrame:
+                  max_mixers: int = 500_000, per_entity: bool = False,
+                  true_counterparties: bool = False) -> DataFrame:
     """Per owning entity, transfers of the last ``days`` touching one of its wallets
     (either end, same chain): distinct transactions, volume, distinct senders, transfers to
-    a mixer address, sanctioned volume, highest counterparty risk."""
+    a mixer address, sanctioned volume, highest counterparty risk.
+
+    Parity defaults: a transfer between two wallets of one entity counts once per matching
+    wallet (as the OR join does), and "counterparties" are the distinct senders, own
+    address included. ``per_entity`` counts each transfer once per entity;
+    ``true_counterparties`` counts the distinct addresses at the other end."""
     t = transfers.filter(since("block_ts", as_of, days, "day")).select(
         "tx_hash", "chain", "from_address", "to_address", "value_decimal", "event_type",
         "is_sanctioned_counterparty", "risk_score")
@@ -227,10 +233,14 @@ def onchain_stats(transfers: DataFrame, wallets: DataFrame, as_of: str, days: in
     owned = wallets.filter(F.col("owner_entity_id").isNotNull()).select(
         F.col("wallet_address").alias("_w_addr"), "chain", "owner_entity_id")
     j = either_key_join(t, owned, ["from_address", "to_address"], "_w_addr", on_also=["chain"])
+    if per_entity:
+        j = j.dropDuplicates(["owner_entity_id", "chain", "tx_hash"])
+    other = F.when(F.col("_match_key") == F.col("from_address"), F.col("to_address")).otherwise(F.col("from_address"))
+    party = other if true_counterparties else F.col("from_address")
     return j.groupBy(F.col("owner_entity_id").alias("entity_id")).agg(
         F.count_distinct("tx_hash").alias("onchain_tx_count_30d"),
         F.sum("value_decimal").alias("onchain_volume_30d"),
-        F.count_distinct("from_address").alias("unique_counterparties_30d"),
+        F.count_distinct(party).alias("unique_counterparties_30d"),
         F.sum(F.when((F.col("event_type") == "transfer") & F.col("_to_mixer").isNotNull(), F.lit(1))
               .otherwise(F.lit(0))).cast("long").alias("mixer_interactions_30d"),
         F.sum(F.when(F.col("is_sanctioned_counterparty"), F.col("value_decimal")).otherwise(F.lit(0.0)))
