@@ -46,9 +46,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only when none is configured."""
+    """Return the shared checkpoint folder. Where none is configured, a local master gets a
+    temporary one; on a cluster executors could not share it, so that is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tradewatch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:
