@@ -35,11 +35,11 @@ from pyspark.sql import types as T
 
 from tradewatch.llm.common import fresh_path
 
-BLOCK = 1024
+BLOCK = 4096
 PERCENTILE = 95.0
 _HEADER = struct.Struct("<HBHI")
 _SEGMENT_IDS = 1 << 18
-_KNOWN = 600_000
+_KNOWN = 1_200_000
 
 SEGMENTS = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("first", T.LongType()),
@@ -94,6 +94,14 @@ def unpack(starts: list[int], payload: bytes, first: int = 0, last: int | None =
     return np.concatenate([unpack_block(payload, starts[b]) for b in blocks])[first - blocks[0] * BLOCK:last - blocks[0] * BLOCK]
 
 
+def _holes(parts: list[bytes | None]) -> list[int]:
+    at, found = -1, []
+    for _ in range(parts.count(None)):
+        at = parts.index(None, at + 1)
+        found.append(at)
+    return found
+
+
 class Encoder:
     """Encodes texts as the tokenizer does, keeping the ids of words and pieces it has met.
 
@@ -118,8 +126,7 @@ class Encoder:
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
             self.find = regex.compile(self.PIECES).findall
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # words and pieces
 
     def _whole(self, text: str) -> bool:
         """True if the text must go to the tokenizer as it is."""
@@ -133,31 +140,35 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encode the new pieces of new words in one go; a piece ends at an end-of-word token."""
-        if len(self.words) > _KNOWN:
-            self.words, self.pieces = {}, {}
-        cut = [self.find(w) for w in words]
-        new = list({p for pieces in cut for p in pieces} - self.pieces.keys())
+        known = self.known
+        cut = [(w, self.find(w)) for w in words if not w.isalpha()]  # letters alone are one piece
+        new = [w for w in words if w.isalpha()]
+        new = list(dict.fromkeys(new + [p for _, pieces in cut for p in pieces if p not in known]))
         if new:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(ends) != len(new):
                 raise ValueError("the tokenizer does not mark the ends of pieces")
             flat = ids.tobytes()
-            self.pieces.update(zip(new, (flat[4 * a:4 * b] for a, b in zip([0, *ends], ends))))
-        of = self.pieces.__getitem__
-        self.words.update(zip(words, (b"".join(map(of, pieces)) for pieces in cut)))
+            known.update(zip(new, map(flat.__getitem__, map(slice, [0, *ends], ends))))
+        for w, pieces in cut:
+            if len(pieces) != 1 or pieces[0] != w:
+                known[w] = b"".join([known[p] for p in pieces])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = [self._whole(t) for t in texts]
         split = [[] if w else t.lower().split() for t, w in zip(texts, whole)]
-        new = {w for words in split for w in words if w not in self.words}
-        if new:
-            self._learn(list(new))
-            if missing := {w for words in split for w in words} - self.words.keys():
-                self._learn(list(missing))  # the table was started afresh
-        of = self.words.__getitem__
+        if len(self.known) > _KNOWN:
+            self.known = {}
+        of = self.known.get
+        parts = [list(map(of, words)) for words in split]
+        lacking = [(i, j) for i, p in enumerate(parts) for j in _holes(p)]
+        if lacking:
+            self._learn(list({split[i][j] for i, j in lacking}))
+            for i, j in lacking:
+                parts[i][j] = self.known[split[i][j]]
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w
-                else np.frombuffer(b"".join(map(of, words)), "<u4") for t, w, words in zip(texts, whole, split)]
+                else np.frombuffer(b"".join(p), "<u4") for t, w, p in zip(texts, whole, parts)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -212,12 +223,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
-    """The written segments with ``start``, the number of ids in all segments before."""
-    table = spark.read.schema(SEGMENTS).parquet(path)
-    # one row per part: a part is as many documents as one task encodes
+    return spark.read.schema(SEGMENTS).parquet(path)
+
+
+def part_starts(spark: SparkSession, path: str) -> DataFrame:
+    """part and ``before``, the number of ids in all parts before it: one row per part, and a
+    part is as many documents as one task encodes."""
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = table.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", before.alias("before"))
-    return table.join(parts, "part").withColumn("start", F.col("before") + F.col("first")).drop("before")
+    return segments(spark, path).groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", before.alias("before"))
 
 
 _DIGEST = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()),
@@ -239,13 +252,14 @@ def _digests(start: pa.Array, doc_ids: pa.Array, lengths: pa.Array, starts: pa.A
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """One row per document read back from the files: doc_id, start, n_tokens, ids_crc32."""
-    s = segments(spark, path)
-    return s.select(F.explode(_digests("start", "doc_ids", "doc_lengths", "block_starts", "payload")).alias("d")).select("d.*")
+    docs = segments(spark, path).select("part", F.explode(_digests("first", "doc_ids", "doc_lengths", "block_starts", "payload")).alias("d"))
+    return docs.join(part_starts(spark, path), "part").select(
+        "d.doc_id", (F.col("before") + F.col("d.start")).alias("start"), "d.n_tokens", "d.ids_crc32")
 
 
 def read_ids(spark: SparkSession, path: str, first: int, last: int) -> np.ndarray:
     """Ids ``first`` to ``last`` (exclusive) of the stream, from the blocks that hold them."""
-    s = segments(spark, path)
+    s = segments(spark, path).join(part_starts(spark, path), "part").withColumn("start", F.col("before") + F.col("first"))
     rows = s.filter((F.col("start") < last) & (F.col("start") + F.col("n_ids") > first)).orderBy("start")
     parts = [unpack(r["block_starts"], bytes(r["payload"]), max(0, first - r["start"]), min(r["n_ids"], last - r["start"]))
              for r in rows.toLocalIterator()]
