@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewatch.llm import decontaminate, mixing, quality, simhash, token_blocks
+from tradewatch.llm import decontaminate, mixing, quality, sharding, simhash, token_blocks, url_filter
 from tradewatch.llm.common import table, written
 
 #: File of a public tokenizer, found by name; a parameter of the token query.
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     prints = written(docs.select("doc_id", simhash.fingerprints(width=3)(F.col("text")).alias("fp")), "prints")
@@ -30,6 +34,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.encode_and_read_back(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
@@ -46,6 +55,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       decontaminate.sha256_of_list(F.col("contamination")["items"]).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_quality_rules, op6_token_blocks, op7_mixing, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op4_quality_rules, op5_url_filters, op6_token_blocks, op7_mixing,
+                                 op9_decontamination)}
 
-SQL = {"op7_mixing": mixing.SQL}
+SQL = {"op1_sharding": sharding.SQL, "op5_url_filters": url_filter.SQL, "op7_mixing": mixing.SQL}
