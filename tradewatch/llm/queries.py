@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewatch.llm import decontaminate, mixing, quality, sharding, simhash, token_blocks, url_filter
+from tradewatch.llm import decontaminate, lm_score, mixing, quality, sharding, simhash, token_blocks, url_filter
 from tradewatch.llm.common import table, written
 
 #: File of a public tokenizer, found by name; a parameter of the token query.
@@ -55,7 +55,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       decontaminate.sha256_of_list(F.col("contamination")["items"]).alias("items_sha256"), "contaminated")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumn("log_score", F.round("log_score", 3))
+
+
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op4_quality_rules, op5_url_filters, op6_token_blocks, op7_mixing,
-                                 op9_decontamination)}
+                                 op9_decontamination, op10_lm_score)}
 
-SQL = {"op1_sharding": sharding.SQL, "op5_url_filters": url_filter.SQL, "op7_mixing": mixing.SQL}
+SQL = {"op1_sharding": sharding.SQL, "op5_url_filters": url_filter.SQL, "op7_mixing": mixing.SQL,
+       "op10_lm_score": lm_score.SQL}
