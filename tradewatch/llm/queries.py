@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewatch.llm import decontaminate, lm_score, mixing, quality, sharding, simhash, token_blocks, url_filter
+from tradewatch.llm import decontaminate, line_dedup, lm_score, mixing, quality, sharding, simhash, token_blocks, url_filter
 from tradewatch.llm.common import table, written
 
 #: File of a public tokenizer, found by name; a parameter of the token query.
@@ -48,6 +48,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.with_verdict(docs, table(spark, sf_dir, "benchmark"))
@@ -60,8 +64,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("log_score", F.round("log_score", 3))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op4_quality_rules, op5_url_filters, op6_token_blocks, op7_mixing,
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op4_quality_rules, op5_url_filters, op6_token_blocks, op7_mixing, op8_line_dedup,
                                  op9_decontamination, op10_lm_score)}
 
-SQL = {"op1_sharding": sharding.SQL, "op5_url_filters": url_filter.SQL, "op7_mixing": mixing.SQL,
+SQL = {"op1_sharding": sharding.SQL, "op5_url_filters": url_filter.SQL, "op7_mixing": mixing.SQL, "op8_line_dedup": line_dedup.SQL,
        "op10_lm_score": lm_score.SQL}
