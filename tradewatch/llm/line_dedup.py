@@ -93,18 +93,19 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = firsts.select("cls", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
     possible = rows.alias("x").join(rows.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.cls") != F.col("y.cls")) & close_size
                                     & enough(left_over) & enough(F.floor((F.col("x.n") + F.col("y.n") - apart) / 2)), "left_semi")
-    live = written(firsts.join(possible.select("cls").distinct(), "cls", "left_semi").select("cls", "place"), "line-candidates")
+    possible = written(possible.select("cls", "word"), "line-candidates")  # partners meet at one of these words
 
+    live = firsts.join(possible.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("place").alias("own"))
+    wanted = live.select(F.col("own.doc_id").alias("d2"), F.col("own.line_no").alias("l2")).distinct()
     found = lines.withColumn("d", F.col("place.doc_id")).withColumn("l", F.col("place.line_no")).join(
-        live.select(F.col("place.doc_id").alias("d2"), F.col("place.line_no").alias("l2")).distinct(),
-        F.col("d").eqNullSafe(F.col("d2")) & (F.col("l") == F.col("l2")), "left_semi").select("place", "line")
-    found = _sets(found, marks).join(live.select("cls", F.col("place").alias("own")), "cls").filter(F.col("place") == F.col("own"))
-    found = found.dropDuplicates(["cls"]).select("cls", "place", "n", "codes")
-    words = written(found.select("*", F.posexplode(F.slice("codes", F.lit(1), F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("int") + 1))
-                                 .alias("pos", "word")), "line-words")
+        wanted, F.col("d").eqNullSafe(F.col("d2")) & (F.col("l") == F.col("l2")), "left_semi").select("place", "line")
+    found = _sets(found, marks).join(live, "cls").filter(F.col("place") == F.col("own")).dropDuplicates(["cls"])
+    found = written(found.select("cls", "place", "n", "codes"), "line-words").join(possible, "cls")
     shared = F.size(F.array_intersect("x.codes", "y.codes"))
-    later = words.alias("x").join(words.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("y.place") < F.col("x.place")) & close_size
-                                  & enough(shared), "left_semi").select("cls").distinct().withColumn("similar", F.lit(True))
+    # both sides have the same columns, so that one exchange serves both
+    later = found.alias("x").join(found.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.cls") != F.col("y.cls"))
+                                  & (F.col("y.place") < F.col("x.place")) & close_size & enough(shared), "left_semi")
+    later = later.select("cls").distinct().withColumn("similar", F.lit(True))
     judged = sets.select("place", "cls").join(firsts.select("cls", F.col("place").alias("first")), "cls").join(later, "cls", "left")
     return judged.select("place", (F.coalesce("similar", F.lit(False)) | (F.col("first") < F.col("place"))).alias("removed"))
 
