@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewatch.llm.common import word_count
+from tradewatch.llm.common import word_count, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -57,6 +57,12 @@ def unit_hash(id_col: str, seed: int):
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
 
 
+def _small(plan: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """The table of sources, to be broadcast if its measured size allows; else an ordinary join."""
+    size = plan.agg(F.sum(F.coalesce(F.octet_length("_p_source"), F.lit(0)) + 64)).first()[0] or 0
+    return F.broadcast(plan) if size <= most_bytes else plan
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7,
         weights: Sequence[float] = WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, buckets: int = 4096) -> DataFrame:
     """``docs`` with size, source_size, target (of the source), times and taken (words taken)."""
@@ -78,7 +84,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     plan = plan.join(cut.select(F.col("source").alias("s"), F.col("bucket").alias("cut"), "cut_start"),
                      F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     plan = plan.select(*[F.col(c).alias(f"_p_{c}") for c in plan.columns])
-    rows = sized.join(plan, F.col(source_col).eqNullSafe(F.col("_p_source")))
+    rows = sized.join(_small(written(plan, "mix-plan")), F.col(source_col).eqNullSafe(F.col("_p_source")))
     whole_bucket = F.col("_p_part") > 0
     # no cut bucket: the fraction covers all buckets (or is zero)
     in_cut = F.col("_bucket") == F.col("_p_cut")

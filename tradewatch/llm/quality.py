@@ -4,8 +4,7 @@ Every document gets a few statistics of its whole text. Rules turn them into vot
 -1 (bad) or 0 (abstain). Expectation-maximisation over the counts of all vote patterns
 estimates how often each rule is right on good and on bad documents; the posterior probability of "good" decides, in place of "all rules must pass".
 
-Work at scale: the statistics are one narrow pass (Arrow batches, no shuffle) and are written
-once. EM sees one row per *vote pattern*, at most 3 ** number of rules whatever the input; this
+Work at scale: the statistics are one narrow pass (Arrow batches, no shuffle). EM sees one row per *vote pattern*, at most 3 ** number of rules whatever the input; this
 count table is the only thing that reaches the driver. The posterior is a sum of per-rule log
 odds, evaluated as a Spark expression, so nothing is joined.
 
@@ -183,13 +182,15 @@ def fit(patterns: np.ndarray, counts: np.ndarray, names: list[str], prior: float
 def judge(df: DataFrame, text_col: str = "text", threshold: float = 0.5, prior: float = 0.85,
           drop_text: bool = False) -> DataFrame:
     """``df`` with the statistics, ``base_failed``, one vote column per rule, ``p_good`` and
-    ``kept`` (base check passed and ``p_good >= threshold``). The rows are written once, without the
-    text if it is not asked for."""
+    ``kept`` (base check passed and ``p_good >= threshold``). With ``drop_text`` the statistics are
+    written once; otherwise they are computed for the fit and again for the verdict, which is
+    cheaper than a second copy of all texts."""
     names = [r.name for r, _ in RULES]
     drop = [f"v_{n}" for n in names] + ["p_good", "kept"]
     stats = with_statistics(df.drop(*[c for c in drop if c != text_col]), text_col)
     stats = stats.select("*", *votes())
-    stats = written(stats.drop(text_col) if drop_text else stats, "quality")
+    if drop_text:
+        stats = written(stats.drop(text_col), "quality")
     cols = [f"v_{n}" for n in names]
     # at most 3 ** len(RULES) rows, whatever the size of the input
     seen = stats.groupBy(*cols).count().collect()

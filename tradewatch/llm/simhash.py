@@ -182,11 +182,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
              max_distance: int = 3) -> DataFrame:
     """``docs`` without near-duplicates: of each group the row with the smallest id stays (a
     NULL id counts as larger than any other; of several such rows one stays). The columns are
-    those of ``docs``."""
-    fp, row = "_simhash", "_simhash_row"
-    marked = docs.withColumn(fp, fingerprints(width)(F.col(text_col))).withColumn(row, F.monotonically_increasing_id())
-    marked = written(marked, "simhash")  # the row numbers are fixed from here on
-    prints = marked.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
-    groups = near_duplicates(prints, "id", max_distance)
+    those of ``docs``. Rows are told apart by id and a hash of all columns but maps, so no copy of
+    the texts is written; rows that agree in both are repeats of one row."""
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+    prints = docs.select(F.col(id_col).alias("id"), key.alias("row"), fingerprints(width)(F.col(text_col)).alias("fp"))
+    groups = near_duplicates(written(prints, "simhash"), "id", max_distance)
     first = groups.groupBy("group_fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
-    return marked.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
+    stay = first.select(F.col("first.id").alias("_stay_id"), F.col("first.row").alias("_row"))
+    kept = docs.withColumn("_row", key).join(stay, "_row").filter(F.col(id_col).eqNullSafe(F.col("_stay_id")))
+    return kept.dropDuplicates(["_row"]).select(*docs.columns)
