@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewatch.llm import decontaminate, line_dedup, lm_score, mixing, quality, sharding, simhash, token_blocks, url_filter
+from tradewatch.llm import decontaminate, line_dedup, lm_score, mixing, quality, sharding, simhash, substring_dedup, token_blocks, url_filter
 from tradewatch.llm.common import table, written
 
 #: File of a public tokenizer, found by name; a parameter of the token query.
@@ -29,6 +29,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
@@ -64,8 +69,8 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("log_score", F.round("log_score", 3))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op4_quality_rules, op5_url_filters, op6_token_blocks, op7_mixing, op8_line_dedup,
-                                 op9_decontamination, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op3_suffix_dedup, op4_quality_rules, op5_url_filters, op6_token_blocks,
+                                 op7_mixing, op8_line_dedup, op9_decontamination, op10_lm_score)}
 
 SQL = {"op1_sharding": sharding.SQL, "op5_url_filters": url_filter.SQL, "op7_mixing": mixing.SQL, "op8_line_dedup": line_dedup.SQL,
        "op10_lm_score": lm_score.SQL}
