@@ -22,7 +22,9 @@ never split over segments, so a very long one makes a long segment.
 from __future__ import annotations
 
 import functools
+import itertools
 import struct
+import threading
 import zlib
 from collections.abc import Iterator
 
@@ -39,7 +41,8 @@ BLOCK = 4096
 PERCENTILE = 95.0
 _HEADER = struct.Struct("<HBHI")
 _SEGMENT_IDS = 1 << 18
-_KNOWN = 1_200_000
+_KNOWN = 600_000
+_IDLE_SECONDS = 3.0
 
 SEGMENTS = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("first", T.LongType()),
@@ -127,6 +130,7 @@ class Encoder:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
             self.find = regex.compile(self.PIECES).findall
         self.known: dict[str, bytes] = {}  # words and pieces
+        self.forget = threading.Timer(0, self.known.clear)
 
     def _whole(self, text: str) -> bool:
         """True if the text must go to the tokenizer as it is."""
@@ -155,11 +159,17 @@ class Encoder:
             if len(pieces) != 1 or pieces[0] != w:
                 known[w] = b"".join([known[p] for p in pieces])
 
+    def idle(self) -> None:
+        """Give the table's memory back unless another task comes soon."""
+        self.forget = threading.Timer(_IDLE_SECONDS, self.known.clear)
+        self.forget.daemon = True
+        self.forget.start()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = [self._whole(t) for t in texts]
         split = [[] if w else t.lower().split() for t, w in zip(texts, whole)]
-        if len(self.known) > _KNOWN:
-            self.known = {}
+        if len(self.known) > _KNOWN:  # the words met first are mostly the frequent ones
+            self.known = dict(itertools.islice(self.known.items(), _KNOWN // 2))
         of = self.known.get
         parts = [list(map(of, words)) for words in split]
         lacking = [(i, j) for i, p in enumerate(parts) for j in _holes(p)]
@@ -181,7 +191,8 @@ def _writer(tokenizer: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode_texts, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        coder, part = encoder(tokenizer), TaskContext.get().partitionId()
+        coder.forget.cancel()
         seq = first = held = 0
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
@@ -196,7 +207,7 @@ def _writer(tokenizer: str, end_id: int):
             doc_ids, texts = batch.column(0), batch.column(1)
             for at in range(0, len(texts), 256):
                 some = [t or "" for t in texts[at:at + 256].to_pylist()]
-                for doc, encoded in zip(doc_ids[at:at + 256].to_pylist(), encode_texts(some)):
+                for doc, encoded in zip(doc_ids[at:at + 256].to_pylist(), coder.encode(some)):
                     ids.append(np.append(encoded, np.uint32(end_id)))
                     docs.append(doc)
                     held += len(ids[-1])
@@ -205,6 +216,7 @@ def _writer(tokenizer: str, end_id: int):
                         seq, first, held, ids, docs = seq + 1, first + held, 0, [], []
         if docs:
             yield segment()
+        coder.idle()
 
     return encode
 
