@@ -48,8 +48,8 @@ _GRAM = 8
 _PIECE = 1 << 20
 _OFFSETS = 16
 
-_PLACES = T.ArrayType(T.StructType([T.StructField("place", T.LongType()), T.StructField("core", T.LongType()), T.StructField("tile", T.LongType())]))
-_PLACE_ARROW = pa.list_(pa.struct([("place", pa.int64()), ("core", pa.int64()), ("tile", pa.int64())]))
+_PLACES = T.ArrayType(T.StructType([T.StructField("core", T.LongType()), T.StructField("tile", T.LongType()), T.StructField("places", T.ArrayType(T.LongType()))]))
+_PLACE_ARROW = pa.list_(pa.struct([("core", pa.int64()), ("tile", pa.int64()), ("places", pa.list_(pa.int64()))]))
 
 
 def tiles(raw: bytes, length: int, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,15 +84,18 @@ def _raw(text) -> bytes:
 
 
 def _tile_rows(length: int):
-    """Column function: text to its tiles (place packs first window, extent and anchor)."""
+    """Column function: text to its different tiles and their places (a place packs first window,
+    extent and anchor). A text that repeats itself has few different tiles."""
 
     @F.arrow_udf(_PLACES)
     def rows(text: pa.Array) -> pa.Array:
         out = []
         for t in text:
-            raw = _raw(t)
-            out.append([{"place": lo << 20 | (hi - lo) << 10 | (a - lo), "core": _hash(raw[a:a + length - WIDTH]), "tile": _hash(raw[lo:hi + length])}
-                        for lo, hi, a in zip(*(x.tolist() for x in tiles(raw, length)))])
+            raw, found = _raw(t), {}
+            for lo, hi, a in zip(*(x.tolist() for x in tiles(raw, length))):
+                key = _hash(raw[a:a + length - WIDTH]), _hash(raw[lo:hi + length])
+                found.setdefault(key, []).append(lo << 20 | (hi - lo) << 10 | (a - lo))
+            out.append([{"core": c, "tile": t, "places": p} for (c, t), p in found.items()])
         return pa.array(out, _PLACE_ARROW)
 
     return rows
@@ -199,14 +202,15 @@ def _repeated(key: tuple, lists: pa.Table) -> pa.Table:
 
 
 def _live_tiles(docs: DataFrame, length: int) -> DataFrame:
-    """(id, hash, place, core, tile, whole): tiles whose core repeats. ``whole``: the tile repeats in
+    """(id, hash, places, whole, emit, core, tile): tiles whose core repeats. ``whole``: the tile repeats in
     all windows; ``emit``: the first copy of a tile whose core has other tiles too."""
     every = docs.select("id", "hash", F.explode(_tile_rows(length)(F.col("text"))).alias("t")).select("id", "hash", "t.*")
     around, same = Window.partitionBy("core"), Window.partitionBy("core", "tile")
-    every = every.withColumn("n", F.count("*").over(same)).withColumn("first", F.row_number().over(same.orderBy("id", "hash", "place")) == 1)
-    every = every.withColumn("around", F.count("*").over(around)).filter("around > 1")
+    copies = F.size("places")
+    every = every.withColumn("n", F.sum(copies).over(same)).withColumn("first", F.row_number().over(same.orderBy("id", "hash")) == 1)
+    every = every.withColumn("around", F.sum(copies).over(around)).filter("around > 1")
     whole, emit = F.col("n") > 1, (F.col("n") < F.col("around")) & F.col("first")
-    return every.select("id", "hash", "place", whole.alias("whole"), emit.alias("emit"), F.when(emit, F.col("core")).alias("core"), F.when(emit, F.col("tile")).alias("tile"))
+    return every.select("id", "hash", "places", whole.alias("whole"), emit.alias("emit"), F.when(emit, F.col("core")).alias("core"), F.when(emit, F.col("tile")).alias("tile"))
 
 
 def _splitters(suffix_rows: DataFrame, parts: int, length: int, sample_per_part: int = 40) -> list[bytes]:
@@ -223,7 +227,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """(id, hash, text) to (id, hash, starts): runs (a, b) of window starts that repeat."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     live = written(_live_tiles(docs, length), "tiles")
-    lists = live.filter("emit").groupBy("id", "hash").agg(F.collect_list(F.struct("place", "core", "tile")).alias("t"))
+    lists = live.filter("emit").groupBy("id", "hash").agg(F.collect_list(F.struct(F.element_at("places", 1).alias("place"), "core", "tile")).alias("t"))
     cut = docs.join(lists, docs["id"].eqNullSafe(lists["id"]) & (docs["hash"] == lists["hash"])).select(
         F.explode(F.arrays_zip("t", _tile_texts(length)(docs["text"], F.col("t.place")).alias("x"))).alias("z"))
     cut = cut.select("z.t.core", "z.t.tile", "z.x.left", "z.x.data").dropDuplicates(["core", "tile"])
@@ -232,8 +236,8 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     lists = runs.groupBy("part").applyInArrow(_matched_windows(length, parts), _WINDOWS)
     found = lists.groupBy("part").applyInArrow(_repeated, _FOUND)
     lo = F.shiftright("place", 20)
-    some = live.filter("emit AND NOT whole").join(found, ["core", "tile"]).select("id", "hash", (lo + F.col("a")).alias("a"), (lo + F.col("b")).alias("b"))
-    all_of = live.filter("whole").select("id", "hash", lo.alias("a"), (lo + F.shiftright("place", 10).bitwiseAND(F.lit(1023))).alias("b"))
+    some = live.filter("emit AND NOT whole").withColumn("place", F.element_at("places", 1)).join(found, ["core", "tile"]).select("id", "hash", (lo + F.col("a")).alias("a"), (lo + F.col("b")).alias("b"))
+    all_of = live.filter("whole").withColumn("place", F.explode("places")).select("id", "hash", lo.alias("a"), (lo + F.shiftright("place", 10).bitwiseAND(F.lit(1023))).alias("b"))
     return some.unionByName(all_of).groupBy("id", "hash").agg(F.collect_list(F.struct("a", "b")).alias("starts"))
 
 

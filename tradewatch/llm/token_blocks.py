@@ -41,7 +41,7 @@ BLOCK = 4096
 PERCENTILE = 95.0
 _HEADER = struct.Struct("<HBHI")
 _SEGMENT_IDS = 1 << 18
-_KNOWN = 600_000
+_KNOWN = 900_000
 _IDLE_SECONDS = 3.0
 
 SEGMENTS = T.StructType([
