@@ -41,7 +41,7 @@ BLOCK = 4096
 PERCENTILE = 95.0
 _HEADER = struct.Struct("<HBHI")
 _SEGMENT_IDS = 1 << 18
-_KNOWN = 900_000
+_KNOWN = 500_000
 _IDLE_SECONDS = 3.0
 
 SEGMENTS = T.StructType([
@@ -117,9 +117,10 @@ class Encoder:
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: Latin-1 characters left to the tokenizer: separators beyond ASCII and numbers that are no digits.
     ODD = bytes([*range(0x1C, 0x20), 0x85, 0xA0, 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE])
+    LOWER = bytes(ord(chr(c).lower()) for c in range(256))
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -129,27 +130,40 @@ class Encoder:
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
             self.find = regex.compile(self.PIECES).findall
-        self.known: dict[str, bytes] = {}  # words and pieces
+            # for pieces that are normalized and cut already
+            self.of_pieces = Tokenizer.from_file(path)
+            self.of_pieces.normalizer = None
+            self.of_pieces.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.known: dict[bytes, bytes] = {}  # words and pieces in Latin-1 to their ids
         self.forget = threading.Timer(0, self.known.clear)
 
-    def _whole(self, text: str) -> bool:
-        """True if the text must go to the tokenizer as it is."""
+    def _words(self, text: str) -> list[bytes] | None:
+        """Lower-cased words in Latin-1; None if the text must go to the tokenizer as it is."""
         if not self.by_piece or "<|" in text:
-            return True
+            return None
         try:
             raw = text.encode("latin-1")
         except UnicodeEncodeError:
-            return True
-        return len(raw.translate(None, self.ODD)) < len(raw)
+            return None
+        return None if len(raw.translate(None, self.ODD)) < len(raw) else raw.translate(self.LOWER).split()
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Encode the new pieces of new words in one go; a piece ends at an end-of-word token."""
         known = self.known
-        cut = [(w, self.find(w)) for w in words if not w.isalpha()]  # letters alone are one piece
-        new = [w for w in words if w.isalpha()]
-        new = list(dict.fromkeys(new + [p for _, pieces in cut for p in pieces if p not in known]))
+        cut, new = [], []
+        for w in words:
+            text = w.decode("latin-1")
+            if text.isalpha():  # letters alone are one piece
+                new.append(w)
+            else:
+                pieces = [p.encode("latin-1") for p in self.find(text)]
+                cut.append((w, pieces))
+                new += [p for p in pieces if p not in known]
+        new = list(dict.fromkeys(new))
         if new:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            text = b" ".join(new).decode("latin-1")
+            ids = np.array(self.of_pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(ends) != len(new):
                 raise ValueError("the tokenizer does not mark the ends of pieces")
@@ -166,19 +180,18 @@ class Encoder:
         self.forget.start()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [self._whole(t) for t in texts]
-        split = [[] if w else t.lower().split() for t, w in zip(texts, whole)]
+        split = [self._words(t) for t in texts]
         if len(self.known) > _KNOWN:  # the words met first are mostly the frequent ones
             self.known = dict(itertools.islice(self.known.items(), _KNOWN // 2))
         of = self.known.get
-        parts = [list(map(of, words)) for words in split]
+        parts = [list(map(of, words or ())) for words in split]
         lacking = [(i, j) for i, p in enumerate(parts) for j in _holes(p)]
         if lacking:
             self._learn(list({split[i][j] for i, j in lacking}))
             for i, j in lacking:
                 parts[i][j] = self.known[split[i][j]]
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if w
-                else np.frombuffer(b"".join(p), "<u4") for t, w, p in zip(texts, whole, parts)]
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if words is None
+                else np.frombuffer(b"".join(p), "<u4") for t, words, p in zip(texts, split, parts)]
 
 
 @functools.lru_cache(maxsize=2)
