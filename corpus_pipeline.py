@@ -33,7 +33,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_id_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_blocks.encode_and_read_back(docs, tokenizer_path())
+    return token_blocks.encode_and_read_back(docs, tokenizer_path(), known_words=400_000)
 
 
 STAGES = [("quality_rules", quality_rules), ("simhash_near_dedup", simhash_near_dedup),

@@ -100,7 +100,7 @@ def test_blocks_round_trip_and_ranges():
             assert (token_blocks.unpack(starts, payload, 5, 4100) == ids[5:4100]).all()
 
 
-def test_token_files_equal_the_tokenizer(spark, docs, monkeypatch):
+def test_token_files_equal_the_tokenizer(spark, docs):
     from tokenizers import Tokenizer
 
     df, rows = docs
@@ -123,9 +123,8 @@ def test_token_files_equal_the_tokenizer(spark, docs, monkeypatch):
     assert token_blocks.encode_and_read_back(corpus.empty(spark), queries.tokenizer_path()).count() == 0
 
 
-def test_encoder_table_starts_afresh(monkeypatch):
-    e = token_blocks.Encoder(queries.tokenizer_path())
-    monkeypatch.setattr(token_blocks, "_KNOWN", 20)
+def test_encoder_table_starts_afresh():
+    e = token_blocks.Encoder(queries.tokenizer_path(), known_words=20)
     for t in corpus.texts(seed=11, n=30):
         assert e.encode([t or ""])[0].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
 

@@ -45,7 +45,7 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_blocks.encode_and_read_back(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return token_blocks.encode_and_read_back(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), known_words=1_200_000)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ BLOCK = 4096
 PERCENTILE = 95.0
 _HEADER = struct.Struct("<HBHI")
 _SEGMENT_IDS = 1 << 18
-_KNOWN = 500_000
+KNOWN_WORDS = 500_000
 _IDLE_SECONDS = 3.0
 
 SEGMENTS = T.StructType([
@@ -119,7 +119,7 @@ class Encoder:
     ODD = bytes([*range(0x1C, 0x20), 0x85, 0xA0, 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE])
     LOWER = bytes(ord(chr(c).lower()) for c in range(256))
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known_words: int = KNOWN_WORDS):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -136,6 +136,7 @@ class Encoder:
             self.of_pieces.pre_tokenizer = pre_tokenizers.Sequence(
                 [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[bytes, bytes] = {}  # words and pieces in Latin-1 to their ids
+        self.known_words = known_words
         self.forget = threading.Timer(0, self.known.clear)
 
     def _words(self, text: str) -> list[bytes] | None:
@@ -181,8 +182,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self._words(t) for t in texts]
-        if len(self.known) > _KNOWN:  # the words met first are mostly the frequent ones
-            self.known = dict(itertools.islice(self.known.items(), _KNOWN // 2))
+        if len(self.known) > self.known_words:  # the words met first are mostly the frequent ones
+            self.known = dict(itertools.islice(self.known.items(), self.known_words // 2))
         of = self.known.get
         parts = [list(map(of, words or ())) for words in split]
         lacking = [(i, j) for i, p in enumerate(parts) for j in _holes(p)]
@@ -195,16 +196,16 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, known_words: int) -> Encoder:
     """One per Python worker; Spark reuses workers for further tasks."""
-    return Encoder(path)
+    return Encoder(path, known_words)
 
 
-def _writer(tokenizer: str, end_id: int):
+def _writer(tokenizer: str, end_id: int, known_words: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, part = encoder(tokenizer), TaskContext.get().partitionId()
+        coder, part = encoder(tokenizer, known_words), TaskContext.get().partitionId()
         coder.forget.cancel()
         seq = first = held = 0
         ids: list[np.ndarray] = []
@@ -238,13 +239,16 @@ _ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first", pa.int6
                     ("doc_lengths", pa.list_(pa.int64())), ("block_starts", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1,
+          known_words: int = KNOWN_WORDS) -> None:
     """Encode all documents and write the segments below ``path``. Segments are numbered by
-    (part, seq); ``first`` counts the ids of the same part before a segment."""
+    (part, seq); ``first`` counts the ids of the same part before a segment. ``known_words`` bounds
+    the table of encoded words in each Python worker (about 200 bytes a word); a larger one
+    encodes fewer words twice. The ids are the same."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(n, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"))
-    rows.mapInArrow(_writer(tokenizer, end_id), SEGMENTS).write.parquet(path)
+    rows.mapInArrow(_writer(tokenizer, end_id, known_words), SEGMENTS).write.parquet(path)
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
