@@ -9,7 +9,7 @@ from __future__ import annotations
 TRADES_AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 ONCHAIN_AS_OF = "TIMESTAMP '2001-08-01 00:00:00'"
 
-ACC = "'ACC' || lpad(CAST(user_id AS VARCHAR), 6, '0')"
+ACC = "'ACC' || lpad(CAST(user_id AS VARCHAR), greatest(6, length(CAST(user_id AS VARCHAR)))::INTEGER, '0')"
 PAIR = "CASE event_id % 3 WHEN 0 THEN 'BTC-USDT' WHEN 1 THEN 'ETH-USDT' ELSE 'SOL-USDT' END"
 BASE = "CASE event_id % 3 WHEN 0 THEN 'BTC' WHEN 1 THEN 'ETH' ELSE 'SOL' END"
 SIDE = "CASE WHEN event_type IN ('click', 'view') THEN 'BUY' ELSE 'SELL' END"
@@ -102,7 +102,7 @@ SELECT md5(wallet_address || '::' || chain) AS wallet_id, wallet_address, chain,
        'SEED' AS source_system
 FROM (
   SELECT 'c' || CAST(c_custkey AS VARCHAR) AS wallet_address, ch.chain,
-         'ENT' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS owner_entity_id,
+         'ENT' || lpad(CAST(c_custkey AS VARCHAR), greatest(6, length(CAST(c_custkey AS VARCHAR)))::INTEGER, '0') AS owner_entity_id,
          'EOA' AS wallet_type, false AS is_exchange_wallet, false AS is_mixer, false AS is_sanctioned,
          CAST(NULL AS DOUBLE) AS risk_score, CAST(NULL AS VARCHAR) AS label
   FROM customer, (VALUES ('ethereum'), ('polygon')) ch(chain)
@@ -133,7 +133,7 @@ LEFT JOIN (SELECT * FROM wallets WHERE is_sanctioned OR is_mixer) wt
 """
 
 CTES["entities"] = """
-SELECT 'ENT' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS entity_id,
+SELECT 'ENT' || lpad(CAST(c_custkey AS VARCHAR), greatest(6, length(CAST(c_custkey AS VARCHAR)))::INTEGER, '0') AS entity_id,
        c_name AS full_name,
        DATE '1950-01-01' + CAST(c_custkey % 18000 AS INTEGER) AS date_of_birth,
        CAST(c_nationkey AS VARCHAR) AS nationality,
@@ -155,14 +155,14 @@ FROM customer
 """
 
 CTES["account_map"] = """
-SELECT 'ACC' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS account_id,
-       'ENT' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS entity_id
+SELECT 'ACC' || lpad(CAST(c_custkey AS VARCHAR), greatest(6, length(CAST(c_custkey AS VARCHAR)))::INTEGER, '0') AS account_id,
+       'ENT' || lpad(CAST(c_custkey AS VARCHAR), greatest(6, length(CAST(c_custkey AS VARCHAR)))::INTEGER, '0') AS entity_id
 FROM customer
 """
 
 CTES["alerts_store"] = """
 SELECT CAST(event_id AS VARCHAR) AS alert_id,
-       'ENT' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS entity_id,
+       'ENT' || lpad(CAST(user_id AS VARCHAR), greatest(6, length(CAST(user_id AS VARCHAR)))::INTEGER, '0') AS entity_id,
        'W' || CAST(user_id AS VARCHAR) AS wallet_id,
        CASE event_type WHEN 'click' THEN 'WASH_TRADE' WHEN 'view' THEN 'PUMP_AND_DUMP'
             WHEN 'purchase' THEN 'STRUCTURING' WHEN 'signup' THEN 'CROSS_EXCHANGE_ARBITRAGE'
@@ -179,8 +179,8 @@ FROM events
 
 CTES["cases_store"] = """
 SELECT 'C' || CAST(o_orderkey AS VARCHAR) AS case_id,
-       'CASE-' || strftime(o_orderdate, '%Y%m%d') || '-' || lpad(CAST(o_orderkey AS VARCHAR), 5, '0') AS case_ref,
-       'ENT' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS entity_id,
+       'CASE-' || strftime(o_orderdate, '%Y%m%d') || '-' || lpad(CAST(o_orderkey AS VARCHAR), greatest(5, length(CAST(o_orderkey AS VARCHAR)))::INTEGER, '0') AS case_ref,
+       'ENT' || lpad(CAST(o_orderkey AS VARCHAR), greatest(6, length(CAST(o_orderkey AS VARCHAR)))::INTEGER, '0') AS entity_id,
        CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'P' THEN 'IN_REVIEW' WHEN 'F' THEN 'CLOSED' ELSE 'OPEN' END AS state,
        CASE o_orderpriority WHEN '1-URGENT' THEN 'CRITICAL' WHEN '2-HIGH' THEN 'HIGH'
             WHEN '3-MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END AS priority,

@@ -57,5 +57,11 @@ def fixed(x, scale: int = 2) -> Column:
     return _c(x).cast(f"decimal(38,{scale})").cast("string")
 
 
+def pad(x, width: int) -> Column:
+    """Number as text with leading zeros to ``width``; longer numbers stay whole."""
+    text = _c(x).cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
 def pad_id(prefix: str, x, width: int = 6) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(_c(x).cast("string"), width, "0"))
+    return F.concat(F.lit(prefix), pad(x, width))

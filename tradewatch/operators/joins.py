@@ -7,7 +7,6 @@
   (keys, time bucket) plus an exact residual filter; the bucket also splits hot keys.
 * ``asof_join``: latest right row at or before each left row within a tolerance, computed
   by a time-sliced union + ``last(ignorenulls)`` instead of a fan-out join.
-* ``broadcast_if_small``: broadcast only behind a bounded size check.
 """
 
 from __future__ import annotations
@@ -23,16 +22,6 @@ from tradewatch.functions.timefn import epoch_micros
 DAY_US = 86_400_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Broadcast hint only when the frame provably has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (``limit`` stops early); above the
-    bound the frame is returned unchanged and the planner/AQE choose a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def either_key_join(
     left: DataFrame,
     right: DataFrame,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewatch.functions.risk import severity_of_rank, severity_rank, sla_hours
+from tradewatch.functions.text import pad
 from tradewatch.functions.timefn import as_ts, since
 from tradewatch.operators.state import merge_upsert
 from tradewatch.operators.windows import global_row_number, latest_by
@@ -42,7 +43,7 @@ def next_case_number(cases: DataFrame, as_of: str) -> int:
     day = as_of[:10].replace("-", "")
     prefix = f"CASE-{day}-"
     r = (cases.filter(F.col("case_ref").startswith(prefix))
-         .agg(F.max(F.substring(F.col("case_ref"), len(prefix) + 1, 10).cast("long")).alias("m")).first())
+         .agg(F.max(F.substring(F.col("case_ref"), len(prefix) + 1, 18).cast("long")).alias("m")).first())
     return int(r["m"] or 0)
 
 
@@ -75,7 +76,7 @@ def create_cases(alerts: DataFrame, cases: DataFrame, as_of: str,
     now = as_ts(as_of)
     sev = severity_of_rank(F.col("_sev_rank"))
     day = as_of[:10].replace("-", "")
-    ref = F.concat(F.lit(f"CASE-{day}-"), F.lpad((F.col("_n") + F.lit(start)).cast("string"), 5, "0"))
+    ref = F.concat(F.lit(f"CASE-{day}-"), pad(F.col("_n") + F.lit(start), 5))
     new = numbered.select(
         F.md5(F.concat_ws("|", F.lit("case"), F.col("entity_id"), F.lit(as_of))).alias("case_id"),
         ref.alias("case_ref"),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewatch.functions.timefn import as_ts, epoch_seconds, shift, since, trunc
-from tradewatch.operators.joins import asof_join, broadcast_if_small, either_key_join, interval_join
+from tradewatch.operators.joins import asof_join, either_key_join, interval_join
 from tradewatch.operators.windows import rolling, rows_last_non_null, rows_sum
 from tradewatch.params import DEFAULT_FEATURES, FeatureParams
 
@@ -213,7 +213,7 @@ def _entity_of_account(df: DataFrame, account_map: DataFrame | None) -> DataFram
 
 
 def onchain_stats(transfers: DataFrame, wallets: DataFrame, as_of: str, days: int = 30,
-                  max_mixers: int = 500_000, per_entity: bool = False,
+                  per_entity: bool = False,
                   true_counterparties: bool = False) -> DataFrame:
     """Per owning entity, transfers of the last ``days`` touching one of its wallets
     (either end, same chain): distinct transactions, volume, distinct senders, transfers to
@@ -223,18 +223,18 @@ def onchain_stats(transfers: DataFrame, wallets: DataFrame, as_of: str, days: in
     wallet (as the OR join does), and "counterparties" are the distinct senders, own
     address included. ``per_entity`` counts each transfer once per entity;
     ``true_counterparties`` counts the distinct addresses at the other end."""
+    event = ["event_id"] if "event_id" in transfers.columns else []  # one transaction may hold several transfers
     t = transfers.filter(since("block_ts", as_of, days, "day")).select(
-        "tx_hash", "chain", "from_address", "to_address", "value_decimal", "event_type",
+        *event, "tx_hash", "chain", "from_address", "to_address", "value_decimal", "event_type",
         "is_sanctioned_counterparty", "risk_score")
-    mixers = broadcast_if_small(
-        wallets.filter(F.col("is_mixer") == F.lit(True)).select(F.col("wallet_address").alias("to_address"))
-        .distinct().withColumn("_to_mixer", F.lit(True)), max_mixers)
+    mixers = (wallets.filter(F.col("is_mixer") == F.lit(True)).select(F.col("wallet_address").alias("to_address"))
+              .distinct().withColumn("_to_mixer", F.lit(True)))
     t = t.join(mixers, on="to_address", how="left")
     owned = wallets.filter(F.col("owner_entity_id").isNotNull()).select(
         F.col("wallet_address").alias("_w_addr"), "chain", "owner_entity_id")
     j = either_key_join(t, owned, ["from_address", "to_address"], "_w_addr", on_also=["chain"])
     if per_entity:
-        j = j.dropDuplicates(["owner_entity_id", "chain", "tx_hash"])
+        j = j.dropDuplicates(["owner_entity_id", "chain", "tx_hash", *event])
     other = F.when(F.col("_match_key") == F.col("from_address"), F.col("to_address")).otherwise(F.col("from_address"))
     party = other if true_counterparties else F.col("from_address")
     return j.groupBy(F.col("owner_entity_id").alias("entity_id")).agg(

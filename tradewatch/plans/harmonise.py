@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewatch.operators.joins import broadcast_if_small
 from tradewatch.operators.state import merge_upsert
 from tradewatch.operators.windows import latest_by
 from tradewatch.sources.raw import (BALANCE_PAYLOAD, ONCHAIN_PAYLOAD, ORDER_PAYLOAD, TRADE_PAYLOAD,
@@ -124,7 +123,7 @@ def parse_onchain(raw: DataFrame) -> DataFrame:
         # scaled amount; when the feed only carries the raw integer amount, scale it by the
         # token's decimals in decimal arithmetic (18-decimal amounts overflow LONG)
         F.coalesce(field("value_decimal", "double"),
-                   (F.col("p.value_raw").cast("decimal(38,0)")
+                   (F.col("p.value_raw").try_cast("decimal(38,0)")
                     / F.pow(F.lit(10), F.col("p.decimals")).cast("decimal(38,0)")).cast("double")).alias("value_decimal"),
         field("token_address", "string").alias("token_address"),
         field("token_symbol", "string").alias("token_symbol"),
@@ -146,7 +145,7 @@ def flagged_wallets(wallets: DataFrame) -> DataFrame:
     )
 
 
-def harmonise_transfers(parsed: DataFrame, wallets: DataFrame, max_flagged: int = 500_000,
+def harmonise_transfers(parsed: DataFrame, wallets: DataFrame,
                         dedup: bool = True) -> DataFrame:
     """Typed transfers with counterparty risk (D13): lower-cased addresses, risk score of a
     flagged end, category SANCTIONS before MIXER, sanctioned-counterparty flag.
@@ -161,7 +160,7 @@ def harmonise_transfers(parsed: DataFrame, wallets: DataFrame, max_flagged: int
         "value_raw", "value_decimal", F.lower("token_address").alias("token_address"),
         "token_symbol", "decimals", "event_type", "ingested_at", "raw_record_id",
     )
-    flagged = broadcast_if_small(flagged_wallets(wallets), max_flagged)
+    flagged = flagged_wallets(wallets)
     wf = flagged.select(F.col("wallet_address").alias("from_address"), "chain",
                         F.col("is_sanctioned").alias("_f_sanc"), F.col("is_mixer").alias("_f_mix"),
                         F.col("risk_score").alias("_f_risk"))

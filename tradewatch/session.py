@@ -20,6 +20,7 @@ _DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.sql.files.maxPartitionBytes": "16m",
     "spark.ui.showConsoleProgress": "false",
 }
 

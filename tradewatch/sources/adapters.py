@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewatch.functions.text import pad_id
+from tradewatch.functions.text import pad, pad_id
 
 TRADES_AS_OF = "2024-01-31 00:00:00"
 ONCHAIN_AS_OF = "2001-08-01 00:00:00"
@@ -373,7 +373,7 @@ def cases_store(orders_t: DataFrame) -> DataFrame:
     return orders_t.select(
         F.concat(F.lit("C"), k.cast("string")).alias("case_id"),
         F.concat(F.lit("CASE-"), F.date_format(created, "yyyyMMdd"), F.lit("-"),
-                 F.lpad(k.cast("string"), 5, "0")).alias("case_ref"),
+                 pad(k, 5)).alias("case_ref"),
         entity_of(k).alias("entity_id"),
         state.alias("state"),
         prio.alias("priority"),

@@ -63,11 +63,18 @@ def run_to_parquet(df: DataFrame, name: str, mode: str = "append", trigger: dict
     return out, q
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the folder is there, in whatever store it lives; errors of the store are raised."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_output(spark: SparkSession, path: str, schema) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
-    except Exception:  # noqa: BLE001 - no file committed yet (empty stream)
+    """The written rows; no rows if the stream has not written its folder yet. Any other
+    failure is raised."""
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
 def ntz(df: DataFrame) -> DataFrame:
@@ -257,10 +264,10 @@ def latest_state_stream(events: DataFrame, name: str, fold, empty: DataFrame, ke
     def step(batch: DataFrame, batch_id: int) -> None:
         b = bucket(batch)
         touched = b.select("bucket").distinct()
-        try:
+        # only a missing table is a first batch; an unreadable one fails the batch and stays as it is
+        prev = empty
+        if exists(spark, table):
             prev = spark.read.parquet(table).join(F.broadcast(touched), on="bucket", how="left_semi").drop("bucket")
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            prev = empty
         out = bucket(fold(prev, b.drop("bucket"))).checkpoint(eager=True)
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket").parquet(table))
