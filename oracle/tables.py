@@ -1,4 +1,4 @@
-"""DuckDB definitions of the domain tables, written independently of the Spark adapters.
+"""DuckDB definitions of the domain tables that the Spark adapters derive.
 
 Each constant is a CTE body over the driver's views (events, customer, supplier, orders,
 lineitem). ``with_(...)`` assembles a WITH clause from the names a query needs.

@@ -59,7 +59,6 @@ def _count(v: Column) -> Column:
     return F.coalesce(v, F.lit(0)).cast("long").cast("string")
 
 
-# The prompt layout (field order, labels, number formats).
 NL = "\n"
 
 

@@ -150,9 +150,9 @@ def harmonise_transfers(parsed: DataFrame, wallets: DataFrame,
     """Typed transfers with counterparty risk (D13): lower-cased addresses, risk score of a
     flagged end, category SANCTIONS before MIXER, sanctioned-counterparty flag.
 
-    The flagged wallet list is broadcast only when it is provably small (bounded count);
-    otherwise both look-ups are shuffle joins. ``dedup`` keeps one row per (chain, tx_hash,
-    event_id) (latest ingest); streams de-duplicate within a watermark instead.
+    Both look-ups of flagged wallets are left joins, sized at run time. ``dedup`` keeps one row
+    per (chain, tx_hash, event_id) (latest ingest); a stream calls it with ``dedup=False`` and
+    de-duplicates on its own if it has to.
     """
     t = parsed.filter(F.col("tx_hash").isNotNull() & F.col("chain").isNotNull()).select(
         "event_id", "chain", "block_number", "block_ts", "tx_hash",
