@@ -112,6 +112,14 @@ def link_alerts(alerts: DataFrame, new_cases: DataFrame, as_of: str) -> DataFram
             .withColumn("updated_at", as_ts(as_of)).drop("_new_case"))
 
 
+def with_links(alerts: DataFrame, linked: DataFrame) -> DataFrame:
+    """The alert store with the linked rows in place of their open versions."""
+    new = linked.select("alert_id", *[F.col(c).alias(f"_new_{c}") for c in ("case_id", "status", "updated_at")])
+    j = alerts.join(new, on="alert_id", how="left")
+    return j.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in ("case_id", "status", "updated_at")
+                      else F.col(c) for c in alerts.columns])
+
+
 def latest_orders_batch(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     """T3 step: fold one micro-batch of order events into the latest-state snapshot."""
     from tradewatch.plans.harmonise import harmonise_orders
@@ -147,16 +155,21 @@ def apply_actions(cases: DataFrame, alerts: DataFrame | None, actions: DataFrame
 
     ``actions(action_id, case_id, action, new_state, analyst, narrative, action_ts)`` with
     ``action`` STATE_CHANGE or NARRATIVE. The latest state change per case wins; closing
-    states set ``closed_at`` and ``resolution_type``; the latest narrative is stored.
+    states set ``closed_at`` and ``resolution_type``; the latest narrative is stored, with its
+    ``summary`` where the actions have that column. A ``recommended_action`` goes to the audit event.
     Actions on unknown cases are ignored. Returns (cases, alerts, audit events).
     """
     c = _with_case_defaults(cases)
+    for extra in ("summary", "recommended_action"):
+        if extra not in actions.columns:
+            actions = actions.withColumn(extra, F.lit(None).cast("string"))
     known = actions.join(c.select("case_id"), on="case_id", how="left_semi")
     st = latest_by(known.filter(F.col("action") == "STATE_CHANGE"), ["case_id"], ["action_ts", "action_id"])
     nar = latest_by(known.filter(F.col("action") == "NARRATIVE"), ["case_id"], ["action_ts", "action_id"])
     src = (st.select("case_id", F.col("new_state").alias("_state"), F.col("analyst").alias("_analyst"),
                      F.col("action_ts").alias("_st_ts"))
-           .join(nar.select("case_id", F.col("narrative").alias("_narr"), F.col("action_ts").alias("_nr_ts")),
+           .join(nar.select("case_id", F.col("narrative").alias("_narr"), F.col("summary").alias("_summary"),
+                                F.col("action_ts").alias("_nr_ts")),
                  on="case_id", how="full_outer"))
     closing = F.col("src._state").isin(*CLOSED_STATES)
     upd = {
@@ -168,6 +181,7 @@ def apply_actions(cases: DataFrame, alerts: DataFrame | None, actions: DataFrame
         "resolution_type": F.when(F.col("src._state") == "FALSE_POSITIVE", F.lit("FALSE_POSITIVE"))
                             .when(closing, F.lit("TRUE_POSITIVE")).otherwise(F.col("tgt.resolution_type")),
         "sar_narrative": F.coalesce(F.col("src._narr"), F.col("tgt.sar_narrative")),
+        "summary": F.coalesce(F.col("src._summary"), F.col("tgt.summary")),
     }
     # source rows whose case does not exist were removed above, so the merge only updates
     new_cases = merge_upsert(c, src, ["case_id"], update=upd)
@@ -183,7 +197,9 @@ def apply_actions(cases: DataFrame, alerts: DataFrame | None, actions: DataFrame
         F.md5(F.concat_ws("|", F.col("action_id"), F.col("case_id"))).alias("event_id"),
         "case_id",
         F.when(F.col("action") == "NARRATIVE", F.lit("NARRATIVE")).otherwise(F.lit("STATE_CHANGE")).alias("event_type"),
-        F.when(F.col("action") == "NARRATIVE", F.create_map(F.lit("narrative_chars"), F.length("narrative").cast("string")))
+        F.when(F.col("action") == "NARRATIVE", F.map_filter(F.create_map(
+            F.lit("narrative_chars"), F.length("narrative").cast("string"),
+            F.lit("recommended_action"), F.col("recommended_action")), lambda k, v: v.isNotNull()))
          .otherwise(F.create_map(F.lit("new_state"), F.col("new_state"))).alias("event_data"),
         F.col("analyst").alias("performed_by"),
         F.col("action_ts").alias("event_ts"),

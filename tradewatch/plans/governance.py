@@ -42,6 +42,15 @@ def tag_columns(df: DataFrame, table: str = "entity") -> DataFrame:
     return out
 
 
+def tag_coverage(df: DataFrame) -> DataFrame:
+    """One row per tagged column and tag of ``df``: how many values the tag covers."""
+    tagged = [(f.name, k, str(v)) for f in df.schema.fields for k, v in sorted(f.metadata.items())]
+    counts = df.agg(*[F.count(c).alias(c) for c in sorted({c for c, _, _ in tagged})])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("tag"), F.lit(v).alias("tag_value"), F.col(c).alias("n_values"))
+        for c, k, v in tagged])))
+
+
 def scope_cases(cases: DataFrame, role: str, user: str) -> DataFrame:
     """Row policy on cases (D27): privileged roles see all rows; others see unassigned
     cases and their own. Apply before aggregating: the policy also shapes aggregates."""

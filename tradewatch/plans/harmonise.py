@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tradewatch.operators.state import merge_upsert
 from tradewatch.operators.windows import latest_by
-from tradewatch.sources.raw import (BALANCE_PAYLOAD, ONCHAIN_PAYLOAD, ORDER_PAYLOAD, TRADE_PAYLOAD,
-                                   field, ts_field, valid)
+from tradewatch.sources.raw import (BALANCE_PAYLOAD, LOG_PAYLOAD, ONCHAIN_PAYLOAD, ORDER_PAYLOAD, TRADE_PAYLOAD,
+                                   field, scaled_amount, ts_field, unusable_amount, valid)
 
 TRADE_COLUMNS = ["trade_id", "order_id", "account_id", "wallet_id", "venue", "trading_pair",
                  "base_asset", "quote_asset", "side", "price", "quantity", "quote_qty", "fee",
@@ -110,7 +110,7 @@ def harmonise_balances(parsed: DataFrame) -> DataFrame:
 
 
 def parse_onchain(raw: DataFrame) -> DataFrame:
-    v = valid(raw, ONCHAIN_PAYLOAD)
+    v = valid(raw, ONCHAIN_PAYLOAD, unusable_amount())
     return v.select(
         field("event_id", "string").alias("event_id"),
         field("chain", "string").alias("chain"),
@@ -120,11 +120,7 @@ def parse_onchain(raw: DataFrame) -> DataFrame:
         field("from_address", "string").alias("from_address"),
         field("to_address", "string").alias("to_address"),
         field("value_raw", "string").alias("value_raw"),
-        # scaled amount; when the feed only carries the raw integer amount, scale it by the
-        # token's decimals in decimal arithmetic (18-decimal amounts overflow LONG)
-        F.coalesce(field("value_decimal", "double"),
-                   (F.col("p.value_raw").try_cast("decimal(38,0)")
-                    / F.pow(F.lit(10), F.col("p.decimals")).cast("decimal(38,0)")).cast("double")).alias("value_decimal"),
+        scaled_amount().alias("value_decimal"),
         field("token_address", "string").alias("token_address"),
         field("token_symbol", "string").alias("token_symbol"),
         field("decimals", "int").alias("decimals"),
@@ -134,6 +130,13 @@ def parse_onchain(raw: DataFrame) -> DataFrame:
     )
 
 
+def parse_logs(raw: DataFrame) -> DataFrame:
+    """Service log lines: level in capitals, unparsable times NULL."""
+    return valid(raw, LOG_PAYLOAD).select(
+        ts_field("timestamp").alias("log_ts"), F.upper(F.col("p.level")).alias("level"), field("service").alias("service"),
+        field("message").alias("message"), F.col("_load_ts").alias("ingest_ts"), F.col("_record_id").alias("raw_record_id"))
+
+
 def flagged_wallets(wallets: DataFrame) -> DataFrame:
     """Sanctioned or mixer wallets, one row per (address, chain) (trap: duplicate wallet
     rows for one address would multiply transfers)."""

@@ -668,7 +668,10 @@ def _tagged(i: Inputs) -> DataFrame:
 
 @query("active_relations")
 def _relations(i: Inputs) -> DataFrame:
-    return H.active_edges(H.owner_edges(i.wallets))
+    """Edges of owners whose number ends in 7 ended after a day."""
+    edges = H.owner_edges(i.wallets)
+    ended = F.when(F.col("from_id").endswith("7"), F.timestamp_add("DAY", F.lit(1), F.col("valid_from")))
+    return H.active_edges(edges.withColumn("valid_to", ended))
 
 
 @query("pipeline_health")
@@ -699,9 +702,89 @@ def _next_case(i: Inputs) -> DataFrame:
 def _case_events(i: Inputs) -> DataFrame:
     _, sla = CA.check_sla(i.cases_store, C_AS_OF)
     _, _, acts = acted(i)
-    ev = sla.select("event_id", "case_id", "event_type", "performed_by", "event_ts").unionByName(
-        acts.select("event_id", "case_id", "event_type", "performed_by", "event_ts"))
-    return RP.case_detail_events(ev)
+    cols = ["event_id", "case_id", "event_type", "event_data", "performed_by", "event_ts"]
+    return RP.case_detail_events(sla.select(*cols).unionByName(acts.select(*cols)))
+
+
+@query("case_detail_header")
+def _case_header(i: Inputs) -> DataFrame:
+    cases, _, _ = acted(i)
+    return RP.case_detail_header(cases, i.entities)
+
+
+@query("case_detail_alerts")
+def _case_alerts(i: Inputs) -> DataFrame:
+    cases, linked = new_cases(i)
+    return RP.case_detail_alerts(cases, linked)
+
+
+@query("sla_snapshot")
+def _sla_snapshot(i: Inputs) -> DataFrame:
+    snapshot, _ = CA.check_sla(i.cases_store, C_AS_OF)
+    return present_cases(snapshot)
+
+
+@query("actions_alerts")
+def _actions_alerts(i: Inputs) -> DataFrame:
+    """Alerts after the analysts' actions: each alert belongs to the report case of its number."""
+    alerts = i.alerts_store.withColumn("case_id", F.concat(F.lit("C"), F.col("alert_id")))
+    _, out, _ = CA.apply_actions(i.cases_store, alerts, A.case_actions(i.table("orders")))
+    return out.select("alert_id", "case_id", "status", "updated_at")
+
+
+@query("log_feed")
+def _log_feed(i: Inputs) -> DataFrame:
+    return H.parse_logs(A.logs_raw(i.events))
+
+
+@query("onchain_dead_letters")
+def _onchain_dead_letters(i: Inputs) -> DataFrame:
+    """Truncated payloads and raw amounts that are no number."""
+    raw = A.onchain_raw(i.table("lineitem"), i.table("orders"), faults=True)
+    dlq = RAW.dead_letters(raw, "ONCHAIN_RAW", RAW.ONCHAIN_PAYLOAD, RAW.unusable_amount())
+    return dlq.withColumn("raw_payload", F.get_json_object("raw_payload", "$.value_raw"))
+
+
+@query("onchain_amounts")
+def _onchain_amounts(i: Inputs) -> DataFrame:
+    """Amounts of the feed's good rows, some of them scaled from the raw integer amount."""
+    raw = A.onchain_raw(i.table("lineitem"), i.table("orders"), faults=True)
+    return H.parse_onchain(raw).select("event_id", "chain", "tx_hash", "value_decimal")
+
+
+@query("json_array_ingest")
+def _json_arrays(i: Inputs) -> DataFrame:
+    """Files that hold one JSON array each (1000 event numbers a file), read with the feed's
+    schema; the file a record came from is kept as lineage."""
+    from tradewatch.session import checkpoint_dir
+    path = checkpoint_dir(i.spark, "json_arrays")
+    body = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.lit("info").alias("level"),
+                              F.col("event_type").alias("service"), F.col("event_id").cast("string").alias("message")))
+    files = i.events.select(F.expr("event_id div 1000").alias("file"), body.alias("record")).groupBy("file").agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list("record"), ","), F.lit("]")).alias("value"))
+    files.repartition("file").write.partitionBy("file").text(path)
+    df = RAW.read_json_files(i.spark, path, RAW.LOG_PAYLOAD, multiline=True)
+    return df.filter(F.col(RAW.CORRUPT).isNull()).select(
+        "timestamp", "level", "service", "message", F.regexp_extract("_file_name", "/file=(\\d+)/", 1).cast("long").alias("file_number"))
+
+
+@query("entity_tag_coverage")
+def _tag_coverage(i: Inputs) -> DataFrame:
+    return GV.tag_coverage(GV.tag_columns(i.entities, "entity"))
+
+
+@query("pipeline_second_run")
+def _pipeline_second_run(i: Inputs) -> DataFrame:
+    """The whole flow, then a second refresh 26 hours later on the stores of the first: every
+    number of broken rows must be zero, and some cases must be flagged."""
+    from tradewatch.functions.timefn import shift
+    from tradewatch.plans.pipeline import refresh, run_pipeline, store_faults
+    from tradewatch.session import checkpoint_dir
+    out = checkpoint_dir(i.spark, "pipeline")
+    run_pipeline(i.spark, i.sf_dir, out, trade_features=False)
+    later = shift(T_AS_OF, 26, "hour")
+    refresh(i.spark, out, 2, later, shift(C_AS_OF, 26, "hour"), i.account_map)
+    return store_faults(i.spark, out, 2, later)
 
 
 @query("stream_latest_orders")

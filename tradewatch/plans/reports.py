@@ -226,8 +226,26 @@ def next_case_for_narrative(cases: DataFrame) -> DataFrame:
         "case_id", "case_ref", "entity_id", "priority", "created_at")
 
 
+def case_detail_header(cases: DataFrame, entities: DataFrame) -> DataFrame:
+    """Every case with what is known of its entity (NULL where the entity is unknown)."""
+    e = entities.select("entity_id", "full_name", "email", "account_type", "kyc_tier", "aml_risk_rating", "pep_flag",
+                        "sanctions_flag", "onboarded_at")
+    c = cases.select("case_id", "case_ref", "entity_id", "state", "priority", "title", "summary", "sar_narrative",
+                     "peak_ml_probability", "assigned_to", "due_by", "sla_breached", "resolution_type", "created_at", "closed_at")
+    return c.join(e, on="entity_id", how="left")
+
+
+def case_detail_alerts(cases: DataFrame, alerts: DataFrame) -> DataFrame:
+    """All alerts linked to each case; ``severity_order`` and the time order them for display."""
+    a = alerts.filter(F.col("case_id").isNotNull()).select(
+        "case_id", "alert_id", "alert_type", "severity", severity_rank(F.col("severity")).alias("severity_order"), "reason",
+        "detected_at", "status", "ml_fraud_probability")
+    return a.join(cases.select("case_id"), on="case_id", how="left_semi")
+
+
 def case_detail_events(events: DataFrame, limit: int = 20) -> DataFrame:
-    """The ``limit`` most recent audit events of every case."""
+    """The ``limit`` most recent audit events of every case, their data as JSON text."""
     top = top_k(events, ["case_id"], [F.col("event_ts").desc(), F.col("event_id").desc()], limit,
                 salt_col="event_id", rank_col="row_rank")
-    return top.select("case_id", "row_rank", "event_id", "event_type", "performed_by", "event_ts")
+    return top.select("case_id", "row_rank", "event_id", "event_type", F.to_json("event_data").alias("event_data"),
+                      "performed_by", "event_ts")

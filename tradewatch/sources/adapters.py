@@ -244,8 +244,14 @@ def transfers_parsed(lineitem: DataFrame, orders_t: DataFrame) -> DataFrame:
     return _transfer_columns(lineitem, orders_t)
 
 
-def onchain_raw(lineitem: DataFrame, orders_t: DataFrame) -> DataFrame:
+def onchain_raw(lineitem: DataFrame, orders_t: DataFrame, faults: bool = False) -> DataFrame:
+    """Raw on-chain envelopes. With ``faults``, blocks divisible by 41 carry only the raw amount,
+    those divisible by 82 one that is no number, and those divisible by 97 a truncated payload."""
     t = _transfer_columns(lineitem, orders_t)
+    block = F.col("block_number")
+    if faults:
+        t = (t.withColumn("value_decimal", F.when(block % 41 != 0, F.col("value_decimal")))
+             .withColumn("value_raw", F.when(block % 82 == 0, F.lit("0xff")).otherwise(F.col("value_raw"))))
     cols = [c for c in t.columns if c not in ("raw_record_id",)]
     body = F.to_json(F.struct(
         *[F.col(c) for c in cols if c not in ("block_ts", "ingested_at")],
@@ -260,10 +266,20 @@ def onchain_raw(lineitem: DataFrame, orders_t: DataFrame) -> DataFrame:
         F.lit("FILE").alias("_ingest_method"),
         F.concat_ws(":", F.col("chain"), F.col("tx_hash")).alias("_partition_key"),
         F.lit(None).cast("string").alias("_file_name"),
-        body.alias("payload"),
+        (F.when(block % 97 == 0, F.substring(body, 1, 8)).otherwise(body) if faults else body).alias("payload"),
     )
 
 
+def logs_raw(events: DataFrame) -> DataFrame:
+    """Raw service log envelopes: one line per event, with truncated payloads and bad times."""
+    body = F.to_json(F.struct(
+        _ts_text(F.col("ts")).alias("timestamp"),
+        F.when(F.col("event_type") == "error", F.lit("error")).otherwise(F.lit("info")).alias("level"),
+        F.concat(F.lit("svc-"), (F.col("event_id") % 4).cast("string")).alias("service"),
+        F.concat_ws(" ", F.col("event_type"), F.col("user_id").cast("string")).alias("message")))
+    return _envelope("L", events, _corrupt(body), F.col("event_type"), "logs", 3).drop("_event_id")
+
+
 # --------------------------------------------------------------------------- masters
 
 
@@ -436,4 +452,7 @@ def case_actions(orders_t: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("narrative"),
         F.timestamp_add("DAY", F.lit(1), d).alias("action_ts"),
     )
-    return first.unionByName(second).unionByName(narrative).unionByName(unknown)
+    every = first.unionByName(second).unionByName(narrative).unionByName(unknown)
+    told = F.col("action") == "NARRATIVE"
+    return every.withColumn("summary", F.when(told, F.concat(F.lit("Summary of "), F.col("case_id")))).withColumn(
+        "recommended_action", F.when(told, F.when(F.col("case_id").endswith("00"), F.lit("FILE_SAR")).otherwise(F.lit("CONTINUE_MONITORING"))))

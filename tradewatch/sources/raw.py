@@ -63,18 +63,36 @@ def parse(raw: DataFrame, schema: T.StructType) -> DataFrame:
     return raw.withColumn("p", F.from_json(F.col("payload"), full, opts))
 
 
-def _is_bad() -> Column:
-    return F.col("payload").isNull() | F.col(f"p.{CORRUPT}").isNotNull()
+def _is_bad(unusable: Column | None) -> Column:
+    bad = F.col("payload").isNull() | F.col(f"p.{CORRUPT}").isNotNull()
+    return bad if unusable is None else bad | F.coalesce(unusable, F.lit(False))
 
 
-def valid(raw: DataFrame, schema: T.StructType) -> DataFrame:
-    """Rows whose payload parses; ``p`` holds the typed payload struct."""
-    return parse(raw, schema).filter(~_is_bad())
+def scaled_amount() -> Column:
+    """Token amount of an on-chain payload: the scaled amount it carries, else the raw integer
+    amount over 10 ** decimals in decimal arithmetic (18-decimal amounts overflow LONG). NULL
+    where the text is no number or the result has too many digits."""
+    unit = F.pow(F.lit(10), F.col("p.decimals")).try_cast("decimal(38,0)")
+    raw_amount = F.col("p.value_raw").try_cast("decimal(38,0)")
+    return F.coalesce(F.col("p.value_decimal"), F.try_divide(raw_amount, unit).cast("double"))
 
 
-def dead_letters(raw: DataFrame, source_table: str, schema: T.StructType) -> DataFrame:
-    """Rows whose payload does not parse, in the dead-letter shape."""
-    bad = parse(raw, schema).filter(_is_bad())
+def unusable_amount() -> Column:
+    """A raw amount is given and no number can be read from it."""
+    no_number = F.col("p.value_raw").try_cast("decimal(38,0)").isNull()
+    return (F.col("p.value_decimal").isNull() & F.col("p.value_raw").isNotNull()
+            & (no_number | (F.col("p.decimals").isNotNull() & scaled_amount().isNull())))
+
+
+def valid(raw: DataFrame, schema: T.StructType, unusable: Column | None = None) -> DataFrame:
+    """Rows whose payload parses and is not ``unusable``; ``p`` holds the typed payload struct."""
+    return parse(raw, schema).filter(~_is_bad(unusable))
+
+
+def dead_letters(raw: DataFrame, source_table: str, schema: T.StructType, unusable: Column | None = None) -> DataFrame:
+    """Rows whose payload does not parse or is ``unusable`` (a condition on ``p``), in the
+    dead-letter shape (S10)."""
+    bad = parse(raw, schema).filter(_is_bad(unusable))
     return bad.select(
         F.sha2(F.concat(F.lit(source_table + ":"), F.col("_record_id")), 256).alias("_dlq_id"),
         F.col("_load_ts"),
@@ -89,11 +107,6 @@ def dead_letters(raw: DataFrame, source_table: str, schema: T.StructType) -> Dat
     )
 
 
-def split(raw: DataFrame, source_table: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(valid rows with ``p``, dead letters): two filtered branches of one parse."""
-    return valid(raw, schema), dead_letters(raw, source_table, schema)
-
-
 def field(path: str, dtype: str | None = None) -> Column:
     """Typed payload field (the schema already fixed its type)."""
     c = F.col(f"p.{path}")
