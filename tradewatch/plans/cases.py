@@ -126,6 +126,12 @@ def latest_orders_batch(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     return harmonise_orders(snapshot.drop("fill_ratio").unionByName(batch))
 
 
+def latest_balances_batch(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
+    """T3 step: fold one micro-batch of balance events into the latest-state snapshot."""
+    from tradewatch.plans.harmonise import harmonise_balances
+    return harmonise_balances(snapshot.unionByName(batch, allowMissingColumns=True))
+
+
 def check_sla(cases: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     """Flag cases past their deadline that are not closed (D24). Returns (case snapshot,
     SLA_BREACH audit rows for exactly the cases flagged now)."""

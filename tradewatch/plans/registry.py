@@ -796,6 +796,15 @@ def _stream_orders(i: Inputs) -> DataFrame:
     return i.spark.read.parquet(path).drop("bucket")
 
 
+@query("stream_latest_balances")
+def _stream_balances(i: Inputs) -> DataFrame:
+    """Latest balance per account and asset kept by a stream."""
+    events = H.parse_balances(A.balances_raw(ST.table_stream(i.spark, i.sf_dir, "events", max_files=1)))
+    empty = H.harmonise_balances(H.parse_balances(A.balances_raw(i.events))).limit(0)
+    path = ST.latest_state_stream(events, "stream_balances", CA.latest_balances_batch, empty, ["account_id", "asset"])
+    return i.spark.read.parquet(path).drop("bucket")
+
+
 @query("seed_wallets")
 def _seed_wallets(i: Inputs) -> DataFrame:
     """Insert-only merge (M2): discovered addresses missing from a master that holds the

@@ -40,6 +40,25 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     return r.parquet(path[:-1] + "[" + path[-1] + "]")
 
 
+def kafka_stream(spark: SparkSession, servers: str, topic: str, max_offsets: int | None = None, **options: str) -> DataFrame:
+    """A feed's topic as envelopes. Needs the Kafka source package on the cluster."""
+    r = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).options(**options)
+    if max_offsets:
+        r = r.option("maxOffsetsPerTrigger", max_offsets)
+    return kafka_envelope(r.load())
+
+
+def kafka_envelope(records: DataFrame) -> DataFrame:
+    """Envelopes of Kafka records. The record id names the record's place in the log, so a
+    replay gives the same ids; a record without a value has a NULL payload (a dead letter)."""
+    place = F.concat_ws(":", "topic", F.col("partition").cast("string"), F.col("offset").cast("string"))
+    return records.select(
+        F.sha2(place, 256).alias("_record_id"), F.col("timestamp").cast("timestamp_ntz").alias("_load_ts"),
+        F.lit("kafka").alias("_source"), F.lit("STREAM").alias("_ingest_method"),
+        F.col("key").cast("string").alias("_partition_key"), F.lit(None).cast("string").alias("_file_name"),
+        F.col("value").cast("string").alias("payload"))
+
+
 def event_time(c: str) -> Column:
     """Watermarks need TIMESTAMP; the tables hold TIMESTAMP_NTZ in UTC (same instant)."""
     return F.col(c).cast("timestamp")
@@ -250,9 +269,10 @@ def latest_state_stream(events: DataFrame, name: str, fold, empty: DataFrame, ke
     The table is partitioned by ``bucket = pmod(xxhash64(keys), buckets)``. Every
     micro-batch reads only the buckets its keys fall in (a semi-join on the bucket column,
     pruned to those folders), folds its rows into them, cuts the lineage with a reliable
-    checkpoint and overwrites exactly those buckets (dynamic partition overwrite). Work per
-    batch grows with the batch, not with the whole state; folding is idempotent, so a
-    retried batch rewrites the same buckets with the same rows. Returns the table folder.
+    checkpoint and overwrites exactly those buckets (dynamic partition overwrite). A batch
+    whose keys fall in every bucket rewrites the whole state, so ``buckets`` should be well
+    above the keys of a batch. Folding is idempotent: a retried batch rewrites the same
+    buckets with the same rows. Returns the table folder.
     """
     spark = events.sparkSession
     base = base or checkpoint_dir(spark, name)
