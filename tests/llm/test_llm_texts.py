@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from tests.llm import corpus
-from tradewatch.llm import decontaminate, lcp_merge, lm_score, line_dedup, quality, simhash, substring_dedup
+from tradewatch.llm import decontaminate, lcp_merge, lm_score, line_dedup, quality, queries, simhash, substring_dedup
 
 
 @pytest.fixture(scope="module")
@@ -260,3 +260,12 @@ def test_scores_equal_brute_force(spark, docs, order):
     got = lm_score.score(df, order=order, block_bytes=3000).collect()
     assert Counter((r.doc_id, r.n_words, round(r.log_score, 4) + 0.0) for r in got) == score_brute(rows, order)
     assert lm_score.score(corpus.empty(spark), order=order).count() == 0
+
+
+def test_registered_scores_tell_longer_phrases_apart(spark, tmp_path):
+    rows = [(0, "a b a c a"), (1, "a b a c a"), (2, "a c a b a")]  # the same words and pairs, other triples
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.log_score for r in queries.QUERIES["op10_lm_score_order3"](spark, str(tmp_path)).collect()}
+    assert got[0] == got[1] != got[2]
+    brute = score_brute(rows, 3)
+    assert all((d, 5, pytest.approx(s, abs=1e-3)) in list(brute) for d, s in got.items())

@@ -210,3 +210,19 @@ s AS (SELECT doc_id, CASE WHEN c2.c >= 2 THEN ln(c2.c / p.c::DOUBLE)
   FROM b JOIN c1 ON b.word = c1.word CROSS JOIN n LEFT JOIN c2 ON b.prev = c2.prev AND b.word = c2.word LEFT JOIN c1 p ON p.word = b.prev)
 SELECT d.doc_id, count(s.doc_id) AS n_words, round(coalesce(sum(lp), 0), 3) + 0.0 AS log_score FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id
 """
+
+#: The same with contexts of up to two words.
+SQL_ORDER3 = """
+WITH w AS (SELECT doc_id, i, word FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents))),
+b AS (SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS prev, lag(word, 2) OVER (PARTITION BY doc_id ORDER BY i) AS prev2 FROM w),
+c1 AS (SELECT word, count(*) AS c FROM w GROUP BY word), n AS (SELECT count(*) AS n FROM w),
+c2 AS (SELECT prev, word, count(*) AS c FROM b WHERE prev IS NOT NULL GROUP BY ALL),
+c3 AS (SELECT prev2, prev, word, count(*) AS c FROM b WHERE prev2 IS NOT NULL GROUP BY ALL),
+s AS (SELECT doc_id, CASE WHEN c3.c >= 2 THEN ln(c3.c / q.c::DOUBLE)
+    WHEN c2.c >= 2 THEN ln(CASE WHEN b.prev2 IS NULL THEN 1 ELSE 0.4 END * c2.c / p.c::DOUBLE)
+    ELSE ln(CASE WHEN b.prev IS NULL THEN 1 WHEN b.prev2 IS NULL THEN 0.4 ELSE 0.4 * 0.4 END * c1.c / n.n::DOUBLE) END AS lp
+  FROM b JOIN c1 ON b.word = c1.word CROSS JOIN n LEFT JOIN c2 ON b.prev = c2.prev AND b.word = c2.word LEFT JOIN c1 p ON p.word = b.prev
+    LEFT JOIN c3 ON b.prev2 = c3.prev2 AND b.prev = c3.prev AND b.word = c3.word LEFT JOIN c2 q ON b.prev2 = q.prev AND b.prev = q.word)
+SELECT d.doc_id, count(s.doc_id) AS n_words, round(coalesce(sum(lp), 0), 3) + 0.0 AS log_score FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id
+"""

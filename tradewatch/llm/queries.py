@@ -69,8 +69,13 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("log_score", F.round("log_score", 3))
 
 
+def op10_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"), order=3)
+    return out.withColumn("log_score", F.round("log_score", 3))
+
+
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op3_suffix_dedup, op4_quality_rules, op5_url_filters, op6_token_blocks,
-                                 op7_mixing, op8_line_dedup, op9_decontamination, op10_lm_score)}
+                                 op7_mixing, op8_line_dedup, op9_decontamination, op10_lm_score, op10_lm_score_order3)}
 
 SQL = {"op1_sharding": sharding.SQL, "op5_url_filters": url_filter.SQL, "op7_mixing": mixing.SQL, "op8_line_dedup": line_dedup.SQL,
-       "op10_lm_score": lm_score.SQL}
+       "op10_lm_score": lm_score.SQL, "op10_lm_score_order3": lm_score.SQL_ORDER3}
