@@ -1,8 +1,10 @@
 """Sharding, url rules, token blocks, mixing, the pipeline and the registered queries."""
 
 import os
+import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -88,6 +90,37 @@ def test_listed_and_mined_url_rules(spark):
     assert url_filter.judge(pages.limit(0), labels).count() == 0
 
 
+def mined_brute(baskets, least, confidence):
+    """Least token sets, of any size, that enough bad urls have and that are bad often enough."""
+    every, bad = Counter(), Counter()
+    for tokens, b in baskets:
+        for k in range(1, len(tokens) + 1):
+            for items in combinations(sorted(tokens), k):
+                every[items] += 1
+                bad[items] += b
+    rules = {frozenset(i) for i, n in every.items() if bad[i] >= least and bad[i] / n >= confidence}
+    return rules, {r for r in rules if not any(r - {x} in rules for x in r)}
+
+
+def test_mined_rules_of_any_size_equal_brute_force(spark):
+    rnd = random.Random(6)
+    urls = [(f"http://a.b/c/d?u{i}=1", True) for i in range(12)] + [("http://h.b/c/d/e", True)] * 3
+    for u in ("http://a.b/c", "http://a.b/d", "http://a/c/d", "http://b/c/d"):  # three of the four tokens, each as often good
+        urls += [(f"{u}?v{i}=1", False) for i in range(12)]
+    for _ in range(150):
+        host, segments = rnd.choice(["m.n", "m.o", "n.o"]), rnd.sample("pqrst", rnd.randrange(1, 5))
+        urls.append((f"http://{host}/{'/'.join(segments)}", {"p", "q", "r"} <= set(segments) and host != "n.o" or rnd.random() < 0.3))
+    table = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    token = {r.url: set(r.t) for r in table.select("url", url_filter.tokens("url").alias("t")).collect()}
+    every, least = mined_brute([(token[u], b) for u, b in urls], 10, 0.6)
+    labels = spark.createDataFrame([(i, 0 if b else 1, 0) for i, (_, b) in enumerate(urls)], "doc_id long, quality int, toxic int")
+    mined = url_filter.mine(spark.createDataFrame(urls, "url string, bad boolean")).collect()
+    assert Counter(frozenset(r["items"]) for r in mined) == Counter(least)
+    assert frozenset({"h:a", "h:b", "p:c", "p:d"}) in least and max(map(len, least)) > 3
+    for r in url_filter.judge(table, labels, rules=()).collect():
+        assert r.verdict == ("block" if any(x <= token[r.url] for x in every) else "allow")
+
+
 def test_blocks_round_trip_and_ranges():
     rng = np.random.default_rng(0)
     for n in (0, 1, 7, 4096, 4097, 9000):

@@ -29,7 +29,7 @@ from tradewatch.llm.common import written
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-MIN_SUPPORT, MIN_PAGES, MIN_CONFIDENCE, MAX_TOKENS = 0.002, 10, 0.6, 3
+MIN_SUPPORT, MIN_PAGES, MIN_CONFIDENCE = 0.002, 10, 0.6
 _BAD = "@bad"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,9 +62,10 @@ def tokens(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_pages: int = MIN_PAGES,
-         min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """(url, bad) to rules (items, confidence, support): token sets of at most ``max_tokens``. A
-    rule needs ``min_support`` of all labelled pages, and ``min_pages`` of them, to be bad with it."""
+         min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(url, bad) to rules (items, confidence, support): token sets of any size. A rule needs
+    ``min_support`` of all labelled pages, and ``min_pages`` of them, to be bad with it. Rules that
+    hold another rule and one token more are left out: whatever they hit, the smaller one hits."""
     spark = labelled.sparkSession
     none = spark.sql("SELECT array('') AS items, 0D AS confidence, 0D AS support WHERE false")
     baskets = labelled.select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(
@@ -77,8 +78,11 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_pages: int =
     if least > n:
         return none
     model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.filter((F.element_at("consequent", 1) == _BAD) & (F.size("antecedent") <= max_tokens))
-    return written(rules.select(F.col("antecedent").alias("items"), "confidence", "support"), "url-rules")
+    rules = model.associationRules.filter(F.element_at("consequent", 1) == _BAD)
+    rules = written(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support"), "url-rules")
+    smaller = F.transform("items", lambda x: F.array_remove("items", x))
+    larger = rules.select("items", F.explode(smaller).alias("less")).join(rules.select(F.col("items").alias("less")), "less", "left_semi")
+    return written(rules.join(larger.select("items").distinct(), "items", "left_anti"), "least-url-rules")
 
 
 def matched_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
