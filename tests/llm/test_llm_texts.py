@@ -235,6 +235,29 @@ def test_line_dedup_equals_brute_force(spark, docs):
     assert line_dedup.summary(corpus.empty(spark)).count() == 0
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    shared = "a line that stands in many of the texts"
+    rows = [(1, f"{shared}\nown line of the first text"), (None, f"{shared}\nnothing like it anywhere else"), (None, "unique first words here\nsecond of them"),
+            (None, "copy without any id\n\nof two lines"), (None, "copy without any id\n\nof two lines"), (None, None), (None, ""), (2, "repeated number one\nits own tail"),
+            (2, "other text of number\nrepeated number one"), (2, "repeated number one\nits other end"), (3, "equal rows\nstay"), (3, "equal rows\nstay")]
+    copies, docs = Counter(), []
+    for d, t in rows:
+        h = xxhash.xxh64_intdigest((t or "").encode(), 42)
+        docs.append(((d is None, d or 0, h - (1 << 64) if h >> 63 else h, copies[t] if d is None else 0), d, t))
+        copies[t] += d is None
+    lines = [(key, i, set(x.split())) for key, _, t in docs if t is not None for i, x in enumerate(t.split("\n"))]
+    texts, sizes = Counter(), Counter()
+    for key, d, t in docs:
+        gone = {i for k, i, w in lines if k == key and w and any((k2, j) < (k, i) and 5 * len(w & o) >= 4 * len(w | o) for k2, j, o in lines if o)}
+        left = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+        texts[d, left] += 1
+        sizes[d, 0 if t is None else t.count("\n") + 1, len(gone), ",".join(map(str, sorted(gone)))] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect()) == texts
+    assert Counter(tuple(r) for r in line_dedup.summary(df).collect()) == sizes
+    assert texts[None, "nothing like it anywhere else"] == texts[None, "unique first words here\nsecond of them"] == texts[None, "copy without any id\n\nof two lines"] == 1
+
+
 def score_brute(rows, order, backoff=0.4, min_count=2):
     import math
 

@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its words. A line is removed if an earlier line (order: document id, line number)
-has a Jaccard similarity of at least ``num / den`` with it. Equal sets are one class: its first
+A line is the set of its words. A line is removed if an earlier line (order: document id, hash of the
+text, line number) has a Jaccard similarity of at least ``num / den`` with it. Equal sets are one class: its first
 line stands for it, the later ones go at once; the join sees classes only.
 
 The join is a prefix join. Words are ordered by rarity, and two similar sets must share a word among
@@ -20,9 +20,10 @@ Work at scale: the word counts are combined on the map side into at most ``2 **
 that occurs everywhere is one class; a word that is everywhere is last in the order and reaches
 the prefix of very short lines alone. The adaptive skew join splits what is left.
 
-Defined results: NULL texts have no lines to remove; lines without words stay. Rows with the same
-document id count as one document; at the same place in equal rows neither line is later. NULL
-ids come last.
+Defined results: NULL texts have no lines to remove; lines without words stay. Rows with the
+same id and the same text are one document, and none of them is a copy of the others. Rows that share
+an id but not the text are documents of their own, in the order of the XXH64 of their texts. NULL ids
+come last, and every row without an id is a document of its own, equal texts included.
 """
 
 from __future__ import annotations
@@ -63,10 +64,26 @@ def _codes(line: Column, marks: str) -> Column:
     return F.sort_array(F.array_distinct(codes))
 
 
+def told_apart(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with _hash (of the text) and _copy, which with the id are the key of a document. Rows
+    without an id are written, so that their numbers (_copy, else 0) stay the same."""
+    known = docs.filter(F.col(id_col).isNotNull()).withColumn("_copy", F.lit(0).cast("long"))
+    unknown = written(docs.filter(F.col(id_col).isNull()).withColumn("_copy", F.monotonically_increasing_id()), "line-no-ids")
+    return known.unionByName(unknown).withColumn("_hash", F.xxhash64(text_col))
+
+
+def _with_removed(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``told_apart`` with ``removed`` (NULL if there is nothing to remove), without the key."""
+    gone = gone.select(F.col(id_col).alias("_id"), F.col("_hash").alias("_h"), F.col("_copy").alias("_c"), "removed")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")) & (F.col("_copy") == F.col("_c"))
+    return docs.join(gone, same, "left").drop("_id", "_h", "_c", "_hash", "_copy")
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(place, line): place orders lines by document id (as it is, NULL last) and line number."""
-    out = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
-    return out.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line_no").alias("place"), "line")
+    """(place, line): place orders lines by document (id as it is, NULL last; hash; copy) and line number."""
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col("_hash").alias("hash"), F.col("_copy").alias("copy"),
+                      F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
+    return out.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash", "copy", "line_no").alias("place"), "line")
 
 
 def _sets(lines: DataFrame, marks: str) -> DataFrame:
@@ -76,7 +93,7 @@ def _sets(lines: DataFrame, marks: str) -> DataFrame:
 
 
 def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5) -> DataFrame:
-    """(place, removed): every line with words, and whether an earlier line is similar."""
+    """Rows of ``told_apart`` to (place, removed): every line with words, and whether an earlier line is similar."""
     marks = rarity(docs, text_col)
     lines = _lines(docs, id_col, text_col)
     prefix = F.slice("codes", F.lit(1), F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("int") + 1)
@@ -96,9 +113,10 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     possible = written(possible.select("cls", "word"), "line-candidates")  # partners meet at one of these words
 
     live = firsts.join(possible.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("place").alias("own"))
-    wanted = live.select(F.col("own.doc_id").alias("d2"), F.col("own.line_no").alias("l2")).distinct()
-    found = lines.withColumn("d", F.col("place.doc_id")).withColumn("l", F.col("place.line_no")).join(
-        wanted, F.col("d").eqNullSafe(F.col("d2")) & (F.col("l") == F.col("l2")), "left_semi").select("place", "line")
+    wanted = live.select(*(F.col(f"own.{c}").alias(f"{c}2") for c in ("doc_id", "hash", "copy", "line_no"))).distinct()
+    found = lines.select("place", "line", "place.*").join(
+        wanted, F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("hash") == F.col("hash2")) & (F.col("copy") == F.col("copy2"))
+        & (F.col("line_no") == F.col("line_no2")), "left_semi").select("place", "line")
     found = _sets(found, marks).join(live, "cls").filter(F.col("place") == F.col("own")).dropDuplicates(["cls"])
     found = written(found.select("cls", "place", "n", "codes"), "line-words").join(possible, "cls")
     shared = F.size(F.array_intersect("x.codes", "y.codes"))
@@ -110,26 +128,31 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return judged.select("place", (F.coalesce("similar", F.lit(False)) | (F.col("first") < F.col("place"))).alias("removed"))
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(id_col, removed): the numbers of the lines to remove (from 0, ascending), for documents that have some."""
+def _removed(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
     gone = line_matches(docs, id_col, text_col, **options).filter("removed")
-    return gone.groupBy(F.col("place.doc_id").alias(id_col)).agg(F.sort_array(F.collect_set("place.line_no")).alias("removed"))
+    key = F.col("place.doc_id").alias(id_col), F.col("place.hash").alias("_hash"), F.col("place.copy").alias("_copy")
+    return gone.groupBy(*key).agg(F.sort_array(F.collect_set("place.line_no")).alias("removed"))
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id_col, _hash, _copy, removed): the numbers of the lines to remove (from 0, ascending), for documents that have some."""
+    return _removed(told_apart(docs.select(id_col, text_col), id_col, text_col), id_col, text_col, **options)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the removed lines taken out of the text, and their numbers in ``removed``."""
-    gone = removed_lines(docs, id_col, text_col, **options).withColumnRenamed(id_col, "_id")
-    out = docs.drop("removed").join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+    docs = told_apart(docs.drop("removed"), id_col, text_col)
+    out = _with_removed(docs, _removed(docs, id_col, text_col, **options), id_col)
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("removed", F.array().cast("array<int>")), i))
     return out.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
 
 
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per document id: n_lines, n_removed and ``removed``, the line numbers as text."""
+    """One row per row of ``docs``: id_col, n_lines, n_removed and ``removed``, the line numbers as text."""
+    docs = told_apart(docs.select(id_col, text_col), id_col, text_col)
     n = F.size(F.split(F.col(text_col), "\n", -1))
-    sizes = docs.groupBy(id_col).agg(F.sum(F.greatest(F.coalesce(n, F.lit(0)), F.lit(0))).alias("n_lines"))
-    gone = removed_lines(docs, id_col, text_col, **options).withColumnRenamed(id_col, "_id")
-    out = sizes.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    sizes = docs.select(id_col, "_hash", "_copy", F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).cast("long").alias("n_lines"))
+    out = _with_removed(sizes, _removed(docs, id_col, text_col, **options), id_col)
     return out.select(id_col, "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
                       F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
 
