@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -119,6 +120,40 @@ def test_substrings_of_an_empty_table(spark):
     assert substring_dedup.dedup_substrings(corpus.empty(spark)).count() == 0
 
 
+def test_equal_suffixes_are_dealt_to_many_parts():
+    rnd = random.Random(8)
+    rows = [(5, t, 20, rnd.randbytes(20) + b"s" * 300) for t in range(900)] + [(t, t, 20, rnd.randbytes(320)) for t in range(1000, 1100)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("core", "tile", "left", "data"), r)) for r in rows])
+    runs = substring_dedup._sorted_runs(substring_dedup._bounds(sorted(d[k:] for _, _, k, d in rows), 20))([batch])
+    sizes = Counter({r["part"]: len(r["tile"]) for out in runs for r in out.to_pylist()})
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) <= 2 * len(rows) // 20
+
+
+def test_windows_of_a_hot_core_are_dealt_by_hash():
+    rnd = random.Random(8)
+    known = [(7, t, np.array([rnd.randrange(1 << 62) for _ in range(99)] + [4711], np.uint64)) for t in range(400)]
+    rows = [r for part in (known[:200], known[200:]) for r in substring_dedup._dealt_by_hash(part, 20)]
+    size = Counter()
+    for r in rows:
+        size[r["part"]] += len(r["hashes"]) // 8
+    assert sum(size.values()) == 40_000 and max(size.values()) < 3_000
+    out = Counter()
+    for p in size:
+        found = substring_dedup._repeated((p,), pa.Table.from_pylist([r for r in rows if r["part"] == p], schema=substring_dedup._WINDOWS_ARROW))
+        out.update((r["tile"], r["a"], r["b"]) for r in found.to_pylist())
+    assert out == Counter((t, 99, 99) for t in range(400))
+
+
+def test_a_passage_after_many_texts_equals_brute_force(spark):
+    rnd = random.Random(12)
+    passage = " ".join(corpus.word(rnd) for _ in range(120))
+    texts = [" ".join(corpus.word(rnd) for _ in range(60)) + " " + passage + rnd.choice(["", " and", " " + corpus.word(rnd)]) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.dedup_substrings(df).collect())
+    assert got == Counter((i, *b) for i, b in enumerate(removed_brute(texts, 400)))
+    assert sum(r[2] for r in got) > 60 * 400
+
+
 def test_loser_tree_merges_front_coded_runs():
     rnd = random.Random(4)
     for _ in range(200):

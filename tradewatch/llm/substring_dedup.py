@@ -19,8 +19,11 @@ are sorted, and nothing that repeats is left out:
 
 Work at scale: texts are shuffled twice (to cut the tiles, to cut the result), everything else is
 hashes. A passage in a third of all documents is one tile per distinct surrounding; its suffixes
-are dealt out by up to ``length`` bytes, its windows by offset. Equal windows and cores are taken
-from equal 64-bit hashes.
+are dealt out by up to ``length`` bytes, and a suffix that fills ranges of its own by tile (whatever its
+neighbours there, its windows are allowed or more). The number of ranges follows the number of tiles.
+Windows are dealt by core and offset, those of a core that fills a range by their hashes, where equal
+ones of one range are found at once and one of them goes on. Equal windows and cores are taken from
+equal 64-bit hashes.
 
 Defined results: NULL texts count as empty. Texts shorter than ``length`` are kept whole.
 Repeated rows repeat each other and lose all windows; rows are told apart by id and text hash, and
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +51,8 @@ WIDTH = 256
 _GRAM = 8
 _PIECE = 1 << 20
 _OFFSETS = 16
+_TILES = 8192  # of one range
+_KNOWN = np.uint64(1 << 63)  # in a window's reference: found to repeat already
 
 _PLACES = T.ArrayType(T.StructType([T.StructField("core", T.LongType()), T.StructField("tile", T.LongType()), T.StructField("places", T.ArrayType(T.LongType()))]))
 _PLACE_ARROW = pa.list_(pa.struct([("core", pa.int64()), ("tile", pa.int64()), ("places", pa.list_(pa.int64()))]))
@@ -127,17 +133,28 @@ _WINDOWS_ARROW = pa.schema([("part", pa.int32()), ("core", pa.list_(pa.int64()))
 _FOUND = T.StructType([T.StructField("core", T.LongType()), T.StructField("tile", T.LongType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])
 
 
-def _sorted_runs(splitters: list[bytes]):
-    """Batches of tiles (core, tile, left, data) to sorted front-coded runs, one per range of suffixes."""
+def _sorted_runs(bounds: list[tuple[bytes, int]]):
+    """Batches of tiles (core, tile, left, data) to sorted front-coded runs, one per range of suffixes;
+    a bound with a share above 1 is a range of one suffix, dealt by tile to so many parts."""
+
+    def ranges(rows: list[tuple]) -> Iterator[list[tuple]]:
+        at = 0
+        for bound, share in bounds:
+            lo = bisect.bisect_left(rows, bound, at, key=lambda r: r[0])
+            yield rows[at:lo]
+            at = lo
+            if share > 1:
+                at = bisect.bisect_right(rows, bound, lo, key=lambda r: r[0])
+                yield from ([r for r in rows[lo:at] if r[3] % share == k] for k in range(share))
+        yield rows[at:]
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = sorted(((d[k:], d[:k], c, t) for c, t, k, d in zip(*(batch.column(i).to_pylist() for i in range(4)))), key=lambda r: r[0])
-            at = [0, *(bisect.bisect_left(rows, s, key=lambda r: r[0]) for s in splitters), len(rows)]
             out = []
-            for part, (a, b) in enumerate(zip(at, at[1:])):
-                if b > a:
-                    suffixes, lefts, core, tile = zip(*rows[a:b])
+            for part, some in enumerate(ranges(rows)):
+                if some:
+                    suffixes, lefts, core, tile = zip(*some)
                     out.append({"part": part, "suffixes": front_code(suffixes), "lefts": lefts, "core": core, "tile": tile})
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_RUNS_ARROW)
@@ -145,13 +162,33 @@ def _sorted_runs(splitters: list[bytes]):
     return runs
 
 
-def _matched_windows(length: int, parts: int):
+def _dealt_by_hash(found: list[tuple[int, int, np.ndarray]], parts: int) -> Iterator[dict]:
+    """Windows (core, tile, hashes of the windows 0, 1, ...) of one range to rows of _WINDOWS. Of equal
+    windows one goes where its hash says; the others need no more comparison and go by tile."""
+    if not found:
+        return
+    core, tile = (np.array([f[i] for f in found], np.int64) for i in (0, 1))
+    hashes = np.concatenate([f[2] for f in found])
+    owner = np.repeat(np.arange(len(found)), [len(f[2]) for f in found])
+    window = np.concatenate([np.arange(len(f[2]), dtype=np.uint64) for f in found])
+    _, first, back, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    to = (tile % parts)[owner]
+    to[first] = (hashes[first] % np.uint64(parts)).astype(np.int64)
+    known = np.where(count[back] > 1, _KNOWN, np.uint64(0))
+    order = np.argsort(to, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+        who, ref = np.unique(owner[at], return_inverse=True)
+        yield {"part": int(to[at[0]]), "core": core[who].tolist(), "tile": tile[who].tolist(),
+               "refs": (ref.astype(np.uint64) << np.uint64(10) | window[at] | known[at]).astype("<u8").tobytes(), "hashes": hashes[at].astype("<u8").tobytes()}
+
+
+def _matched_windows(length: int, parts: int, hot: frozenset[int]):
     """Merge the runs of one range; of every tile keep the windows that its longest match allows."""
 
     def windows(key: tuple, runs: pa.Table) -> pa.Table:
         rows = runs.to_pylist()
         out: list[tuple[list[int], list[int], list[np.ndarray], list[int]]] = [([], [], [], []) for _ in range(parts)]
-        taken = [0] * len(rows)
+        taken, hot_out = [0] * len(rows), []
 
         def emit(item: tuple[bytes, int, int], longest: int) -> None:
             suffix, r, i = item
@@ -159,6 +196,10 @@ def _matched_windows(length: int, parts: int):
             data, k = left + suffix, len(left)
             # window j has the offset k - j to the anchor and needs length - (k - j) bytes from there
             last = min(len(data) - length, longest - length + k)
+            if core in hot:
+                if last >= 0:
+                    hot_out.append((core, tile, np.array([xxhash.xxh64_intdigest(data[j:j + length], core & 0xFFFFFFFF) for j in range(last + 1)], np.uint64)))
+                return
             for block in range((k - last) // _OFFSETS, k // _OFFSETS + 1) if last >= 0 else ():
                 js = range(max(0, k - block * _OFFSETS - _OFFSETS + 1), min(last, k - block * _OFFSETS) + 1)
                 if len(js):
@@ -178,7 +219,8 @@ def _matched_windows(length: int, parts: int):
         if before:
             emit(before[0], length)
         return pa.Table.from_pylist([{"part": p, "core": c, "tile": i, "refs": np.concatenate(refs).astype("<u8").tobytes(),
-                                      "hashes": np.array(h, "<u8").tobytes()} for p, (c, i, refs, h) in enumerate(out) if h], schema=_WINDOWS_ARROW)
+                                      "hashes": np.array(h, "<u8").tobytes()} for p, (c, i, refs, h) in enumerate(out) if h]
+                                    + list(_dealt_by_hash(hot_out, parts)), schema=_WINDOWS_ARROW)
 
     return windows
 
@@ -189,10 +231,10 @@ def _repeated(key: tuple, lists: pa.Table) -> pa.Table:
     hashes = np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in rows])
     refs = [np.frombuffer(r["refs"], "<u8") for r in rows]
     base = np.cumsum([0] + [len(r["tile"]) for r in rows])
-    owner = np.concatenate([(x >> np.uint64(10)).astype(np.int64) + b for x, b in zip(refs, base)])
+    owner = np.concatenate([((x & ~_KNOWN) >> np.uint64(10)).astype(np.int64) + b for x, b in zip(refs, base)])
     window = np.concatenate([(x & np.uint64(1023)).astype(np.int64) for x in refs])
     _, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
-    hit = count[back] > 1
+    hit = (count[back] > 1) | (np.concatenate(refs) >= _KNOWN)
     place = np.sort(owner[hit] << 10 | window[hit])
     start = np.flatnonzero(np.append(True, np.diff(place) != 1)) if len(place) else np.zeros(0, np.int64)
     end = np.append(start[1:], len(place)) - 1 if len(place) else start
@@ -213,14 +255,23 @@ def _live_tiles(docs: DataFrame, length: int) -> DataFrame:
     return every.select("id", "hash", "places", whole.alias("whole"), emit.alias("emit"), F.when(emit, F.col("core")).alias("core"), F.when(emit, F.col("tile")).alias("tile"))
 
 
-def _splitters(suffix_rows: DataFrame, parts: int, length: int, sample_per_part: int = 40) -> list[bytes]:
-    """Range bounds of the suffix exchange, from a sample of about ``sample_per_part`` for each part."""
-    n = suffix_rows.count()
+def _sample(suffix_rows: DataFrame, n: int, parts: int, length: int, sample_per_part: int = 40) -> list[bytes]:
+    """Sorted sample of about ``sample_per_part`` suffixes for each part."""
     if parts < 2 or not n:
         return []
     s = suffix_rows.sample(min(1.0, sample_per_part * parts / n), seed=11).select(F.expr(f"substring(data, left + 1, {length})").alias("s"))
-    found = sorted(bytes(r["s"]) for r in s.toLocalIterator())
-    return sorted({found[i * len(found) // parts] for i in range(1, parts)}) if found else []
+    return sorted(bytes(r["s"]) for r in s.toLocalIterator())
+
+
+def _bounds(found: list[bytes], parts: int) -> list[tuple[bytes, int]]:
+    """Range bounds of the suffix exchange, each with the number of ranges that it alone would fill."""
+    return sorted(Counter(found[i * len(found) // parts] for i in range(1, parts)).items()) if found else []
+
+
+def _hot_cores(found: list[bytes], parts: int, length: int) -> frozenset[int]:
+    """Cores that fill a range or more."""
+    count = Counter(s[:length - WIDTH] for s in found)
+    return frozenset(_hash(c) for c, k in count.items() if k * parts >= len(found))
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -232,8 +283,11 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         F.explode(F.arrays_zip("t", _tile_texts(length)(docs["text"], F.col("t.place")).alias("x"))).alias("z"))
     cut = cut.select("z.t.core", "z.t.tile", "z.x.left", "z.x.data").dropDuplicates(["core", "tile"])
     cut = written(cut, "tile-texts")
-    runs = cut.mapInArrow(_sorted_runs(_splitters(cut, parts, length)), _RUNS)
-    lists = runs.groupBy("part").applyInArrow(_matched_windows(length, parts), _WINDOWS)
+    n = cut.count()
+    parts = max(parts, -(-n // _TILES))
+    found = _sample(cut, n, parts, length)
+    runs = cut.mapInArrow(_sorted_runs(_bounds(found, parts)), _RUNS)
+    lists = runs.groupBy("part").applyInArrow(_matched_windows(length, parts, _hot_cores(found, parts, length)), _WINDOWS)
     found = lists.groupBy("part").applyInArrow(_repeated, _FOUND)
     lo = F.shiftright("place", 20)
     some = live.filter("emit AND NOT whole").withColumn("place", F.element_at("places", 1)).join(found, ["core", "tile"]).select("id", "hash", (lo + F.col("a")).alias("a"), (lo + F.col("b")).alias("b"))
