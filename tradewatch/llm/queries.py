@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewatch.llm import decontaminate, line_dedup, lm_score, mixing, quality, sharding, simhash, substring_dedup, token_blocks, url_filter
+from tradewatch.llm import (align, decontaminate, filter_audit, line_dedup, lm_score, mixing, quality, sharding, shingle_join, simhash, substring_dedup,
+                            token_blocks, url_filter)
 from tradewatch.llm.common import table, written
 
 #: File of a public tokenizer, found by name; a parameter of the token query.
@@ -74,8 +75,25 @@ def op10_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("log_score", F.round("log_score", 3))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shingle_join.near_duplicates(docs, width=3, num=9, den=10).select("doc_id", "n_shingles", "component_id")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = align.align(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op3_suffix_dedup, op4_quality_rules, op5_url_filters, op6_token_blocks,
-                                 op7_mixing, op8_line_dedup, op9_decontamination, op10_lm_score, op10_lm_score_order3)}
+                                 op7_mixing, op8_line_dedup, op9_decontamination, op10_lm_score, op10_lm_score_order3,
+                                 op11_ngram_jaccard_join, op12_filter_audit, op13_tokenizer_alignment)}
 
 SQL = {"op1_sharding": sharding.SQL, "op5_url_filters": url_filter.SQL, "op7_mixing": mixing.SQL, "op8_line_dedup": line_dedup.SQL,
-       "op10_lm_score": lm_score.SQL, "op10_lm_score_order3": lm_score.SQL_ORDER3}
+       "op10_lm_score": lm_score.SQL, "op10_lm_score_order3": lm_score.SQL_ORDER3, "op11_ngram_jaccard_join": shingle_join.SQL,
+       "op12_filter_audit": filter_audit.SQL}
