@@ -6,8 +6,9 @@ at least ``num / den``; the result is the connected components of all links.
 * Classes: equal sets (exact copies among them) are one class, known by 128 bits of XXH3 over the sorted
   shingle hashes. What follows sees classes only, so thousands of copies cost one row.
 * Order: shingles are ordered by a mark of their frequency, then by hash. Marks come from counts of all shingles
-  of all documents in ``2 ** BITS`` hash ranges (that many bytes are broadcast, whatever the input). Any order
-  gives the same result; this one keeps widespread shingles out of the prefixes.
+  of all documents in ``2 ** BITS`` hash ranges (two bytes each are broadcast, whatever the input). Any order
+  gives the same result; this one keeps widespread shingles out of the prefixes: a prefix holds the shingles of
+  the emptiest ranges, and a shingle in many documents fills its own.
 * Prefix: two similar sets of n and m shingles share one among their first ``n - ceil(t * n) + 1``. Classes with
   the same size and the same prefix are collapsed into one group, the unit of the join on prefix shingles.
   Group pairs pass the length filter (sizes within the threshold) and the positional filter (what can still
@@ -16,10 +17,11 @@ at least ``num / den``; the result is the connected components of all links.
   the histograms of two sets differ by no more than the sets do) and verified on the shingles themselves,
   from the texts of one document of each class.
 
-Components need no pair whose ends are tied already. So the join runs twice: first each group meets only the
-first group of its shingle and size band (a window that reads row by row) and each class the first of its own
-group: a number of pairs in proportion to the prefixes. The components of those links are known before the
-second join, which makes pairs only between groups of different components. A shingle with very many groups is
+Components need no pair whose ends are tied already. So a few joins come first in which each group meets only the first
+group of its shingle and size band (a window that reads row by row) and each class the first of its own group: a
+number of pairs in proportion to the prefixes. First is the group in which the shingle comes earliest, which has the fewest
+shingles of its own and so the best chance; ties differ from shingle to shingle and from round to round (by hash). The components of those links are known before the last
+join, which makes all pairs that are left: those between groups of different components. A shingle with very many groups is
 dealt to blocks: each pair of blocks is a join key of its own.
 
 Defined results: A-Z is lower-cased, words are runs without ASCII white space. Fewer words than a shingle give one
@@ -96,12 +98,12 @@ def _sets(width: int):
 
 
 def _marks(counted: DataFrame) -> np.ndarray:
-    """2 * log2 of the occurrences in each hash range, one byte each, however large the input is."""
+    """1024 * log2 of the occurrences in each hash range, two bytes each, however large the input is."""
     counts = counted.filter("range IS NOT NULL").groupBy("range").agg(F.sum("count").alias("n"))
-    rows = counts.select("range", F.round(2 * F.log2("n")).cast("byte").alias("mark")).toArrow()
-    marks = np.zeros(1 << BITS, np.uint8)
+    rows = counts.select("range", F.round(1024 * F.log2("n")).cast("int").alias("mark")).toArrow()
+    marks = np.zeros(1 << BITS, np.uint64)
     marks[rows["range"].to_numpy()] = rows["mark"].to_numpy()
-    return marks
+    return marks.astype(np.uint16)
 
 
 def _ceil(a, b):
@@ -119,8 +121,9 @@ def _prefixes(marks, width: int, num: int, den: int):
         for t in text:
             hs = hashes(t.as_py(), width)
             n = len(hs)
-            order = np.lexsort((hs, marks.value[_ranges(hs)]))[:n - _ceil(num * n, den) + 1] if n else []
-            prefix = hs[order] if n else hs
+            # by mark, then by hash (a stable sort: equal upper bits keep the order of the hashes)
+            place = marks.value[_ranges(hs)].astype(np.uint64) << np.uint64(48) | hs >> np.uint64(16)
+            prefix = hs[np.argsort(place, kind="stable")[:n - _ceil(num * n, den) + 1]] if n else hs
             hist = np.minimum(np.bincount((hs & np.uint64(63)).astype(np.int64), minlength=64), 65535).astype(np.uint16)
             rows.append((n, xxhash.xxh128_digest(hs.tobytes()), prefix.view(np.int64).tolist(),
                          xxhash.xxh128_digest(n.to_bytes(8, "little") + prefix.tobytes()), hist.tobytes()))
@@ -201,17 +204,13 @@ class _Join:
         return near & ((self.num + self.den) * left >= self.num * (F.col(f"{x}n") + F.col(f"{y}n")))
 
     def _posts(self) -> DataFrame:
-        """(token, gid, n, pos) of the prefix shingles that several groups have, with the first group of the
-        shingle's size band beside them (first_*)."""
+        """(token, band, gid, n, pos) of the prefix shingles that several groups have. Sizes of one band are within the
+        threshold of each other."""
         groups = self.classes.groupBy("gid").agg(F.first(F.struct("n", "prefix")).alias("g")).select("gid", "g.n", F.posexplode("g.prefix").alias("pos", "token"))
-        # sizes of one band are within the threshold of each other
         band = F.floor(F.log(F.col("n")) / F.log(F.lit(self.den / self.num))).cast("int")
-        by_token = Window.partitionBy("token").orderBy("band", "gid")
-        by_band = Window.partitionBy("token", "band").orderBy("gid")
-        rows = groups.withColumn("band", band).withColumn("other", F.coalesce(F.lag("gid").over(by_token), F.lead("gid").over(by_token)))
-        rows = rows.withColumn("first", F.first(F.struct("gid", "n", "pos")).over(by_band)).filter("other IS NOT NULL")
-        rows = rows.select("token", "gid", "n", "pos", *(F.col(f"first.{c}").alias(f"first_{c}") for c in ("gid", "n", "pos")))
-        return written(rows, "shingle-posts")
+        by_token = Window.partitionBy("token").orderBy("gid")
+        rows = groups.withColumn("other", F.coalesce(F.lag("gid").over(by_token), F.lead("gid").over(by_token))).filter("other IS NOT NULL")
+        return written(rows.select("token", band.alias("band"), "gid", "n", "pos"), "shingle-posts")
 
     def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """Class pairs (a, b) that reach the threshold."""
@@ -228,20 +227,28 @@ class _Join:
         pairs = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
         return written(pairs.filter(_similar(self.width, self.num, self.den)("x", "y")).select("a", "b"), f"{name}-links")
 
-    def _to_first(self) -> DataFrame:
-        """Each class against the first class of its own group and of the first groups of its shingles."""
-        member = self.classes.select("gid", "cls")
-        lead = written(member.groupBy("gid").agg(F.min("cls").alias("b")), "shingle-leads")
-        met = self.posts.filter("gid <> first_gid").filter(self._enough("", "first_")).select("gid", F.col("first_gid").alias("other")).distinct()
-        other = met.join(lead.withColumnRenamed("gid", "other"), "other").select("gid", "b")
-        pairs = member.join(other.unionByName(lead), "gid").select(F.col("cls").alias("a"), "b")
-        return pairs.filter("a <> b").distinct()
+    def _members(self, tied: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Classes with their group and component so far, and each group's least and greatest component."""
+        member = self.classes.select("gid", "cls").join(tied.withColumnRenamed("node", "cls"), "cls", "left")
+        member = written(member.select("gid", "cls", F.coalesce("root", "cls").alias("root")), "shingle-members")
+        return member, member.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+
+    def _to_first(self, seed: int, tied: DataFrame) -> DataFrame:
+        """Each class against the first class of its own group and of the first groups of its shingles, unless the
+        two are tied already."""
+        member, _ = self._members(tied)
+        lead = written(member.groupBy("gid").agg(F.min(F.struct("cls", "root")).alias("b")).select("gid", F.col("b.cls").alias("b"), F.col("b.root").alias("rb")), "shingle-leads")
+        order = Window.partitionBy("token", "band").orderBy("pos", F.xxhash64("token", "gid", F.lit(seed)), "gid")
+        posts = self.posts.withColumn("first", F.first(F.struct("gid", "n", "pos")).over(order))
+        posts = posts.select("gid", "n", "pos", *(F.col(f"first.{c}").alias(f"first_{c}") for c in ("gid", "n", "pos")))
+        met = posts.filter("gid <> first_gid").filter(self._enough("", "first_")).select("gid", F.col("first_gid").alias("other")).distinct()
+        other = met.join(lead.withColumnRenamed("gid", "other"), "other").select("gid", "b", "rb")
+        pairs = member.join(other.unionByName(lead), "gid").filter("root <> rb").select(F.col("cls").alias("a"), "b")
+        return pairs.distinct()
 
     def _across(self, tied: DataFrame) -> DataFrame:
         """Class pairs of candidate groups whose classes lie in different components so far."""
-        member = self.classes.select("gid", "cls").join(tied.withColumnRenamed("node", "cls"), "cls", "left")
-        member = written(member.select("gid", "cls", F.coalesce("root", "cls").alias("root")), "shingle-members")
-        spread = member.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+        member, spread = self._members(tied)
         posts = self.posts.select("token", "gid", "n", "pos").join(spread, "gid")
         per_token = posts.groupBy("token").agg(F.count("*").alias("size"), F.min("lo").alias("tlo"), F.max("hi").alias("thi")).filter("tlo <> thi")
         posts = posts.join(per_token.select("token", F.expr(f"cast(size div {BLOCK} + 1 AS int)").alias("blocks")), "token")
@@ -258,18 +265,23 @@ class _Join:
         pairs = met.unionByName(within).join(sides[0], "gx").join(sides[1], "gy").filter("rx <> ry AND (gx <> gy OR a < b)")
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def links(self) -> DataFrame:
-        """Verified links (a, b) of classes with the components of all links."""
-        near = self._verified(self._to_first(), "shingle-first")
-        far = self._verified(self._across(components(near)), "shingle-across")
-        return near.unionByName(far)
+    def components(self, rounds: int) -> DataFrame:
+        """(node, root) of the classes that have a link."""
+        found, tied = None, self.classes.select(F.col("cls").alias("node"), F.col("cls").alias("root"))
+        for step in range(rounds + 1):
+            pairs = self._to_first(step, tied) if step < rounds else self._across(tied)
+            links = self._verified(pairs, f"shingle-{step}")
+            found = links if found is None else found.unionByName(links)
+            tied = components(found)
+        return tied
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """(id_col, n_shingles, component_id), one row per row of ``docs``; linked at a similarity of ``num / den``."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 9, den: int = 10, rounds: int = 1) -> DataFrame:
+    """(id_col, n_shingles, component_id), one row per row of ``docs``; linked at a similarity of ``num / den``.
+    ``rounds`` joins with first groups come before the complete one; any number gives the same result."""
     plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     run = _Join(plain, width, num, den)
-    tied = components(run.links()).withColumnRenamed("node", "cls")
+    tied = run.components(rounds).withColumnRenamed("node", "cls")
     classes = run.first.select("cls", "id").join(tied, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = classes.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = written(classes.join(least, "root").select("cls", "component_id"), "shingle-components")
