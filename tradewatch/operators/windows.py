@@ -12,8 +12,8 @@ operators here add a *time slice* to the partition key:
   per-key sort is over slice summaries.
 * ``rows_count_flag`` / ``rows_last_non_null``: ROWS-N-PRECEDING frames computed from
   prefix sums and index look-ups (equi-joins on a unique (key, position)).
-* ``latest_by`` (D8): newest row per key as a partial aggregate (``max_by``), which
-  combines map-side, so a hot key never lands whole in one task.
+* ``latest_by`` (D8): newest row per key as a group limit, which every task applies before the
+  exchange, so a hot key never lands whole in one task.
 """
 
 from __future__ import annotations
@@ -34,16 +34,13 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     """One row per ``keys``: the row with the greatest ``order`` tuple.
 
     NULLs in an order field sort lowest, so a row with an unparsable time never wins over
-    a row with a time. Implemented as ``max_by(struct(row), struct(order))``: a declarative
-    aggregate with a map-side partial step (skew-safe), no sort of whole groups.
+    a row with a time. ``row_number() = 1`` is a group limit: every task keeps one row per
+    key before the exchange, so a hot key brings one row from each task.
     """
-    cols = df.columns
-    ordc = [F.col(c) if isinstance(c, str) else c for c in order]
+    ordc = [(F.col(c) if isinstance(c, str) else c).desc_nulls_last() for c in order]
     src = df if keep_null_keys else df.filter(_all_not_null(keys))
-    agg = src.groupBy(*keys).agg(
-        F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(*ordc)).alias("_row")
-    )
-    return agg.select("_row.*")
+    w = Window.partitionBy(*keys).orderBy(*ordc)
+    return src.withColumn("_newest", F.row_number().over(w)).filter("_newest = 1").drop("_newest")
 
 
 def _all_not_null(keys: Sequence[str]) -> Column:

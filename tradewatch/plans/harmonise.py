@@ -163,6 +163,8 @@ def harmonise_transfers(parsed: DataFrame, wallets: DataFrame,
         "value_raw", "value_decimal", F.lower("token_address").alias("token_address"),
         "token_symbol", "decimals", "event_type", "ingested_at", "raw_record_id",
     )
+    if dedup:  # before the look-ups, which add one row for each row
+        t = latest_by(t, ["chain", "tx_hash", "event_id"], ["ingested_at", "raw_record_id"])
     flagged = flagged_wallets(wallets)
     wf = flagged.select(F.col("wallet_address").alias("from_address"), "chain",
                         F.col("is_sanctioned").alias("_f_sanc"), F.col("is_mixer").alias("_f_mix"),
@@ -171,7 +173,7 @@ def harmonise_transfers(parsed: DataFrame, wallets: DataFrame,
                         F.col("is_sanctioned").alias("_t_sanc"), F.col("is_mixer").alias("_t_mix"),
                         F.col("risk_score").alias("_t_risk"))
     j = t.join(wf, on=["from_address", "chain"], how="left").join(wt, on=["to_address", "chain"], how="left")
-    out = j.select(
+    return j.select(
         "event_id", "chain", "block_number", "block_ts", "tx_hash", "from_address", "to_address",
         "value_raw", "value_decimal", "token_address", "token_symbol", "decimals", "event_type",
         F.coalesce(F.col("_f_risk"), F.col("_t_risk")).alias("risk_score"),
@@ -182,9 +184,6 @@ def harmonise_transfers(parsed: DataFrame, wallets: DataFrame,
         .alias("is_sanctioned_counterparty"),
         "ingested_at", "raw_record_id",
     )
-    if not dedup:
-        return out
-    return latest_by(out, ["chain", "tx_hash", "event_id"], ["ingested_at", "raw_record_id"])
 
 
 def discover_wallets(transfers: DataFrame) -> DataFrame:

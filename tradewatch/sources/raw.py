@@ -55,12 +55,14 @@ CORRUPT = "_corrupt"
 
 
 def parse(raw: DataFrame, schema: T.StructType) -> DataFrame:
-    """Add ``p`` = payload parsed with ``schema`` (one JVM-side JSON pass). Text that is not
-    JSON, or whose typed fields do not convert (e.g. a non-numeric price), sets
-    ``p._corrupt`` to the raw text instead of failing the job."""
+    """Add ``p`` = payload parsed with ``schema``. Text that is not JSON, or whose typed fields do
+    not convert (e.g. a non-numeric price), sets ``p._corrupt`` to the raw text instead of failing
+    the job. The parse is the output of a one-row generator: a plain projection would be copied into
+    each of the many references to ``p`` and parse every payload as often."""
     full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return raw.withColumn("p", F.from_json(F.col("payload"), full, opts))
+    parsed = F.from_json(F.col("payload"), full, opts)
+    return raw.select(*[c for c in raw.columns if c != "p"], F.inline(F.array(F.struct(parsed.alias("p")))))
 
 
 def _is_bad(unusable: Column | None) -> Column:
