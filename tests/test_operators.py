@@ -1,8 +1,11 @@
 """Generic operators against brute-force equivalents (the property checks of the blueprint)."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -155,3 +158,56 @@ def test_global_row_number_and_top_k(spark):
     ref = spark.sql("SELECT id, k FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v DESC, id) rn FROM ev3) "
                     "WHERE rn <= 5")
     assert rows(top, "id", "k") == rows(ref, "id", "k")
+
+
+H = 3_600_000_000
+
+
+def _partials_input(spark, n, key):
+    rnd = random.Random(n)
+    rows = []
+    for i in range(n):
+        # half of the times are shared by many rows, so frames have ties at both ends
+        s = rnd.randrange(0, 200) * 900 if rnd.random() < 0.5 else rnd.randrange(0, 2 * 86400)
+        rows.append((i, key(rnd), None if i % 97 == 0 else s, rnd.choice([None, 1.5, 1.5, 100.0, rnd.random() * 1000]), rnd.choice(["x", "y", None])))
+    df = spark.createDataFrame(rows, "id int, k string, s long, v double, g string")
+    return df.withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+
+
+def test_rolling_partials_equal_range_frames(spark):
+    """Every kind and frame against plain RANGE windows: ties, NULL values, NULL keys, rows without a time."""
+    from tradewatch.operators.windows import rolling_partials
+    df = _partials_input(spark, 1500, lambda r: r.choice(["a", "a", "a", "b", None]))
+    specs, plain = {}, {}
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    for f in (1, 4, 24):
+        w = Window.partitionBy("k").orderBy(us).rangeBetween(-f * H, 0)
+        for kind, value, agg in (("count", F.lit(1), F.count(F.lit(1))), ("sum", F.col("v"), F.sum("v")), ("avg", F.col("v"), F.avg("v")), ("min", F.col("v"), F.min("v")),
+                                 ("max", F.col("v"), F.max("v")), ("stddev", F.col("v"), F.stddev_samp("v")), ("distinct", F.col("g"), F.collect_set("g"))):
+            specs[f"{kind}{f}"] = (kind, value, f * H)
+            plain[f"{kind}{f}"] = F.size(agg.over(w)) if kind == "distinct" else agg.over(w)
+
+    def found(d):
+        return {r.id: tuple(round(x, 6) if isinstance(x, float) else x for x in (r[c] for c in specs)) for r in d.collect()}
+
+    got = rolling_partials(df, ["k"], "ts", specs, H)
+    assert got.columns == [*df.columns, *specs]
+    assert found(got) == found(df.select("*", *[c.alias(n) for n, c in plain.items()]))
+
+
+def test_rolling_partials_of_equal_values_deviate_by_zero(spark):
+    from tradewatch.operators.windows import rolling_partials
+    df = spark.range(500).select("id", F.lit("k").alias("k"), F.lit(0.1).alias("v"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"))
+    out = rolling_partials(df, ["k"], "ts", {"sd": ("stddev", F.col("v"), 4 * H), "n": ("count", F.col("v"), 4 * H)}, H)
+    assert {r.sd for r in out.filter("n > 1").collect()} == {0.0}
+
+
+def test_rolling_partials_have_no_bounded_frame_over_rows(spark):
+    """Frames over rows run from one end; only frames over partials (one row a bucket) are bounded."""
+    from tradewatch.operators.windows import rolling_partials
+    df = _partials_input(spark, 10, lambda r: "a")
+    plan = rolling_partials(df, ["k"], "ts", {"s": ("sum", F.col("v"), 24 * H)}, H)._jdf.queryExecution().executedPlan().toString()
+    starts = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]+),", plan)
+    assert {x for x in starts if "unboundedpreceding" not in x} == {"-23"} and len(starts) > 2
+    with pytest.raises(ValueError):
+        rolling_partials(df, ["k"], "ts", {"s": ("sum", F.col("v"), 90 * 60_000_000)}, H)

@@ -32,6 +32,12 @@ def test_lookback_reaches_scan_and_columns_are_pruned(spark):
     assert "GreaterThanOrEqual(l_shipdate,2001-07-02T00:00)" in p
 
 
-def test_rolling_windows_partition_by_time_slice(spark):
+def test_rolling_windows_partition_by_time_bucket(spark):
     p = plan(spark, "trade_rolling_24h")
-    assert "_slice" in p and "Window" in p
+    assert "_rp_bucket" in p and "Window" in p
+
+
+@pytest.mark.parametrize("name", ["harmonise_trades", "harmonise_orders_latest", "harmonise_balances_latest", "harmonise_transfers",
+                                  "onchain_amounts", "onchain_dead_letters", "dlq_split"])
+def test_payloads_are_parsed_once(spark, name):
+    assert plan(spark, name).count("from_json") == 1

@@ -7,6 +7,9 @@ operators here add a *time slice* to the partition key:
   Each row is also copied, as context, into the later slices whose rows can look back to
   it; frames are evaluated per (keys, slice) and the context rows dropped. Exact for any
   frame up to the context length, with duplication ``frame / slice`` of the input.
+* ``rolling_partials`` (D9, D12): the same frames from mergeable partials. A frame is the rows of
+  its own time bucket so far, the whole buckets before it, and the tail of the bucket where it
+  starts; each part costs time in proportion to its rows, however many rows a frame holds.
 * ``sequence_index``: the global 1-based position of each row within its key (ROWS
   frames need positions). Positions are assembled from per-slice counts, so the only
   per-key sort is over slice summaries.
@@ -80,6 +83,148 @@ def rolling(
     return out.filter(~F.col("_ctx")).drop("_ctx", "_slice", t)
 
 
+class _Measure:
+    """One mergeable partial: its columns over rows, over partials of whole buckets, and the value of merged parts."""
+
+    def __init__(self, kind: str, value: str):
+        self.kind, self.value = kind, value
+
+    def partial(self, keep: Column) -> Column:
+        """Aggregate of the rows for which ``keep`` holds."""
+        x = F.when(keep, F.col(self.value))
+        if self.kind == "count":
+            return F.count(x)
+        if self.kind in ("sum", "min", "max"):
+            return getattr(F, self.kind)(x)
+        if self.kind == "distinct":
+            return F.collect_set(x)
+        raise ValueError(f"no such measure: {self.kind}")
+
+    def over_buckets(self, part: str, w) -> Column:
+        """Aggregate of the partials ``part`` of the buckets in the window ``w``."""
+        if self.kind in ("distinct", "moments"):
+            every = F.flatten(F.collect_list(part).over(w))
+            return F.array_distinct(every) if self.kind == "distinct" else every
+        return getattr(F, {"count": "sum"}.get(self.kind, self.kind))(part).over(w)
+
+    def merged(self, parts: list[Column]) -> Column:
+        if self.kind == "count":
+            return sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0).cast("long"))
+        if self.kind == "sum":
+            some = F.coalesce(*parts)
+            return F.when(some.isNotNull(), sum((F.coalesce(p, F.lit(0) * some) for p in parts[1:]), F.coalesce(parts[0], F.lit(0) * some)))
+        if self.kind in ("min", "max"):
+            return (F.least if self.kind == "min" else F.greatest)(*parts) if len(parts) > 1 else parts[0]
+        return F.array_distinct(F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts])) if len(parts) > 1 else parts[0]
+
+
+def _deviation(parts: list[Column]) -> Column:
+    """Sample standard deviation of merged (n, mean, m2) triples: equal values give exactly 0."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def merge(a: Column, b: Column) -> Column:
+        n, delta = a["n"] + b["n"], b["mean"] - a["mean"]
+        both = F.struct(n.alias("n"), (a["mean"] + delta * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + delta * delta * a["n"] * b["n"] / n).alias("m2"))
+        return F.when(b["n"] == 0, a).when(a["n"] == 0, b).otherwise(both)
+
+    every = F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<struct<n:bigint,mean:double,m2:double>>")) for p in parts]))
+    return F.aggregate(every, zero, merge, lambda t: F.when(t["n"] > 1, F.sqrt(t["m2"] / (t["n"] - 1))))
+
+
+#: value of each kind from its partials
+_NEEDS = {"count": ("count",), "sum": ("sum",), "min": ("min",), "max": ("max",), "distinct": ("distinct",), "avg": ("sum", "count"), "stddev": ("moments",)}
+
+
+def rolling_partials(df: DataFrame, keys: Sequence[str], ts: str, specs: dict[str, tuple[str, Column, int]], bucket_us: int) -> DataFrame:
+    """Add one column per ``specs[name] = (kind, value, frame_us)``: ``kind`` (count, sum, avg, stddev, min, max,
+    distinct) of ``value`` over ``RANGE BETWEEN frame PRECEDING AND CURRENT ROW`` by ``ts`` within ``keys``, peers
+    included. Every frame must be a multiple of ``bucket_us``.
+
+    A frame of m buckets that ends at time t in bucket b has three parts:
+
+    * rows of b up to t: a running frame over (keys, b);
+    * the buckets b - m + 1 to b - 1: a frame over the partials of the buckets (one row per key and bucket);
+    * rows of b - m from t - frame on: they are copied into b at their time plus the frame, where they are a
+      running frame from the other end.
+
+    Running frames add row by row, so the cost grows with the rows and not with rows times rows in a frame; one key's rows
+    are spread over its buckets. Counts, sums, minimums and value sets add up; the standard deviation is merged from
+    (n, mean, m2). Rows without a time are in each other's frames only; NULL values count nowhere.
+    """
+    frames = sorted({f for _, _, f in specs.values()})
+    if any(f % bucket_us for f in frames):
+        raise ValueError("every frame must be a multiple of bucket_us")
+    t, b, role = "_rp_t", "_rp_bucket", "_rp_role"
+    values: dict[str, str] = {}
+    for kind, value, _ in specs.values():
+        values.setdefault(str(value), f"_rp_v{len(values)}")
+    named = {values[str(value)]: value for _, value, _ in specs.values()}
+    needed = {}  # (measure, value) -> frames
+    for kind, value, frame in specs.values():
+        for m in _NEEDS[kind]:
+            needed.setdefault((m, values[str(value)]), set()).add(frame)
+
+    base = df.select("*", *[c.alias(n) for n, c in named.items()], epoch_micros(ts).alias(t))
+    base = base.withColumn(b, F.floor(F.col(t) / F.lit(bucket_us)).cast("long"))
+
+    def moments(value: str, keep: Column, over) -> Column:
+        x = F.when(keep, F.col(value))
+        triple = F.struct(over(F.count(x)).alias("n"), F.coalesce(over(F.avg(x)), F.lit(0.0)).alias("mean"),
+                          F.coalesce(over(F.var_pop(x)) * over(F.count(x)), F.lit(0.0)).alias("m2"))
+        return F.array(triple)
+
+    # a row once as itself (role 0) and once for each frame, moved into the bucket where that frame ends
+    copies = F.explode(F.concat(F.array(F.struct(F.lit(0).alias(role), F.col(t).alias("_rp_at"))), F.when(F.col(t).isNotNull(), F.array(
+        *[F.struct(F.lit(i).alias(role), (F.col(t) + F.lit(f)).alias("_rp_at")) for i, f in enumerate(frames, 1)])).otherwise(F.array())))
+    others = [c for c in df.columns if c not in keys]
+    x = base.select("*", copies.alias("_rp_c")).select(*keys, *named, F.col(f"_rp_c.{role}").alias(role), F.col("_rp_c._rp_at").alias(t),
+                                                       *[F.when(F.col(f"_rp_c.{role}") == 0, F.col(c)).alias(c) for c in others])
+    x = x.withColumn(b, F.floor(F.col(t) / F.lit(bucket_us)).cast("long"))
+    so_far = Window.partitionBy(*keys, b).orderBy(F.col(t)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    from_here = Window.partitionBy(*keys, b).orderBy(F.col(t).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own, edge, mid = {}, {}, {}
+    cols = []
+    for k, ((m, v), needs) in enumerate(needed.items()):
+        for r, name, w in [(0, f"_rp_o{k}", so_far), *((frames.index(f) + 1, f"_rp_e{k}_{f}", from_here) for f in sorted(needs))]:
+            keep = F.col(role) == r
+            cols.append((moments(v, keep, lambda c, w=w: c.over(w)) if m == "moments" else _Measure(m, v).partial(keep).over(w)).alias(name))
+            if r == 0:
+                own[m, v] = name
+            else:
+                edge[m, v, frames[r - 1]] = name
+    x = x.select("*", *cols).filter(F.col(role) == 0)
+
+    if frames[-1] > bucket_us:
+        every = F.lit(True)
+        parts = base.groupBy(*keys, b).agg(*[(moments(v, every, lambda c: c) if m == "moments" else _Measure(m, v).partial(every)).alias(f"_rp_p{k}")
+                                             for k, (m, v) in enumerate(needed)])
+        for k, ((m, v), needs) in enumerate(needed.items()):
+            for f in sorted(needs):
+                if f > bucket_us:
+                    w = Window.partitionBy(*keys).orderBy(b).rangeBetween(1 - f // bucket_us, -1)
+                    mid[m, v, f] = f"_rp_m{k}_{f}"
+                    parts = parts.withColumn(mid[m, v, f], _Measure(m, v).over_buckets(f"_rp_p{k}", w))
+        parts = parts.select(*[F.col(c).alias(f"_rp_k{i}") for i, c in enumerate([*keys, b])], *mid.values())
+        same = F.lit(True)
+        for i, c in enumerate([*keys, b]):
+            same = same & F.col(c).eqNullSafe(F.col(f"_rp_k{i}"))
+        x = x.join(parts, same, "left")
+
+    out = []
+    for name, (kind, value, f) in specs.items():
+        v = values[str(value)]
+        found = [[F.col(c) for c in (own[m, v], mid.get((m, v, f)), edge[m, v, f]) if c] for m in _NEEDS[kind]]
+        if kind == "stddev":
+            col = _deviation(found[0])
+        elif kind == "avg":
+            col = F.try_divide(_Measure("sum", v).merged(found[0]), F.nullif(_Measure("count", v).merged(found[1]), F.lit(0)))
+        else:
+            col = _Measure(kind, v).merged(found[0])
+            col = F.size(col).cast("long") if kind == "distinct" else col
+        out.append(col.alias(name))
+    return x.select(*df.columns, *out)
+
+
 def sequence_index(
     df: DataFrame,
     keys: Sequence[str],

@@ -66,8 +66,6 @@ class FeatureParams:
     cancel_carry_rows: int = 20         # ROWS 20 PRECEDING AND CURRENT ROW
     cancel_frame_seconds: int = 3600
     burst_threshold: int = 20
-    # time-slice width of the skew-safe rolling windows (seconds); None = 4 x widest frame
-    slice_seconds: int | None = None
 
 
 @dataclass(frozen=True)

@@ -1,7 +1,8 @@
 """Per-trade rolling features (D12) and per-entity risk features.
 
 Design for skew: an account may hold a large share of all trades, so no step sorts a whole
-account in one task. RANGE frames use time-sliced windows (``rolling``), ROWS frames use
+account in one task and none goes through a frame's rows again for each row. RANGE frames are merged
+from partials per time bucket (``rolling_partials``), ROWS frames use
 global positions built from slice summaries (``rows_sum`` / ``rows_last_non_null``), the
 order look-up is an as-of join, and the burst count is a plain aggregate.
 """
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tradewatch.functions.timefn import as_ts, epoch_seconds, shift, since, trunc
 from tradewatch.operators.joins import asof_join, either_key_join, interval_join
-from tradewatch.operators.windows import rolling, rows_last_non_null, rows_sum
+from tradewatch.operators.windows import rolling_partials, rows_last_non_null, rows_sum
 from tradewatch.params import DEFAULT_FEATURES, FeatureParams
 
 H_US = 3_600_000_000
@@ -37,54 +38,43 @@ def _sell(c="quote_qty"):
 
 
 def pair_windows(base: DataFrame, p: FeatureParams = DEFAULT_FEATURES, frames=("1h", "4h", "24h")) -> DataFrame:
-    """1 h / 4 h / 24 h RANGE frames per (account, pair): one sort shared by all frames."""
+    """1 h / 4 h / 24 h RANGE frames per (account, pair) from hourly partials."""
+    one, maker = F.lit(1), F.when(F.col("is_maker"), F.lit(1)).otherwise(F.lit(0))
+    qty, price = F.col("quote_qty"), F.col("price")
     specs = {}
-    if "1h" in frames:
-        specs.update({
-            "trade_count_1h": (F.count(F.lit(1)), H_US),
-            "volume_usd_1h": (F.sum("quote_qty"), H_US),
-            "avg_price_1h": (F.avg("price"), H_US),
-            "price_stddev_1h": (F.stddev_samp("price"), H_US),
-            "buy_vol_1h": (F.sum(_buy()), H_US),
-            "sell_vol_1h": (F.sum(_sell()), H_US),
-        })
-    if "4h" in frames:
-        specs.update({
-            "trade_count_4h": (F.count(F.lit(1)), 4 * H_US),
-            "volume_usd_4h": (F.sum("quote_qty"), 4 * H_US),
-            "avg_price_4h": (F.avg("price"), 4 * H_US),
-            "price_stddev_4h": (F.stddev_samp("price"), 4 * H_US),
-        })
-    if "24h" in frames:
-        specs.update({
-            "trade_count_24h": (F.count(F.lit(1)), D_US),
-            "volume_usd_24h": (F.sum("quote_qty"), D_US),
-            "avg_price_24h": (F.avg("price"), D_US),
-            "price_max_24h": (F.max("price"), D_US),
-            "price_min_24h": (F.min("price"), D_US),
-            "buy_vol_24h": (F.sum(_buy()), D_US),
-            "sell_vol_24h": (F.sum(_sell()), D_US),
-            "maker_count_24h": (F.sum(F.when(F.col("is_maker"), F.lit(1)).otherwise(F.lit(0))), D_US),
-        })
-    return rolling(base, ["account_id", "trading_pair"], "trade_ts", specs, p.slice_seconds and p.slice_seconds * 1_000_000)
+    for name, us in (("1h", H_US), ("4h", 4 * H_US), ("24h", D_US)):
+        if name not in frames:
+            continue
+        specs[f"trade_count_{name}"] = ("count", one, us)
+        specs[f"volume_usd_{name}"] = ("sum", qty, us)
+        specs[f"avg_price_{name}"] = ("avg", price, us)
+        if name == "24h":
+            specs["price_max_24h"], specs["price_min_24h"] = ("max", price, us), ("min", price, us)
+        else:
+            specs[f"price_stddev_{name}"] = ("stddev", price, us)
+        if name != "4h":
+            specs[f"buy_vol_{name}"], specs[f"sell_vol_{name}"] = ("sum", _buy(), us), ("sum", _sell(), us)
+        if name == "24h":
+            specs["maker_count_24h"] = ("sum", maker, us)
+    return rolling_partials(base, ["account_id", "trading_pair"], "trade_ts", specs, H_US)
 
 
 def account_windows(base: DataFrame, p: FeatureParams = DEFAULT_FEATURES) -> DataFrame:
     """7-day RANGE frame per account, plus the true 24-hour distinct pair and venue counts
     (the reference's ``unique_pairs_24h`` is the constant 1 and its ``unique_venues_24h``
-    spans the whole look-back; both are kept for parity, these are the ``_true`` forms).
-    A distinct count over a frame is the size of the frame's value set (values per
-    account and day are few: pairs, venues)."""
-    w = 7 * D_US
+    spans the whole look-back; both are kept for parity, these are the ``_true`` forms),
+    from six-hourly partials. A distinct count is the size of the merged value sets (values
+    per account and day are few: pairs, venues)."""
+    w, qty = 7 * D_US, F.col("quote_qty")
     specs = {
-        "trade_count_7d": (F.count(F.lit(1)), w),
-        "volume_usd_7d": (F.sum("quote_qty"), w),
-        "avg_trade_size_7d": (F.avg("quote_qty"), w),
-        "trade_size_stddev_7d": (F.stddev_samp("quote_qty"), w),
-        "unique_pairs_24h_true": (F.collect_set("trading_pair"), D_US, F.size),
-        "unique_venues_24h_true": (F.collect_set("venue"), D_US, F.size),
+        "trade_count_7d": ("count", F.lit(1), w),
+        "volume_usd_7d": ("sum", qty, w),
+        "avg_trade_size_7d": ("avg", qty, w),
+        "trade_size_stddev_7d": ("stddev", qty, w),
+        "unique_pairs_24h_true": ("distinct", F.col("trading_pair"), D_US),
+        "unique_venues_24h_true": ("distinct", F.col("venue"), D_US),
     }
-    return rolling(base, ["account_id"], "trade_ts", specs, p.slice_seconds and p.slice_seconds * 1_000_000)
+    return rolling_partials(base, ["account_id"], "trade_ts", specs, 6 * H_US)
 
 
 def venue_distinct(base: DataFrame) -> DataFrame:
@@ -129,10 +119,9 @@ def cancel_counts(orders: DataFrame, as_of: str, p: FeatureParams = DEFAULT_FEAT
     account in the hour up to and including its time."""
     o = orders.filter(since("event_ts", as_of, p.signal_days, "day")).select(
         "order_id", "account_id", "state", "event_ts")
-    specs = {"cancelled_orders_1h": (
-        F.sum(F.when(F.col("state").isin("CANCELLED", "EXPIRED"), F.lit(1)).otherwise(F.lit(0))),
-        p.cancel_frame_seconds * 1_000_000)}
-    return rolling(o, ["account_id"], "event_ts", specs, p.slice_seconds and p.slice_seconds * 1_000_000)
+    gone = F.when(F.col("state").isin("CANCELLED", "EXPIRED"), F.lit(1)).otherwise(F.lit(0))
+    frame = p.cancel_frame_seconds * 1_000_000
+    return rolling_partials(o, ["account_id"], "event_ts", {"cancelled_orders_1h": ("sum", gone, frame)}, frame)
 
 
 def cancel_signal(trades: DataFrame, orders: DataFrame, as_of: str, p: FeatureParams = DEFAULT_FEATURES) -> DataFrame:
