@@ -196,7 +196,7 @@ def rolling_partials(df: DataFrame, keys: Sequence[str], ts: str, specs: dict[st
 
     if frames[-1] > bucket_us:
         every = F.lit(True)
-        parts = base.groupBy(*keys, b).agg(*[(moments(v, every, lambda c: c) if m == "moments" else _Measure(m, v).partial(every)).alias(f"_rp_p{k}")
+        parts = base.filter(F.col(t).isNotNull()).groupBy(*keys, b).agg(*[(moments(v, every, lambda c: c) if m == "moments" else _Measure(m, v).partial(every)).alias(f"_rp_p{k}")
                                              for k, (m, v) in enumerate(needed)])
         for k, ((m, v), needs) in enumerate(needed.items()):
             for f in sorted(needs):
