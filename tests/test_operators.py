@@ -199,7 +199,7 @@ def test_rolling_partials_of_equal_values_deviate_by_zero(spark):
     from tradewatch.operators.windows import rolling_partials
     df = spark.range(500).select("id", F.lit("k").alias("k"), F.lit(0.1).alias("v"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("ts"))
     out = rolling_partials(df, ["k"], "ts", {"sd": ("stddev", F.col("v"), 4 * H), "n": ("count", F.col("v"), 4 * H)}, H)
-    assert {r.sd for r in out.filter("n > 1").collect()} == {0.0}
+    assert max(r.sd for r in out.filter("n > 1").collect()) < 1e-12
 
 
 def test_rolling_partials_have_no_bounded_frame_over_rows(spark):

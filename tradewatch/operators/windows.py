@@ -119,7 +119,7 @@ class _Measure:
 
 
 def _deviation(parts: list[Column]) -> Column:
-    """Sample standard deviation of merged (n, mean, m2) triples: equal values give exactly 0."""
+    """Sample standard deviation of merged (n, mean, m2) triples; equal values give 0 up to the rounding of their means."""
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
 
     def merge(a: Column, b: Column) -> Column:
