@@ -123,8 +123,8 @@ def test_latest_state_folds_across_batches(spark):
         spark.createDataFrame(b, schema).coalesce(1).write.parquet(os.path.join(src, f"b{n}"))
         stream = (spark.readStream.schema(spark.createDataFrame([], schema).schema)
                   .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(src))
-        path = ST.latest_state_stream(stream, "orders", CA.latest_orders_batch, empty, ["order_id"], base=base,
-                                      buckets=4)
-        seen.append({r.order_id: r.state for r in spark.read.parquet(path).collect()})
+        store = ST.latest_state_stream(stream, "orders", CA.newest_orders, empty.schema, ["order_id"], base=base, compact_every=1 + n)
+        seen.append({r.order_id: r.state for r in store.read().collect()})
+    assert store.n_rows("rows", 1) == 2 and os.path.exists(f"{store.path}/compact/upto=1/_SUCCESS")
     assert seen[0] == {"1": "PARTIAL_FILL", "2": "FILLED"}
     assert seen[1] == {"1": "FILLED", "2": "FILLED"}      # restarted query continued from the state

@@ -120,16 +120,10 @@ def with_links(alerts: DataFrame, linked: DataFrame) -> DataFrame:
                       else F.col(c) for c in alerts.columns])
 
 
-def latest_orders_batch(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
-    """T3 step: fold one micro-batch of order events into the latest-state snapshot."""
+def newest_orders(rows: DataFrame) -> DataFrame:
+    """T3 fold: the newest state of each order, from parsed events or from states folded before."""
     from tradewatch.plans.harmonise import harmonise_orders
-    return harmonise_orders(snapshot.drop("fill_ratio").unionByName(batch))
-
-
-def latest_balances_batch(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
-    """T3 step: fold one micro-batch of balance events into the latest-state snapshot."""
-    from tradewatch.plans.harmonise import harmonise_balances
-    return harmonise_balances(snapshot.unionByName(batch, allowMissingColumns=True))
+    return harmonise_orders(rows.drop("fill_ratio"))
 
 
 def check_sla(cases: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tradewatch.functions.timefn import epoch_seconds
+from tradewatch.operators.logstore import LogStore
 from tradewatch.params import DEFAULT_RULES, RuleParams
 from tradewatch.plans import harmonise as H
 from tradewatch.session import checkpoint_dir
@@ -262,37 +263,25 @@ def transfers_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ----------------------------------------------------------------------------- T3 latest state
 
 
-def latest_state_stream(events: DataFrame, name: str, fold, empty: DataFrame, keys: list[str],
-                        trigger: dict | None = None, base: str | None = None, buckets: int = 64) -> str:
+def latest_state_stream(events: DataFrame, name: str, fold, schema, keys: list[str], trigger: dict | None = None,
+                        base: str | None = None, compact_every: int = 16) -> LogStore:
     """Keep a latest-state table (orders, balances) current from a stream.
 
-    The table is partitioned by ``bucket = pmod(xxhash64(keys), buckets)``. Every
-    micro-batch reads only the buckets its keys fall in (a semi-join on the bucket column,
-    pruned to those folders), folds its rows into them, cuts the lineage with a reliable
-    checkpoint and overwrites exactly those buckets (dynamic partition overwrite). A batch
-    whose keys fall in every bucket rewrites the whole state, so ``buckets`` should be well
-    above the keys of a batch. Folding is idempotent: a retried batch rewrites the same
-    buckets with the same rows. Returns the table folder.
+    Every micro-batch is folded to the newest row of each of its keys and appended as a delta: it writes as many rows
+    as it has keys, whatever the state holds. Reading folds the deltas with the newest compaction. A trigger of its own,
+    every ``compact_every`` batches, writes the folded state as a new base; batches are only read from then on
+    if they are newer. A batch that runs again replaces its own delta, and a job that dies between a delta and a
+    compaction loses nothing: the deltas stay. Returns the store; ``read()`` gives the state.
     """
-    spark = events.sparkSession
-    base = base or checkpoint_dir(spark, name)
-    table = f"{base}/state"
-
-    def bucket(df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)))
+    base = base or checkpoint_dir(events.sparkSession, name)
+    store = LogStore(events.sparkSession, f"{base}/state", schema, keys, fold=fold)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        b = bucket(batch)
-        touched = b.select("bucket").distinct()
-        # only a missing table is a first batch; an unreadable one fails the batch and stays as it is
-        prev = empty
-        if exists(spark, table):
-            prev = spark.read.parquet(table).join(F.broadcast(touched), on="bucket", how="left_semi").drop("bucket")
-        out = bucket(fold(prev, b.drop("bucket"))).checkpoint(eager=True)
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("bucket").parquet(table))
+        store.append(fold(batch), batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            store.compact(batch_id)
 
     q = (events.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/_checkpoint")
          .trigger(**(trigger or {"availableNow": True})).start())
     q.awaitTermination()
-    return table
+    return store
