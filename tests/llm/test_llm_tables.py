@@ -201,6 +201,14 @@ def test_mixing(spark, docs):
     assert all(r.size == r.taken == 0 and r.target == 0 for r in nothing)
 
 
+def test_mixing_agrees_on_rows_without_an_id_and_takes_any_names(spark):
+    rows = [(None, f"word{i} and two more", "s", i, 7) for i in range(40)] + [(3, f"text {i}", "s", i, 7) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _u int, _p_target int")
+    a, b = (Counter((r.text, r._u, r._p_target, r.taken) for r in mixing.mix(d, share=0.5).collect()) for d in (df.repartition(7), df.coalesce(1)))
+    assert a == b and {k[3] for k in a} >= {0}
+    assert mixing.mix(df).columns == ["doc_id", "text", "source", "_u", "_p_target", "size", "source_size", "target", "times", "taken"]
+
+
 @pytest.mark.skipif(not os.path.exists(SF), reason="driver tables not present")
 def test_pipeline_stages_are_the_operators(spark):
     """Each stage against what its operator's brute force says of the rows before it."""

@@ -7,8 +7,9 @@ cap over weight, source k is clamped as long as its ratio is not above the level
 remaining budget and weight give.
 
 A document is taken ``floor(target / size)`` times whole, and the remaining fraction of its source
-is filled by whole documents in an order that a seeded hash of the id fixes, up to the document
-that would pass the target (it is taken if that comes closer). Reruns agree.
+is filled by whole documents in an order that a seeded hash of the id and the text fixes, up to the
+document that would pass the target (it is taken if that comes closer). Reruns agree, also on
+rows without an id.
 
 Work at scale: one row per source is all that meets in one place. The cumulative size inside a
 source is never one window: hash values fall into ``buckets`` equal ranges per source, bucket totals
@@ -17,7 +18,8 @@ by document. So a source with a third of all rows is spread over its buckets.
 
 Defined results: NULL or empty texts have size 0 and are taken as their source is, at size 0. A
 NULL source is a source of its own, last in the order of code points. Sources of total size 0
-get target 0. Repeated rows are documents of their own.
+get target 0. Repeated rows are documents of their own (which of several equal ones is taken cannot be told).
+The input may have columns of any names but those that are added, which are replaced.
 """
 
 from __future__ import annotations
@@ -51,9 +53,10 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
         F.least(F.col("cap"), F.col("w") * F.col("level"))).alias("target"))
 
 
-def unit_hash(id_col: str, seed: int):
-    """A number below 2 ** 48 from a seeded hash of the id (the same in any SQL engine)."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+def unit_hash(id_col: str, text_col: str, seed: int):
+    """A number below 2 ** 48 from a seeded hash of the id and the text (the same in any SQL engine): rows that share
+    an id, or have none, are told apart by their texts and spread like any others."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
 
 
@@ -67,10 +70,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         weights: Sequence[float] = WEIGHTS, share: float = 1.5, max_epochs: float = 2.0, buckets: int = 4096) -> DataFrame:
     """``docs`` with size, source_size, target (of the source), times and taken (words taken)."""
     added = ["size", "source_size", "target", "times", "taken"]
-    rest = [c for c in docs.columns if c not in added]
-    sized = docs.withColumn("_size", word_count(text_col)).select(*rest, "_size")
-    sized = sized.withColumn("_u", unit_hash(id_col, seed)).withColumn("_bucket", F.floor(F.col("_u") * buckets / 2**48))
-    per_bucket = (sized.groupBy(F.col(source_col).alias("source"), F.col("_bucket").alias("bucket"))
+    # the input's columns travel as one struct, so none of their names can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added]).alias("_row")
+    sized = docs.select(row, F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(text_col).alias("_size"),
+                        unit_hash(id_col, text_col, seed).alias("_u")).withColumn("_bucket", F.floor(F.col("_u") * buckets / 2**48))
+    per_bucket = (sized.groupBy(F.col("_source").alias("source"), F.col("_bucket").alias("bucket"))
                   .agg(F.sum("_size").alias("words")))
     plan = targets(per_bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
     plan = plan.withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
@@ -84,19 +88,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     plan = plan.join(cut.select(F.col("source").alias("s"), F.col("bucket").alias("cut"), "cut_start"),
                      F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     plan = plan.select(*[F.col(c).alias(f"_p_{c}") for c in plan.columns])
-    rows = sized.join(_small(written(plan, "mix-plan")), F.col(source_col).eqNullSafe(F.col("_p_source")))
+    rows = sized.join(_small(written(plan, "mix-plan")), F.col("_source").eqNullSafe(F.col("_p_source")))
     whole_bucket = F.col("_p_part") > 0
     # no cut bucket: the fraction covers all buckets (or is zero)
     in_cut = F.col("_bucket") == F.col("_p_cut")
     sure = whole_bucket & F.when(F.col("_p_cut").isNull(), True).otherwise(F.col("_bucket") < F.col("_p_cut"))
     edge = rows.filter(in_cut)
-    walk = Window.partitionBy(source_col).orderBy("_u", id_col, "_size")
+    walk = Window.partitionBy("_source").orderBy("_u", "_id", "_size")
     edge = edge.withColumn("_upto", F.col("_p_cut_start") + F.sum("_size").over(walk.rowsBetween(Window.unboundedPreceding, 0)))
     closer = F.col("_upto") - F.col("_p_part") < F.col("_p_part") - (F.col("_upto") - F.col("_size"))
     edge = edge.withColumn("_extra", ((F.col("_upto") <= F.col("_p_part")) | closer) & whole_bucket).drop("_upto")
     out = rows.filter(~F.coalesce(in_cut, F.lit(False))).withColumn("_extra", sure).unionByName(edge)
     times = (F.col("_p_whole") + F.col("_extra").cast("long")).cast("long")
-    return out.select(*rest, F.col("_size").alias("size"), F.col("_p_source_size").alias("source_size"),
+    return out.select("_row.*", F.col("_size").alias("size"), F.col("_p_source_size").alias("source_size"),
                       F.col("_p_target").alias("target"), times.alias("times"), (times * F.col("_size")).alias("taken"))
 
 
@@ -108,7 +112,7 @@ def repeated(mixed: DataFrame) -> DataFrame:
 #: The same in SQL for the query on documents.
 SQL = """
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-             ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS u FROM documents),
+             ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS u FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
         [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
 o AS (SELECT *, 2.0::DOUBLE * source_size AS cap,
