@@ -302,7 +302,7 @@ head AS (SELECT doc_id, n, shingle FROM p WHERE pos <= n - (9 * n + 9) // 10 + 1
 q AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM head x JOIN head y ON x.shingle = y.shingle AND x.doc_id < y.doc_id AND 10 * x.n >= 9 * y.n AND 10 * y.n >= 9 * x.n),
 links AS (SELECT a, b FROM q JOIN s x ON a = x.doc_id JOIN s y ON b = y.doc_id
   WHERE 190 * len(list_intersect(x.g, y.g)) >= 90 * (len(x.g) + len(y.g))),
-both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach(doc_id, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, b FROM reach r JOIN both ON r.other = a)
+sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, b FROM reach r JOIN sym ON r.other = a)
 SELECT s.doc_id, len(g)::BIGINT AS n_shingles, component_id FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r ON s.doc_id = r.doc_id
 """
