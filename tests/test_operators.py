@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tradewatch.functions.timefn import epoch_seconds
 from tradewatch.operators import (
-    append_deduped, asof_join, either_key_join, global_row_number, interval_join, latest_by,
+    HOT_COPIES, append_deduped, asof_join, either_key_join, frequent_keys, global_row_number, interval_join, latest_by,
     merge_upsert, rolling, rows_last_non_null, rows_sum, snapshot_diff, top_k,
 )
 
@@ -47,6 +47,36 @@ def test_either_key_join_equals_or_join(spark):
     assert rows(left, "tx", "owner") == sorted(rows(ref_left, "tx", "owner"), key=lambda r: (r[0], r[1] or ""))
 
 
+def test_either_key_join_deals_a_hot_key_to_many_tasks(spark):
+    """A third of all transfers touch one address: same rows as the plain path, no task far above the rest."""
+    n = F.col("id")
+    t = spark.range(30_000).select(
+        n.alias("tx"), F.when(n % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("a"), (n % 5000).cast("string"))).alias("f"),
+        F.concat(F.lit("a"), (n % 4999).cast("string")).alias("t"), F.lit("eth").alias("chain"))
+    w = spark.range(5000).select(F.concat(F.lit("a"), n.cast("string")).alias("addr"), F.lit("eth").alias("chain"), n.alias("o"))
+    w = w.union(spark.createDataFrame([("hot", "eth", -1), ("hot", "eth", -2), (None, "eth", -3)], "addr string, chain string, o long"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        plain = either_key_join(t, w, ["f", "t"], "addr", on_also=["chain"])
+        dealt = either_key_join(t, w, ["f", "t"], "addr", on_also=["chain"], hot_copies=HOT_COPIES)
+        assert dealt.columns == plain.columns
+        assert plain.exceptAll(dealt).count() == 0 and dealt.exceptAll(plain).count() == 0
+        per_task = sorted(r["n"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+        assert per_task[-1] <= 2 * per_task[len(per_task) // 2]
+        one = sorted(r["n"] for r in plain.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+        assert one[-1] > 2 * one[len(one) // 2]
+        hot = spark.range(1).select(frequent_keys(t, "f", 64)).head()[0]
+        assert hot == ["hot"]
+        empty = either_key_join(t.limit(0), w, ["f", "t"], "addr", on_also=["chain"], hot_copies=HOT_COPIES)
+        assert empty.count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_interval_join_equals_theta_join(spark):
     df = _events(spark)
     a = df.select("id", "k", "ts")

@@ -1,5 +1,5 @@
 from tradewatch.operators.joins import (  # noqa: F401
-    asof_join, either_key_join, explode_slices, interval_join,
+    HOT_COPIES, asof_join, either_key_join, explode_slices, frequent_keys, interval_join,
 )
 from tradewatch.operators.state import (  # noqa: F401
     append_deduped, insert_new, merge_upsert, priority_union, snapshot_diff,

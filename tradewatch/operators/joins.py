@@ -2,7 +2,8 @@
 
 * ``either_key_join`` (D1): ``ON (l.a = r.k OR l.b = r.k) AND l.c = r.c`` would be planned
   as an equi-join on ``c`` alone with the OR as a residual (a near cross product per chain).
-  Exploding the distinct candidate keys turns it into one equi-join.
+  Exploding the distinct candidate keys turns it into one equi-join; the keys that a sketch finds
+  frequent are dealt to several tasks.
 * ``interval_join`` (D2): band joins ``lo <= r.t - l.t <= hi`` become an equi-join on
   (keys, time bucket) plus an exact residual filter; the bucket also splits hot keys.
 * ``asof_join``: latest right row at or before each left row within a tolerance, computed
@@ -21,6 +22,9 @@ from tradewatch.functions.timefn import epoch_micros
 
 DAY_US = 86_400_000_000
 
+#: Tasks to which the rows of a frequent address are dealt.
+HOT_COPIES = 32
+
 
 def either_key_join(
     left: DataFrame,
@@ -30,19 +34,31 @@ def either_key_join(
     on_also: Sequence[str] = (),
     how: str = "inner",
     match_col: str = "_match_key",
+    hot_copies: int = 0,
+    sketch_of: DataFrame | None = None,
 ) -> DataFrame:
     """``left JOIN right ON (left.k1 = right.key OR left.k2 = ...) AND left.x = right.x``.
 
     One output row per (left row, right row) pair, exactly as the OR join gives: the
     candidate keys of a left row are de-duplicated first, so a right row that equals both
     ends matches once. ``how='left'`` adds unmatched left rows once (null right columns).
-    The matched key is kept in ``match_col``.
+    The matched key is kept in ``match_col``. ``hot_copies`` above 1 deals the left rows of
+    frequent keys to that many tasks (``deal_hot_keys``); the rows are the same. The keys are sketched
+    on ``left``, or on ``sketch_of`` where ``left`` is dear to compute twice.
     """
     cand = F.array_distinct(F.array(*[F.col(k) for k in left_keys]))
-    exploded = left.withColumn(match_col, F.explode(cand)).filter(F.col(match_col).isNotNull())
+
+    def ends(df: DataFrame) -> DataFrame:
+        return df.withColumn(match_col, F.explode(cand)).filter(F.col(match_col).isNotNull())
+
+    exploded = ends(left)
     r = right.withColumnRenamed(right_key, match_col)
     join_cols = [match_col, *on_also]
-    inner = exploded.join(r, on=join_cols, how="inner")
+    if hot_copies > 1:
+        dealt, copied = deal_hot_keys(exploded, r, match_col, hot_copies, ends(sketch_of) if sketch_of is not None else exploded)
+        inner = dealt.join(copied, on=[*join_cols, "_salt"], how="inner").drop("_salt")
+    else:
+        inner = exploded.join(r, on=join_cols, how="inner")
     if how == "inner":
         return inner
     if how != "left":
@@ -69,6 +85,32 @@ def either_key_join(
     return inner.unionByName(unmatched.select(*inner.columns))
 
 
+def frequent_keys(df: DataFrame, key: str, share: int, tracked: int = 4096) -> Column:
+    """The keys that at least one in ``share`` rows of ``df`` have, as an array in a one-row subquery.
+
+    A frequent-items sketch of ``tracked`` counters is built per task and merged, so the keys are never
+    shuffled or counted one by one. Every key above the share is in it (for ``share`` well below
+    ``tracked``); one slightly below may be too, so use it where a wrong guess costs time, not results.
+    """
+    top = df.agg(F.expr(f"approx_top_k({key}, {int(share)}, {int(tracked)})").alias("top"), F.count(key).alias("n"))
+    often = F.filter("top", lambda t: t["count"] * F.lit(int(share)) >= F.col("n"))
+    return top.select(F.transform(often, lambda t: t["item"])).scalar()
+
+
+def deal_hot_keys(left: DataFrame, right: DataFrame, key: str, copies: int, sketched: DataFrame,
+                  share: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_salt``, a further join column: left rows of a key that one in ``share`` rows of ``sketched``
+    has are dealt by a hash of the row to ``copies`` salts, right rows of such a key are copied to all of
+    them. All other rows have salt 0. At most ``share`` keys are hot, so the right side grows by at most
+    ``share * (copies - 1)`` times the rows of a key, and the join gives the same rows for any set of hot keys."""
+    hot = frequent_keys(sketched.select(key), key, share)
+    is_hot = F.coalesce(F.array_contains(hot, F.col(key)), F.lit(False))
+    dealt = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(copies)).cast("int")).otherwise(0))
+    copied = (right.withColumn("_hot", is_hot)
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(copies - 1)).otherwise(0)))).drop("_hot"))
+    return dealt, copied
+
+
 def interval_join(
     left: DataFrame,
     right: DataFrame,

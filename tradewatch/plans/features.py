@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradewatch.functions.timefn import as_ts, epoch_seconds, shift, since, trunc
-from tradewatch.operators.joins import asof_join, either_key_join, interval_join
+from tradewatch.operators.joins import HOT_COPIES, asof_join, either_key_join, interval_join
 from tradewatch.operators.windows import rolling_partials, rows_last_non_null, rows_sum
 from tradewatch.params import DEFAULT_FEATURES, FeatureParams
 
@@ -221,7 +221,8 @@ def onchain_stats(transfers: DataFrame, wallets: DataFrame, as_of: str, days: in
     t = t.join(mixers, on="to_address", how="left")
     owned = wallets.filter(F.col("owner_entity_id").isNotNull()).select(
         F.col("wallet_address").alias("_w_addr"), "chain", "owner_entity_id")
-    j = either_key_join(t, owned, ["from_address", "to_address"], "_w_addr", on_also=["chain"])
+    j = either_key_join(t, owned, ["from_address", "to_address"], "_w_addr", on_also=["chain"],
+                        hot_copies=HOT_COPIES)
     if per_entity:
         j = j.dropDuplicates(["owner_entity_id", "chain", "tx_hash", *event])
     other = F.when(F.col("_match_key") == F.col("from_address"), F.col("to_address")).otherwise(F.col("from_address"))

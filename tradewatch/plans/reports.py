@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tradewatch.functions.risk import severity_rank
 from tradewatch.functions.timefn import as_ts, boundary_diff, since, trunc
-from tradewatch.operators.joins import either_key_join
+from tradewatch.operators.joins import HOT_COPIES, either_key_join
 from tradewatch.operators.windows import top_k
 from tradewatch.params import CLOSED_STATES, SEVERITIES
 
@@ -170,7 +170,7 @@ def case_detail_transfers(cases: DataFrame, transfers: DataFrame, wallets: DataF
         F.col("wallet_address").alias("_w"), "chain", "owner_entity_id").join(c, on="owner_entity_id", how="inner")
     t = transfers.filter(since("block_ts", as_of, days, "day")).select(
         "tx_hash", "chain", "event_type", "value_decimal", "token_symbol", "from_address", "to_address", "block_ts")
-    j = either_key_join(t, w, ["from_address", "to_address"], "_w", on_also=["chain"])
+    j = either_key_join(t, w, ["from_address", "to_address"], "_w", on_also=["chain"], hot_copies=HOT_COPIES)
     top = top_k(j, ["case_id"], [F.col("block_ts").desc(), F.col("tx_hash").desc()], limit, salt_col="tx_hash",
                 rank_col="row_rank")
     return top.select("case_id", "row_rank", "tx_hash", "chain", "event_type", "value_decimal", "token_symbol",
