@@ -827,3 +827,53 @@ def _stream_alert_dedup(i: Inputs) -> DataFrame:
                                                               F.date_format("alert_hour", "yyyy-MM-dd HH:mm:ss"))))
     d = ST.dedup_within_watermark(keyed, ["dedup_hash"], "_et", "2 hours")
     return _run(d.drop("_et"), "stream_alert_dedup")
+
+
+# ------------------------------------------------------------------ windows with late rows
+
+from tradewatch.streaming import window_log as WL  # noqa: E402
+
+
+def _arrivals(i: Inputs, name: str, spec: WL.WindowSpec, delay: str) -> WL.WindowLog:
+    """The events as they would arrive (``A.arrival_batch``), one scheduled run of the stream for each batch."""
+    base = ST.checkpoint_dir(i.spark, name)
+    events = i.events.withColumn("_b", A.arrival_batch())
+    for b in [r["_b"] for r in events.select("_b").distinct().orderBy("_b").collect()]:
+        events.filter(F.col("_b") == b).drop("_b").write.mode("overwrite").parquet(f"{base}/src/b{b}")
+        feed = (i.spark.readStream.schema(i.events.schema).option("recursiveFileLookup", "true").parquet(f"{base}/src"))
+        log = WL.run(A.trades(feed), name, spec, delay, base=f"{base}/log", compact_every=3)
+    return log
+
+
+@query("stream_structuring_upsert")
+def _stream_struct_upsert(i: Inputs) -> DataFrame:
+    """T6 on disordered arrivals: every day, the open ones and the corrected ones too."""
+    log = _arrivals(i, "stream_struct_upsert", WL.structuring_spec(WIDE_RULES), "1 hour")
+    return WL.structuring_hits(log.windows(), WIDE_RULES)
+
+
+@query("stream_price_spikes_upsert")
+def _stream_spikes_upsert(i: Inputs) -> DataFrame:
+    """T5 on disordered arrivals."""
+    log = _arrivals(i, "stream_spikes_upsert", WL.price_spike_spec(), "10 minutes")
+    return WL.price_spike_hits(log.windows(), WIDE_RULES)
+
+
+@query("stream_cross_venue_upsert")
+def _stream_xv_upsert(i: Inputs) -> DataFrame:
+    """T4 on disordered arrivals (hours)."""
+    log = _arrivals(i, "stream_xv_upsert", WL.cross_venue_spec("1 hour"), "10 minutes")
+    return WL.cross_venue_hits(log.windows(), WIDE_RULES)
+
+
+@query("stream_late_rows")
+def _stream_late_rows(i: Inputs) -> DataFrame:
+    """Trades of hours that were closed when they arrived."""
+    return _arrivals(i, "stream_late_rows", WL.price_spike_spec(), "10 minutes").late_rows().select(
+        "trade_id", "trading_pair", "price", "quote_qty", "trade_ts")
+
+
+@query("stream_corrections")
+def _stream_corrections(i: Inputs) -> DataFrame:
+    """New values of the hours that late trades changed."""
+    return _arrivals(i, "stream_corrections", WL.price_spike_spec(), "10 minutes").corrections()

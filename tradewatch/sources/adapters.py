@@ -108,6 +108,13 @@ def trades(events: DataFrame) -> DataFrame:
     )
 
 
+def arrival_batch(days: int = 8) -> Column:
+    """Number of the batch that an event arrives with: each holds ``days`` days, and events with
+    event_id mod 10 = 0 come three days late."""
+    held = F.when(F.col("event_id") % 10 == 0, F.lit(3)).otherwise(F.lit(0))
+    return F.floor((F.unix_date(F.to_date("ts")) + held) / F.lit(days)).cast("int")
+
+
 def _envelope(rec_prefix: str, e: DataFrame, payload: Column, partition_key: Column,
               feed: str, lag_seconds: int) -> DataFrame:
     eid = F.col("event_id")
