@@ -9,6 +9,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import corpus
@@ -66,6 +67,23 @@ def test_sharding_table(spark, docs):
     assert sharding.shard(corpus.empty(spark), "doc_id", names, 101).count() == 0
 
 
+@pytest.mark.parametrize("key", ["slot", "Shard", "_slot"])
+def test_sharding_of_any_column_names(spark, key):
+    keys = ["a", "b", "", None, "x" * 100_000, "a"]
+    names = ["slot", "_slot", "__slot", "shard"]
+    df = spark.createDataFrame([(k, 7) for k in keys], f"{key} string, other int")
+    for n in names:
+        if n not in [c.lower() for c in df.columns]:
+            df = df.withColumn(n, F.lit(n))
+    got = sharding.shard(df.select(key, *[c for c in df.columns if c != key]), key, slots=101)
+    assert len(got.columns) == len({c.lower() for c in got.columns})
+    plain = {r["k"]: (r["slot"], r["shard"]) for r in sharding.shard(spark.createDataFrame([(k,) for k in keys], "k string"), "k", slots=101).collect()}
+    assert sorted((r["slot"], r["shard"]) for r in got.collect()) == sorted(plain[k] for k in keys)
+    if "_slot" in got.columns and key != "_slot":
+        assert {r["_slot"] for r in got.select("_slot").collect()} == {"_slot"}
+    assert sharding.shard(df.limit(0), key, slots=101).count() == 0
+
+
 def test_listed_and_mined_url_rules(spark):
     urls = ([f"http://spam.bad-{i}.net/win/{i}" for i in range(30)] + [f"https://good{i}.net/news/{i}?a=1#x" for i in range(60)]
             + ["https://A.Example.ORG/es/1", "https://example.org/en/12", "https://example.org/en/2", "https://x.com/fr/1", "https://com/de/", "https://x.com/de",
@@ -162,6 +180,29 @@ def test_encoder_table_starts_afresh():
         assert e.encode([t or ""])[0].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_other_tokenizers_are_encoded_whole(tmp_path):
+    """The fast path stands for one normalizer and one split; any other file goes to its tokenizer."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(queries.tokenizer_path()) as f:
+        spec = json.load(f)
+    assert token_blocks.Encoder(queries.tokenizer_path()).by_piece
+    cased = {**spec, "normalizer": {"type": "Sequence", "normalizers": spec["normalizer"]["normalizers"][:2]}}
+    joined = {**spec, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {**spec["pre_tokenizer"]["pretokenizers"][0], "pattern": {"Regex": r"\S+"}}, spec["pre_tokenizer"]["pretokenizers"][1]]}}
+    mark = {"id": 49408, "content": "world", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    marked = {**spec, "added_tokens": [*spec["added_tokens"], mark]}
+    texts = ["Hello World", "it's 42 words, isn't it?", "", "hello world again"]
+    for i, other in enumerate((cased, joined, marked, {**spec, "normalizer": None})):
+        path = tmp_path / f"t{i}.json"
+        path.write_text(json.dumps(other))
+        coder, plain = token_blocks.Encoder(str(path)), Tokenizer.from_file(str(path))
+        assert not coder.by_piece
+        assert [x.tolist() for x in coder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def water_fill(sizes, weights=(5.0, 2.0, 1.0), share=1.5, most=2.0):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: weights[i % 3] for i, s in enumerate(names)}

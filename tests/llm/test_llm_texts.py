@@ -187,6 +187,35 @@ def test_quality_statistics_and_verdicts(spark, docs):
     assert quality.judge(corpus.empty(spark)).count() == 0
 
 
+def test_verdicts_equal_an_em_over_single_documents(spark, docs):
+    """EM written anew, document by document: verdicts and probabilities of the operator."""
+    import math
+
+    names = [r.name for r, _ in quality.RULES]
+    got = quality.judge(docs[0]).select("base_failed", "kept", "p_good", "n_words", "n_repeat_words", *[f"v_{n}" for n in names]).collect()
+    for r in got:  # two of the rules by hand, the rest of the votes is taken as it is
+        assert r["v_long_enough"] == (-1 if r["n_words"] < 10 else 1 if r["n_words"] >= 40 else 0)
+        assert r["v_no_repeats"] == (-1 if r["n_repeat_words"] / max(r["n_words"], 1) > 0.2 else 0)
+    seen, prior = [[r[f"v_{n}"] for n in names] for r in got], 0.85
+    p = [0.2 if -1 in v else 0.95 for v in seen]
+    for _ in range(200):
+        rate = {}
+        for j in range(len(names)):
+            for cls, share in (("good", lambda x: x), ("bad", lambda x: 1 - x)):
+                total = sum(share(x) for x in p) + 3
+                for vote in (-1, 0, 1):
+                    rate[cls, j, vote] = (sum(share(x) for x, v in zip(p, seen) if v[j] == vote) + 1) / total
+        odds = {(j, v): 0.0 if v == 0 or rate["good", j, -1] >= rate["bad", j, -1] else math.log(rate["good", j, v] / rate["bad", j, v])
+                for j in range(len(names)) for v in (-1, 0, 1)}
+        z = [math.log(prior / (1 - prior)) + sum(odds[j, x] for j, x in enumerate(v)) for v in seen]
+        before, p = p, [1 / (1 + math.exp(-x)) for x in z]
+        if max(abs(a - b) for a, b in zip(p, before)) < 1e-9:
+            break
+    assert all(abs(r["p_good"] - x) < 1e-6 for r, x in zip(got, p))
+    assert [r["kept"] for r in got] == [not r["base_failed"] and x >= 0.5 for r, x in zip(got, p)]
+    assert len({r["kept"] for r in got}) == 2
+
+
 def test_repeated_words_on_small_alphabets():
     rnd = random.Random(2)
     for _ in range(500):

@@ -32,7 +32,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("touched"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

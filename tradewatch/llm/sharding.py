@@ -9,8 +9,9 @@ The table depends on the shard names and its size alone. It is filled by one SQL
 is the list of remaining preferences (shards x slots), then broadcast: its size is the number of
 slots, a parameter. A row's place is one hash and one look-up; rows are not shuffled.
 
-Defined results: NULL keys count as the text "null" and share a shard; equal keys always do.
-Repeated shard names count once. Columns named ``slot`` or ``shard`` are replaced.
+Defined results: NULL keys count as the text "null" and share a shard; equal keys always do;
+an empty key and a very long one are keys like any other. Repeated shard names count once. Columns named ``slot`` or
+``shard`` are replaced, also where one of them is the key; all other columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -56,11 +57,13 @@ def lookup_table(spark: SparkSession, shards: Sequence[str] = SHARDS, slots: int
 
 def shard(df: DataFrame, key_col: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """``df`` with ``slot`` and ``shard`` of its key."""
-    table = lookup_table(df.sparkSession, shards, slots).withColumnRenamed("slot", "_slot")
+    place, held = "_slot", {c.lower() for c in df.columns}
+    while place in held:
+        place = "_" + place
+    table = lookup_table(df.sparkSession, shards, slots).withColumnRenamed("slot", place)
     key = F.coalesce(F.col(key_col).cast("string"), F.lit("null"))
-    out = df.drop(*[c for c in ("slot", "shard") if c != key_col])
-    out = out.withColumn("_slot", (hash60(key) % slots).cast("int"))
-    return out.join(F.broadcast(table), "_slot").withColumnRenamed("_slot", "slot")
+    out = df.withColumn(place, (hash60(key) % slots).cast("int")).drop("slot", "shard")
+    return out.join(F.broadcast(table), place).withColumnRenamed(place, "slot")
 
 
 SQL = f"""

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import struct
 import threading
 import zlib
@@ -109,12 +110,19 @@ class Encoder:
     """Encodes texts as the tokenizer does, keeping the ids of words and pieces it has met.
 
     Used for tokenizers whose model works on each pre-tokenized piece alone, whose pieces never
-    hold white space, and whose last token of a piece carries the end-of-word suffix. Texts with
+    hold white space, and whose last token of a piece carries the end-of-word suffix: the file's normalizer and
+    pre-tokenizer must be ``NORMALIZER`` and ``SPLIT``, its added tokens must hold ``<|``. Texts with
     characters whose classes the two regular-expression engines may see differently, or with the
     marks of added tokens, go to the tokenizer whole; so does everything for other tokenizers."""
 
     #: The pieces of the word-end vocabulary after white space is dropped.
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: The steps before the model that ``_words`` and ``_learn`` stand for.
+    NORMALIZER = {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLIT = {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
     #: Latin-1 characters left to the tokenizer: separators beyond ASCII and numbers that are no digits.
     ODD = bytes([*range(0x1C, 0x20), 0x85, 0xA0, 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE])
     LOWER = bytes(ord(chr(c).lower()) for c in range(256))
@@ -124,7 +132,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.by_piece = bool(suffix)
+        self.by_piece = bool(suffix) and self._as_expected()
         if self.by_piece:
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -139,6 +147,11 @@ class Encoder:
         self.known_words = known_words
         self.forget = threading.Timer(0, self.known.clear)
 
+    def _as_expected(self) -> bool:
+        steps = [part and json.loads(part.__getstate__()) for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        return steps == [self.NORMALIZER, self.SPLIT] and all("<|" in t.content for t in added)
+
     def _words(self, text: str) -> list[bytes] | None:
         """Lower-cased words in Latin-1; None if the text must go to the tokenizer as it is."""
         if not self.by_piece or "<|" in text:
