@@ -11,7 +11,8 @@ at least ``num / den``; the result is the connected components of all links.
   the emptiest ranges, and a shingle in many documents fills its own.
 * Prefix: two similar sets of n and m shingles share one among their first ``n - ceil(t * n) + 1``. Classes with
   the same size and the same prefix are collapsed into one group, the unit of the join on prefix shingles.
-  Group pairs pass the length filter (sizes within the threshold) and the positional filter (what can still
+  Classes and groups are numbered when their tables are written, so the rows of the joins carry numbers of eight
+  bytes, not hashes. Group pairs pass the length filter (sizes within the threshold) and the positional filter (what can still
   be shared after the common shingle).
 * Members: the pairs that are left are expanded to classes, filtered by histograms (64 counts of hash ranges:
   the histograms of two sets differ by no more than the sets do) and verified on the shingles themselves,
@@ -190,12 +191,17 @@ class _Join:
         counted = written(docs.mapInArrow(_sets(width), out), "shingle-sets")
         self.rows = counted.filter("cls IS NOT NULL").select("id", "row", "n", "cls")
         marks = self.spark.sparkContext.broadcast(_marks(counted))
-        first = self.rows.filter("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
-        self.first = written(first.select("cls", "first.id", "first.row"), "shingle-firsts")
-        sets = docs.select(_prefixes(marks, width, num, den)(F.col("text")).alias("s")).select("s.*").filter("n > 0")
-        sets = sets.groupBy("cls").agg(F.first(F.struct("n", "prefix", "gid", "hist")).alias("s")).select("cls", "s.*")
-        self.classes = written(sets, "shingle-classes")
-        self.posts = self._posts()
+        sets = docs.select("id", "row", _prefixes(marks, width, num, den)(F.col("text")).alias("s")).select("id", "row", "s.*").filter("n > 0")
+        sets = sets.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"),
+                                       F.first(F.struct("n", "prefix", "gid", "hist")).alias("s"))
+        # numbers are taken as written: a task that runs again may number anew, its result is committed once
+        sets = written(sets.select(F.monotonically_increasing_id().alias("num"), F.col("cls").alias("set"), "first.id", "first.row", "s.*"), "shingle-sets-numbered")
+        self.first = sets.select(F.col("num").alias("cls"), "set", "id", "row")
+        groups = sets.groupBy("gid").agg(F.first(F.struct("n", "prefix")).alias("g"))
+        groups = written(groups.select(F.monotonically_increasing_id().alias("group"), "gid", "g.n", "g.prefix"), "shingle-groups")
+        self.classes = written(sets.select(F.col("num").alias("cls"), "n", "gid", "hist").join(groups.select("gid", "group"), "gid")
+                               .select("cls", "n", F.col("group").alias("gid"), "hist"), "shingle-classes")
+        self.posts = self._posts(groups.select(F.col("group").alias("gid"), "n", "prefix"))
 
     def _enough(self, x, y):
         """Do an overlap's upper bounds (of either side) allow the threshold for sets of sizes x.n and y.n?"""
@@ -203,10 +209,10 @@ class _Join:
         near = (self.den * F.col(f"{x}n") >= self.num * F.col(f"{y}n")) & (self.den * F.col(f"{y}n") >= self.num * F.col(f"{x}n"))
         return near & ((self.num + self.den) * left >= self.num * (F.col(f"{x}n") + F.col(f"{y}n")))
 
-    def _posts(self) -> DataFrame:
+    def _posts(self, groups: DataFrame) -> DataFrame:
         """(token, band, gid, n, pos) of the prefix shingles that several groups have. Sizes of one band are within the
         threshold of each other."""
-        groups = self.classes.groupBy("gid").agg(F.first(F.struct("n", "prefix")).alias("g")).select("gid", "g.n", F.posexplode("g.prefix").alias("pos", "token"))
+        groups = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
         band = F.floor(F.log(F.col("n")) / F.log(F.lit(self.den / self.num))).cast("int")
         by_token = Window.partitionBy("token").orderBy("gid")
         rows = groups.withColumn("other", F.coalesce(F.lag("gid").over(by_token), F.lead("gid").over(by_token))).filter("other IS NOT NULL")
@@ -218,7 +224,7 @@ class _Join:
         pairs = pairs.join(about.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("hist").alias("ha")), "a")
         pairs = pairs.join(about.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("hist").alias("hb")), "b")
         pairs = written(pairs.filter(_close(self.num, self.den)("na", "nb", "ha", "hb")).select("a", "b"), f"{name}-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.first, "cls")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.first.drop("set"), "cls")
         wanted = written(wanted.withColumnRenamed("row", "text_hash"), f"{name}-wanted")
         texts = self.docs.filter(_met(self.spark, wanted)(F.col("row")))
         same = texts["row"].eqNullSafe(wanted["text_hash"]) & texts["id"].eqNullSafe(wanted["id"])
@@ -282,9 +288,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     run = _Join(plain, width, num, den)
     tied = run.components(rounds).withColumnRenamed("node", "cls")
-    classes = run.first.select("cls", "id").join(tied, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    classes = run.first.select("cls", "set", "id").join(tied, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = classes.groupBy("root").agg(F.min("id").alias("component_id"))
-    classes = written(classes.join(least, "root").select("cls", "component_id"), "shingle-components")
+    classes = written(classes.join(least, "root").select(F.col("set").alias("cls"), "component_id"), "shingle-components")
     linked = run.rows.filter("n > 0").join(classes, "cls").select("id", "n", "component_id")
     alone = run.rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
