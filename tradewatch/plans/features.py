@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tradewatch.functions.timefn import as_ts, epoch_seconds, shift, since, trunc
 from tradewatch.operators.joins import HOT_COPIES, asof_join, either_key_join, interval_join
+from tradewatch.operators.logstore import LogStore
+from tradewatch.operators.slices import SliceLayer
 from tradewatch.operators.windows import rolling_partials, rows_last_non_null, rows_sum
 from tradewatch.params import DEFAULT_FEATURES, FeatureParams
 
@@ -300,3 +302,22 @@ def entity_features(entities: DataFrame, trades: DataFrame, transfers: DataFrame
         z("wallet_count").cast("long").alias("wallet_count"),
         as_ts(as_of).alias("feature_computed_at"),
     )
+
+
+def rolling_layer(trades: LogStore, path: str) -> SliceLayer:
+    """24-hour and 7-day features of every trade of the store, recomputed where new trades touch them."""
+    def compute(base: DataFrame) -> DataFrame:
+        pair = pair_windows(base, frames=("24h",))
+        account = account_windows(base).select("trade_id", "trade_count_7d", "volume_usd_7d", "avg_trade_size_7d", "unique_pairs_24h_true")
+        return pair.join(account, "trade_id").select(*KEY_COLS, "quote_qty", "trade_count_24h", "volume_usd_24h", "price_max_24h", "price_min_24h",
+                                                     "trade_count_7d", "volume_usd_7d", "avg_trade_size_7d", "unique_pairs_24h_true")
+    return SliceLayer(trades, path, compute, ["trade_id"], "account_id", "trade_ts", frame_days=7)
+
+
+def account_day_layer(rolling: SliceLayer, path: str) -> SliceLayer:
+    """Per account and day over the rolling layer: volume and the day's highest rolling values."""
+    def compute(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("account_id", trunc("day", "trade_ts").alias("trade_day")).agg(
+            F.count(F.lit(1)).alias("n_trades"), F.sum("quote_qty").alias("volume_usd"), F.max("volume_usd_24h").alias("peak_volume_24h"),
+            F.max("trade_count_7d").alias("peak_trade_count_7d"), F.max("unique_pairs_24h_true").alias("peak_pairs_24h"))
+    return SliceLayer(rolling.store, path, compute, ["account_id", "trade_day"], "account_id", "trade_day")

@@ -14,7 +14,8 @@ from tradewatch.plans import harmonise as H
 from tradewatch.plans import rules as R
 from tradewatch.plans.inputs import Inputs
 from tradewatch.plans.present import finish
-from tradewatch.params import DEFAULT_RULES, WIDE_RULES
+from tradewatch.functions.timefn import shift, since
+from tradewatch.params import DEFAULT_FEATURES, DEFAULT_RULES, WIDE_RULES
 from tradewatch.sources import adapters as A
 from tradewatch.sources import raw as RAW
 from tradewatch.session import prepare
@@ -164,6 +165,37 @@ def _roll_7d(i: Inputs) -> DataFrame:
     return aw.select("trade_id", "trade_count_7d", "volume_usd_7d", "avg_trade_size_7d", "trade_size_stddev_7d")
 
 
+def _layers(i: Inputs, name: str, above: bool):
+    """The trades of the features' look-back as they would arrive (``A.arrival_batch``: some come days late), with a
+    refresh of the rolling layer, and of the layer ``above`` it, after each batch."""
+    from tradewatch.operators.logstore import LogStore
+    from tradewatch.session import checkpoint_dir
+    path = checkpoint_dir(i.spark, name)
+    trades = LogStore(i.spark, f"{path}/trades", FE.base_trades(i.trades, T_AS_OF).schema, ["trade_id"], day="trade_ts")
+    rolling = FE.rolling_layer(trades, f"{path}/rolling")
+    days = FE.account_day_layer(rolling, f"{path}/account_days")
+    events = i.events.filter(since("ts", T_AS_OF, DEFAULT_FEATURES.base_days, "day")).withColumn("_b", A.arrival_batch(15))
+    for b in [r["_b"] for r in events.select("_b").distinct().orderBy("_b").collect()]:
+        trades.append(FE.base_trades(A.trades(events.filter(F.col("_b") == b)), T_AS_OF), b)
+        rolling.refresh(b)
+        if above:
+            days.refresh(b)
+    return days if above else rolling
+
+
+@query("trade_rolling_refreshed")
+def _rolling_refreshed(i: Inputs) -> DataFrame:
+    """Rolling features after refreshes of the touched slices only."""
+    return _layers(i, "rolling_layer", above=False).read().select("trade_id", "trade_count_24h", "volume_usd_24h", "price_max_24h", "price_min_24h",
+                                                                 "trade_count_7d", "volume_usd_7d", "avg_trade_size_7d", "unique_pairs_24h_true")
+
+
+@query("account_days_refreshed")
+def _account_days_refreshed(i: Inputs) -> DataFrame:
+    """The layer above the rolling features, refreshed from what each refresh of theirs changed."""
+    return _layers(i, "account_day_layer", above=True).read()
+
+
 @query("trade_ratios")
 def _ratios(i: Inputs) -> DataFrame:
     base = FE.base_trades(i.trades, T_AS_OF)
@@ -778,7 +810,6 @@ def _pipeline_second_run(i: Inputs) -> DataFrame:
     """The whole flow, then a second refresh 26 hours later on the stores of the first. The alerts of the first run
     per type must be those that follow from the tables, every number of broken rows must be zero, and some
     cases must be flagged."""
-    from tradewatch.functions.timefn import shift
     from tradewatch.plans.pipeline import alert_store, refresh, run_pipeline, store_faults
     from tradewatch.session import checkpoint_dir
     out = checkpoint_dir(i.spark, "pipeline")
