@@ -44,6 +44,8 @@ from tradewatch.llm.common import written
 from tradewatch.llm.components import components
 
 BITS = 20
+#: hash ranges whose counts one row carries
+CHUNK = 4096
 #: slots of the filter that keeps texts without a candidate from being shuffled
 SLOT_BITS = 23
 #: groups of one shingle that meet in one task before they are dealt to blocks
@@ -72,36 +74,39 @@ def _ranges(hs: np.ndarray) -> np.ndarray:
 
 
 def _sets(width: int):
-    """Map function: (id, row) of each document to its size and class, and the task's counts of hash ranges."""
-    schema = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("cls", pa.binary()), ("range", pa.int32()), ("count", pa.int64())])
+    """Map function: (id, row) of each document to its size and class, and the task's counts of hash ranges: one row for
+    each ``CHUNK`` ranges, two bytes a count (a count beyond them is spread over several rows)."""
+    schema = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("cls", pa.binary()), ("chunk", pa.int32()), ("counts", pa.list_(pa.int16()))])
 
     def run(batches):
-        seen = np.zeros(1 << BITS, np.int64)
-        none = lambda k, t: pa.nulls(k, t)
+        seen, kind = np.zeros(1 << BITS, np.int64), None
         for batch in batches:
             ids, out = batch.column(0), []
+            kind = ids.type
             for text in batch.column(2):
                 hs = hashes(text.as_py(), width)
                 np.add.at(seen, _ranges(hs), 1)
                 out.append((len(hs), xxhash.xxh128_digest(hs.tobytes())))
             k = len(out)
             yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()),
-                                              none(k, pa.int32()), none(k, pa.int64())], schema=pa.schema([pa.field("id", ids.type), *schema]))
-        found = np.flatnonzero(seen)
-        for some in np.array_split(found, len(found) // 65536 + 1):
-            k = len(some)
-            # the type of the id is that of the input; no batch means no counts
-            if k:
-                yield pa.RecordBatch.from_arrays([none(k, ids.type), none(k, pa.int64()), none(k, pa.int32()), none(k, pa.binary()),
-                                                  pa.array(some.astype(np.int32)), pa.array(seen[some])], schema=pa.schema([pa.field("id", ids.type), *schema]))
+                                              pa.nulls(k, pa.int32()), pa.nulls(k, schema.field("counts").type)], schema=pa.schema([pa.field("id", kind), *schema]))
+        while kind is not None and seen.any():
+            some = np.minimum(seen, 32767).reshape(-1, CHUNK)
+            seen -= some.reshape(-1)
+            for chunk in np.flatnonzero(some.any(axis=1)):
+                counts = pa.array([some[chunk].astype(np.int16)], schema.field("counts").type)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()),
+                                                  pa.array([chunk], pa.int32()), counts], schema=pa.schema([pa.field("id", kind), *schema]))
 
     return run
 
 
 def _marks(counted: DataFrame) -> np.ndarray:
     """1024 * log2 of the occurrences in each hash range, two bytes each, however large the input is."""
-    counts = counted.filter("range IS NOT NULL").groupBy("range").agg(F.sum("count").alias("n"))
-    rows = counts.select("range", F.round(1024 * F.log2("n")).cast("int").alias("mark")).toArrow()
+    # whole chunks are exchanged, and their counts added up where they arrive
+    chunks = counted.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk")
+    counts = chunks.select("chunk", F.posexplode("counts").alias("at", "n")).filter("n > 0").groupBy("chunk", "at").agg(F.sum("n").alias("n"))
+    rows = counts.select((F.col("chunk") * CHUNK + F.col("at")).alias("range"), F.round(1024 * F.log2("n")).cast("int").alias("mark")).toArrow()
     marks = np.zeros(1 << BITS, np.uint64)
     marks[rows["range"].to_numpy()] = rows["mark"].to_numpy()
     return marks.astype(np.uint16)
@@ -187,7 +192,7 @@ class _Join:
         self.spark, self.width, self.num, self.den = docs.sparkSession, width, num, den
         self.docs = docs  # (id, row, text); row is the XXH64 of the text
         kind = docs.schema["id"].dataType.simpleString()
-        out = f"id {kind}, row long, n int, cls binary, range int, count long"
+        out = f"id {kind}, row long, n int, cls binary, chunk int, counts array<smallint>"
         counted = written(docs.mapInArrow(_sets(width), out), "shingle-sets")
         self.rows = counted.filter("cls IS NOT NULL").select("id", "row", "n", "cls")
         marks = self.spark.sparkContext.broadcast(_marks(counted))
