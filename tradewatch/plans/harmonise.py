@@ -164,7 +164,8 @@ def harmonise_transfers(parsed: DataFrame, wallets: DataFrame,
         "token_symbol", "decimals", "event_type", "ingested_at", "raw_record_id",
     )
     if dedup:  # before the look-ups, which add one row for each row
-        t = latest_by(t, ["chain", "tx_hash", "event_id"], ["ingested_at", "raw_record_id"])
+        # the hash first: a sort that starts with one of a few chains compares whole rows
+        t = latest_by(t, ["tx_hash", "event_id", "chain"], ["ingested_at", "raw_record_id"])
     flagged = flagged_wallets(wallets)
     wf = flagged.select(F.col("wallet_address").alias("from_address"), "chain",
                         F.col("is_sanctioned").alias("_f_sanc"), F.col("is_mixer").alias("_f_mix"),

@@ -52,21 +52,25 @@ ONCHAIN_PAYLOAD = T.StructType(
 LOG_PAYLOAD = T.StructType(_s("timestamp", "level", "service", "message"))
 
 CORRUPT = "_corrupt"
+NO_PAYLOAD = "_no_payload"
 
 
 def parse(raw: DataFrame, schema: T.StructType) -> DataFrame:
     """Add ``p`` = payload parsed with ``schema``. Text that is not JSON, or whose typed fields do
     not convert (e.g. a non-numeric price), sets ``p._corrupt`` to the raw text instead of failing
     the job. The parse is the output of a one-row generator: a plain projection would be copied into
-    each of the many references to ``p`` and parse every payload as often."""
+    each of the many references to ``p`` and parse every payload as often. ``_no_payload`` comes out of it
+    too: a filter on ``payload`` itself would be pushed below the generator into the step that makes the
+    payload, and every payload would be made twice."""
     full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     parsed = F.from_json(F.col("payload"), full, opts)
-    return raw.select(*[c for c in raw.columns if c != "p"], F.inline(F.array(F.struct(parsed.alias("p")))))
+    return raw.select(*[c for c in raw.columns if c not in ("p", NO_PAYLOAD)], F.inline(F.array(F.struct(
+        parsed.alias("p"), F.col("payload").isNull().alias(NO_PAYLOAD)))))
 
 
 def _is_bad(unusable: Column | None) -> Column:
-    bad = F.col("payload").isNull() | F.col(f"p.{CORRUPT}").isNotNull()
+    bad = F.col(NO_PAYLOAD) | F.col(f"p.{CORRUPT}").isNotNull()
     return bad if unusable is None else bad | F.coalesce(unusable, F.lit(False))
 
 
@@ -88,7 +92,7 @@ def unusable_amount() -> Column:
 
 def valid(raw: DataFrame, schema: T.StructType, unusable: Column | None = None) -> DataFrame:
     """Rows whose payload parses and is not ``unusable``; ``p`` holds the typed payload struct."""
-    return parse(raw, schema).filter(~_is_bad(unusable))
+    return parse(raw, schema).filter(~_is_bad(unusable)).drop(NO_PAYLOAD)
 
 
 def dead_letters(raw: DataFrame, source_table: str, schema: T.StructType, unusable: Column | None = None) -> DataFrame:
