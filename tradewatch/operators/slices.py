@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from tradewatch.operators.logstore import LogStore
 from tradewatch.operators.windows import latest_by
+from tradewatch.session import cut_lineage
 
 
 class SliceLayer:
@@ -70,10 +71,10 @@ class SliceLayer:
         upto, mark = max(self.source.batches(), default=None) if upto is None else upto, self.mark()
         if upto is None or (mark is not None and mark >= upto):
             return False
-        slices = self.touched(upto)
-        needed = self._near(slices, -self.frame_days, 0)
+        slices = cut_lineage(self.touched(upto))  # these and the rows are read several times
+        needed = cut_lineage(self._near(slices, -self.frame_days, 0))
         days = [r[0] for r in needed.select("_slice_day").distinct().collect()]  # as many as the calendar has
-        rows = self._inside(self.source.read(upto, days=days), self.source.day, needed)
+        rows = cut_lineage(self._inside(self.source.read(upto, days=days), self.source.day, needed))
         made = self._inside(self.compute(rows), self.day, slices)
         self.store.append(made.withColumn("_version", F.lit(upto).cast("long")), upto)
         return True
