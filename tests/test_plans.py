@@ -41,3 +41,14 @@ def test_rolling_windows_partition_by_time_bucket(spark):
                                   "onchain_amounts", "onchain_dead_letters", "dlq_split"])
 def test_payloads_are_parsed_once(spark, name):
     assert plan(spark, name).count("from_json") == 1
+
+
+@pytest.mark.parametrize("name", ["harmonise_transfers", "harmonise_orders_latest", "harmonise_balances_latest"])
+def test_payloads_are_made_once(spark, name):
+    """A filter on the payload, pushed below the parse, made every payload a second time."""
+    assert plan(spark, name).count("StructsToJsonEvaluator") == 1
+
+
+def test_model_reads_features_that_were_computed_once(spark):
+    p = plan(spark, "ml_score")
+    assert "lineitem" not in p and "events" not in p
