@@ -12,7 +12,7 @@ from conftest import rows
 from tradewatch.functions.timefn import epoch_seconds
 from tradewatch.operators import (
     HOT_COPIES, append_deduped, asof_join, either_key_join, frequent_keys, global_row_number, interval_join, latest_by,
-    merge_upsert, rolling, rows_last_non_null, rows_sum, snapshot_diff, top_k,
+    latest_by_stored, merge_upsert, rolling, rows_last_non_null, rows_sum, snapshot_diff, top_k,
 )
 
 T0 = datetime(2024, 1, 1)
@@ -147,6 +147,20 @@ def test_latest_by_null_time_never_wins(spark):
     assert rows(latest_by(df, ["k"], ["ts", "rid"]), "k", "v") == [("o1", "B"), ("o2", "ONLY")]
 
 
+def test_latest_by_stored_shuffles_repeated_keys_only(spark, tmp_path):
+    new = spark.range(4000).select(F.concat(F.lit("k"), F.col("id")).alias("k"), (F.col("id") % 2).alias("c"),
+                                   F.lit(T0).cast("timestamp_ntz").alias("ts"), F.lit("r1").alias("rid"), F.repeat(F.md5(F.col("id").cast("string")), 20).alias("v"))
+    old = new.filter("c = 0 AND length(k) < 4").withColumn("rid", F.lit("r0"))
+    late = new.filter("k = 'k8'").withColumn("ts", F.lit(None).cast("timestamp_ntz")).withColumn("rid", F.lit("r9"))
+    no_key = new.filter("k = 'k8'").withColumn("k", F.lit(None).cast("string"))
+    old.unionByName(new).unionByName(late).unionByName(no_key).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    out = latest_by_stored(df, ["k", "c"], ["ts", "rid"])
+    assert out.columns == df.columns and rows(out) == rows(latest_by(df, ["k", "c"], ["ts", "rid"])) == rows(new)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("Exchange hashpartitioning") == 1  # of the repeated keys
+
+
 def test_merge_upsert_idempotent(spark):
     tgt = spark.createDataFrame([("w1", "x", 1), ("w2", "y", 2)], "id string, a string, n int")
     src = spark.createDataFrame([("w2", "z", 9), ("w3", "q", 3)], "id string, a string, n int")
