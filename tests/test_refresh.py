@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tradewatch.params import DEFAULT_RULES
 from tradewatch.plans import cases as CA
+from tradewatch.plans import features as FE
 from tradewatch.plans import governance as GV
 from tradewatch.plans import harmonise as H
 from tradewatch.plans import rules as R
@@ -42,6 +43,35 @@ def test_raw_amounts_and_their_dead_letters(spark):
     assert [r["error_message"] for r in dead.orderBy("raw_payload").collect()] == ["MALFORMED_JSON"] + ["TYPE_MISMATCH"] * 3
 
 
+def test_stored_feeds_give_the_same_rows(spark, tmp_path):
+    tx = lambda n, **f: '{"tx_hash":"%s","event_id":"%s","chain":"c","from_address":"A","ingested_at":"%s"}' % (
+        f.get("tx", n), n, f.get("at", "2024-01-01 00:00:00"))
+    payloads = [tx("1"), tx("2"), tx("2", at="2024-01-02 00:00:00"), tx("2", at="never"), tx("3"), tx("3"), tx("3", tx="2"), "{"]
+    raw = spark.createDataFrame([(str(n), datetime(2024, 1, 1), "s", "k", p) for n, p in enumerate(payloads)], ENVELOPE)
+    raw.write.parquet(str(tmp_path / "raw"))
+    raw = spark.read.parquet(str(tmp_path / "raw"))
+    wallets = spark.createDataFrame([("a", "c", True, False, 9.0)], "wallet_address string, chain string, is_sanctioned boolean, is_mixer boolean, risk_score double")
+    out = H.harmonise_transfers(H.parse_onchain(raw), wallets, stored=True)
+    assert rows(out, "raw_record_id") == [("0",), ("2",), ("5",), ("6",)]
+    assert {str(r) for r in out.collect()} == {str(r) for r in H.harmonise_transfers(H.parse_onchain(raw), wallets).collect()}
+    trades = raw.withColumn("payload", F.regexp_replace("payload", '"tx_hash"', '"account_id":"u","trade_id"'))
+    trades = H.parse_trades(trades)
+    out = H.harmonise_trades(trades, stored=True)
+    assert rows(out, "raw_record_id") == [("0",), ("5",), ("6",)]
+    assert {str(r) for r in out.collect()} == {str(r) for r in H.harmonise_trades(trades).collect()}
+
+
+def test_trade_features_joins_by_trade_id_in_one_go(spark):
+    start = datetime(2024, 1, 1)
+    trades = spark.createDataFrame([("t1", "o1", "u1", "w", True, "V", "A-B", "A", "B", "BUY", 2.0, 3.0, 6.0, start)],
+                                   "trade_id string, order_id string, account_id string, wallet_id string, is_maker boolean, venue string, trading_pair string, base_asset string, "
+                                   "quote_asset string, side string, price double, quantity double, quote_qty double, trade_ts timestamp_ntz")
+    orders = spark.createDataFrame([], "order_id string, account_id string, venue string, trading_pair string, state string, event_ts timestamp_ntz")
+    plan = FE.trade_features(trades, orders, "2024-01-01 12:00:00")._jdf.queryExecution().analyzed().toString()
+    joined = [line for line in plan.splitlines() if "Join LeftOuter, (account_id" in line or "Join LeftOuter, (trade_id" in line]
+    assert "account_id" in joined[0] and all("trade_id" in line for line in joined[1:3])
+
+
 def test_links_replace_the_open_alerts_only(spark):
     alerts = spark.createDataFrame([("a1", "e1", "OPEN", None, 0), ("a2", "e2", "OPEN", None, 0), ("a3", "e1", "CLOSED", "c0", 0)],
                                    "alert_id string, entity_id string, status string, case_id string, x int")
