@@ -299,6 +299,32 @@ def test_line_dedup_equals_brute_force(spark, docs):
     assert line_dedup.summary(corpus.empty(spark)).count() == 0
 
 
+def test_lines_that_share_few_words_are_not_read_again(spark, monkeypatch):
+    rnd, sizes, write = random.Random(3), {}, line_dedup.written
+
+    def counted(df, name):
+        sizes[name] = (out := write(df, name)).count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    # long lines: each two share a rare word and few others, and a bitmap of 64 bits cannot tell them apart
+    lines = [[f"rare{i // 2}", *(f"w{k}" for k in rnd.sample(range(5000), 299))] for i in range(200)]
+    near = [["first", "of", "near", "copies", *(f"n{i}" for i in range(40))], ["first", "of", "near", "copies", *(f"n{i}" for i in range(39)), "other"]]
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(lines + near)] + [(999, " \t ".join(near[0])), (1000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in line_dedup.removed_lines(df).collect()} == lines_brute(rows) == {201: [0], 999: [0]}
+    assert sizes["line-candidates"] > 100 and sizes["line-words"] < 20  # 32768 slots at least: hardly a line passes by chance
+
+
+def test_marked_rows_hold_every_key(spark):
+    rows = spark.range(50_000).selectExpr("id AS cls", "named_struct('a', id, 'b', if(id % 3 = 0, null, id)) AS place")
+    for key in ("cls", "place"):
+        keys = rows.filter("cls % 100 = 7")
+        for some, most in ((keys, 1500), (keys.limit(0), 0)):
+            got = {r.cls for r in line_dedup._marked(rows, key, some, 64).collect()}
+            assert got >= {r.cls for r in some.collect()} and len(got) <= most
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     shared = "a line that stands in many of the texts"
     rows = [(1, f"{shared}\nown line of the first text"), (None, f"{shared}\nnothing like it anywhere else"), (None, "unique first words here\nsecond of them"),

@@ -8,9 +8,16 @@ The join is a prefix join. Words are ordered by rarity, and two similar sets mus
 their first ``n - ceil(t * n) + 1``. Rows (word, position, size, class, bitmap) are joined on the
 word under the length filter, the positional filter (words left after the shared one) and a bitmap
 filter (the parity bitmaps of two sets differ in at most as many bits as the sets do in words).
-Both joins are semi joins: whether a partner exists is asked, pairs are never made. The first keeps
-classes with some partner that the filters cannot rule out; only their lines are read again, and
-the second verifies the Jaccard similarity with earlier lines.
+All joins are semi joins: whether a partner exists is asked, pairs are never made. The first keeps
+classes with some partner that the filters cannot rule out. The second has their prefixes and keeps them at the
+words where they meet a partner first: two similar sets pass all filters at the first word that their
+prefixes share, so they need to meet only there. What they share is at most the words common to both
+prefixes and the rest of the set whose prefix ends first. Only the lines of classes that are left are read again, and
+the third verifies the Jaccard similarity with earlier lines. Rows of the first two carry 31 bits of a word:
+equal bits of different words add candidates, which the last join, on whole codes, rules out.
+
+Classes and lines are found again by bitmaps of the hashes of their keys, which are broadcast, so texts are
+not shuffled. What passes a bitmap by chance is dropped by the join on the key itself.
 
 Rarity: occurrences are counted in ``2 ** BITS`` hash ranges of the words over all documents; the
 table is a constant of that many bytes in the plan. Any order of words gives the same result; the
@@ -34,17 +41,23 @@ from pyspark.sql import functions as F
 from tradewatch.llm.common import written
 
 BITS = 18
+#: bits of the largest bitmap, 2 ** 28 (32 MB): with many more keys more rows pass by chance, and are shuffled
+MOST_SLOTS = 28
 _SPACES = "[\\x20\\x09-\\x0D]+"
 _LOW56 = (1 << 56) - 1
 
 
 def _words(line: Column) -> Column:
-    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _SPACES)
+    """Words of a line that has some. Most lines have one space between words, which needs no pattern."""
+    odd = line.rlike("[\\t\\x0B-\\x0D]") | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(odd, F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _SPACES)).otherwise(F.split(line, " "))
 
 
 def rarity(docs: DataFrame, text_col: str) -> str:
     """One character per hash range of words: 4 * log2 of its occurrences, rounded (32 added)."""
-    w = docs.select(F.explode(F.split(F.col(text_col), _SPACES)).alias("w"))
+    text = F.col(text_col)
+    plain = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")
+    w = docs.select(F.explode(F.when(text.rlike("[\\t\\x0B-\\x0D]"), F.split(text, _SPACES)).otherwise(plain)).alias("w"))
     counts = w.groupBy(F.pmod(F.xxhash64("w"), F.lit(1 << BITS)).alias("range")).count()
     marks = counts.select("range", F.chr(F.least(F.round(4 * F.log2(F.col("count"))), F.lit(90)).cast("int") + 32).alias("mark"))
     every = docs.sparkSession.range(1 << BITS).select(F.col("id").alias("range")).join(marks, "range", "left")
@@ -57,10 +70,10 @@ def rarity(docs: DataFrame, text_col: str) -> str:
 
 def _codes(line: Column, marks: str) -> Column:
     """Distinct words as numbers in order of rarity: the mark of the hash range above 56 hash bits."""
-    table = F.lit(marks).cast("binary")
+    table = F.split(F.lit(",".join(str(ord(m)) for m in marks)), ",").cast("array<bigint>")  # a constant of the plan
     hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
-    mark = lambda h: F.ascii(F.substring(table, F.pmod(h, F.lit(1 << BITS)).cast("int") + 1, 1).cast("string"))
-    codes = F.transform(hashes, lambda h: F.shiftleft(mark(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW56))))
+    mark = lambda h: F.coalesce(F.get(table, h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")), F.lit(0).cast("long"))
+    codes = F.transform(hashes, lambda h: F.shiftleft(mark(h), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW56))))
     return F.sort_array(F.array_distinct(codes))
 
 
@@ -92,11 +105,33 @@ def _sets(lines: DataFrame, marks: str) -> DataFrame:
     return out.select("place", "codes", F.size("codes").alias("n"), F.xxhash64("codes").alias("cls"))
 
 
+def _slot(key: str, slots: int) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit(slots - 1))
+
+
+def key_bitmap(keys: DataFrame, key: str, per_row: int) -> tuple[DataFrame, int]:
+    """(bucket, bitmap) of the slots that ``key`` has in ``keys``, 32768 to a bucket, and the number of
+    slots, ``per_row`` or more for each row."""
+    slots = 1 << min(MOST_SLOTS, max(15, (per_row * keys.count()).bit_length()))
+    taken = keys.select((_slot(key, slots) + 1).alias("slot"))  # both functions count from 1
+    return taken.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")), slots
+
+
+def _marked(rows: DataFrame, key: str, keys: DataFrame, per_row: int) -> DataFrame:
+    """Every row whose ``key`` is in ``keys``, and few others."""
+    bitmap, slots = key_bitmap(keys, key, per_row)
+    at = rows.withColumn("slot", _slot(key, slots)).withColumn("bucket", F.shiftright("slot", 15) + 1)
+    byte = F.substring("bitmap", F.shiftright(F.col("slot").bitwiseAND(F.lit(32767)), 3).cast("int") + 1, F.lit(1))
+    hit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("long"), F.col("slot").bitwiseAND(F.lit(7)).cast("int"))
+    return at.join(F.broadcast(bitmap), "bucket").filter(hit == 1).select(*rows.columns)
+
+
 def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5) -> DataFrame:
     """Rows of ``told_apart`` to (place, removed): every line with words, and whether an earlier line is similar."""
     marks = rarity(docs, text_col)
     lines = _lines(docs, id_col, text_col)
     prefix = F.slice("codes", F.lit(1), F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("int") + 1)
+    prefix = F.transform(prefix, lambda c: c.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     bitmap = F.expr("aggregate(codes, 0L, (b, c) -> b ^ shiftleft(1L, cast(c & 63 AS int)))")
     sets = written(_sets(lines, marks).select("place", "cls", "n", bitmap.alias("bits"), prefix.alias("prefix")), "line-sets")
     firsts = written(sets.groupBy("cls").agg(F.min(F.struct("place", "n", "bits", "prefix")).alias("f")).select("cls", "f.*"), "line-classes")
@@ -107,22 +142,26 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # for the first shared word in the order nothing before it is shared; one such row is enough
     left_over = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     apart = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
+    even = enough(F.floor((F.col("x.n") + F.col("y.n") - apart) / 2))
+    same_word = (F.col("x.word") == F.col("y.word")) & (F.col("x.cls") != F.col("y.cls")) & close_size
     rows = firsts.select("cls", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
-    possible = rows.alias("x").join(rows.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.cls") != F.col("y.cls")) & close_size
-                                    & enough(left_over) & enough(F.floor((F.col("x.n") + F.col("y.n") - apart) / 2)), "left_semi")
+    possible = rows.alias("x").join(rows.alias("y"), same_word & enough(left_over) & even, "left_semi")
     possible = written(possible.select("cls", "word"), "line-candidates")  # partners meet at one of these words
 
-    live = firsts.join(possible.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("place").alias("own"))
-    wanted = live.select(*(F.col(f"own.{c}").alias(f"{c}2") for c in ("doc_id", "hash", "copy", "line_no"))).distinct()
-    found = lines.select("place", "line", "place.*").join(
-        wanted, F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("hash") == F.col("hash2")) & (F.col("copy") == F.col("copy2"))
-        & (F.col("line_no") == F.col("line_no2")), "left_semi").select("place", "line")
-    found = _sets(found, marks).join(live, "cls").filter(F.col("place") == F.col("own")).dropDuplicates(["cls"])
-    found = written(found.select("cls", "place", "n", "codes"), "line-words").join(possible, "cls")
+    # in the next joins both sides have the same columns, so that one exchange serves both
+    heads = _marked(firsts, "cls", possible, 8).select("cls", "n", "bits", F.array_distinct("prefix").alias("prefix")).join(possible, "cls")
+    common = F.array_intersect("x.prefix", "y.prefix")  # in the order of x; equal bits of two words count in the rest
+    rest = F.greatest(F.col("x.n") - F.size("x.prefix"), F.col("y.n") - F.size("y.prefix"))
+    meet = heads.alias("x").join(heads.alias("y"), same_word & even & (F.get(common, F.lit(0)) == F.col("x.word")) & enough(F.size(common) + rest), "left_semi")
+    meet = written(meet.select("cls", "word").distinct(), "line-meetings")
+
+    live = _marked(firsts.select("cls", "place"), "cls", meet, 8).join(meet.select("cls").distinct(), "cls", "left_semi")
+    live = written(live.select("cls", F.col("place").alias("own")), "line-live")
+    words = _sets(_marked(lines, "place", live.select(F.col("own").alias("place")), 64), marks)
+    words = written(words.select("cls", "place", "n", "codes"), "line-words")
+    found = words.join(live, "cls").filter(F.col("place") == F.col("own")).drop("own").join(meet, "cls")
     shared = F.size(F.array_intersect("x.codes", "y.codes"))
-    # both sides have the same columns, so that one exchange serves both
-    later = found.alias("x").join(found.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.cls") != F.col("y.cls"))
-                                  & (F.col("y.place") < F.col("x.place")) & close_size & enough(shared), "left_semi")
+    later = found.alias("x").join(found.alias("y"), same_word & (F.col("y.place") < F.col("x.place")) & enough(shared), "left_semi")
     later = later.select("cls").distinct().withColumn("similar", F.lit(True))
     judged = sets.select("place", "cls").join(firsts.select("cls", F.col("place").alias("first")), "cls").join(later, "cls", "left")
     return judged.select("place", (F.coalesce("similar", F.lit(False)) | (F.col("first") < F.col("place"))).alias("removed"))
