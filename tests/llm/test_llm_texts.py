@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm import corpus
-from tradewatch.llm import decontaminate, lcp_merge, lm_score, line_dedup, quality, queries, simhash, substring_dedup
+from tradewatch.llm import components, decontaminate, lcp_merge, lm_score, line_dedup, quality, queries, simhash, substring_dedup
 
 
 @pytest.fixture(scope="module")
@@ -73,6 +74,22 @@ def test_simhash_groups_equal_brute_force(spark, docs):
     assert got_fp == Counter((r[0], fp_brute(r[1])) for r in rows)
 
 
+def test_no_side_of_the_links_and_components_is_broadcast(spark):
+    # three fingerprints within one block: both balls have rows, and the planner takes them for a few hundred bytes
+    prints = [(0, 0, 0, 0), (0, 0, 7, 0), (0, 0, 3, 0)]
+    near = spark.createDataFrame(prints, "t int, v long, d long, fp long").withColumn("fp", F.col("d"))
+    near = near.withColumn("rep", F.col("fp"))
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    for df in (simhash._one_bit_apart(near), simhash._three_in_one_block(near), components._large_star(edges), components._small_star(edges)):
+        assert df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    table = spark.createDataFrame([(1, 0), (2, 7), (3, 1 << 40), (4, 1 << 41)], "doc_id long, fp long")
+    out = simhash.near_duplicates(table)
+    assert sorted((r.doc_id, r.component_id) for r in out.collect()) == [(1, 1), (2, 1), (3, 1), (4, 1)]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_keep_one_keeps_the_smallest_id_of_each_group(spark, docs):
     df, rows = docs
     groups = {}

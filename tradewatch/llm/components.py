@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewatch.llm.common import written
+from tradewatch.llm.common import sorted_side, written
 
 
 def _both_ways(e: DataFrame) -> DataFrame:
@@ -22,14 +22,14 @@ def _large_star(e: DataFrame) -> DataFrame:
     """Every larger neighbour of u is tied to the smallest node around u."""
     n = _both_ways(e)
     least = n.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return n.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return n.filter("b > a").join(sorted_side(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """u (the larger end of every edge) and its smaller neighbours are tied to the least of them."""
     e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = e.groupBy("a").agg(F.min("b").alias("m"))
-    out = e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = e.join(sorted_side(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return out.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 

@@ -21,6 +21,7 @@ No pairs are made within a group. Members of a variant whose left-out values are
 within two bits of each other, so a star to the smallest one keeps every component; the second
 ball ties smallest members to smallest members. Every link is still verified by its bit count.
 Equal fingerprints (exact copies, texts without words) are one node with its smallest id.
+No side of these joins is broadcast: the planner sizes a ball by the rows before its flips are made.
 
 Defined results: NULL texts count as empty; texts without words have fingerprint zero, fewer
 words than a shingle give one shingle of all words. A group whose ids are all NULL has a NULL
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewatch.llm.common import written
+from tradewatch.llm.common import sorted_side, written
 from tradewatch.llm.components import components
 
 #: bit ranges of the three blocks
@@ -150,7 +151,7 @@ def _one_bit_apart(near: DataFrame) -> DataFrame:
     ones = _table([[1 << b for b in range(lo, hi)] for lo, hi in BLOCKS])
     ball = reps.select("t", "v", "d", F.col("fp").alias("a"), _flipped(ones).alias("f"))
     ball = ball.select("t", "v", "a", F.col("d").bitwiseXOR(F.col("f")).alias("d"))
-    return ball.join(reps.withColumnRenamed("fp", "b"), ["t", "v", "d"]).filter("a < b").select("a", "b")
+    return ball.join(sorted_side(reps.withColumnRenamed("fp", "b")), ["t", "v", "d"]).filter("a < b").select("a", "b")
 
 
 def _three_in_one_block(near: DataFrame) -> DataFrame:
@@ -164,7 +165,7 @@ def _three_in_one_block(near: DataFrame) -> DataFrame:
     one, two = (same.select("t", "v", "d", "fp", _flipped(x).alias("f"))
                 .select("t", "v", "fp", F.col("d").bitwiseXOR(F.col("f")).alias("d")) for x in (ones, twos))
     one = one.groupBy("t", "v", "d").agg(F.min("fp").alias("a"))
-    return two.withColumnRenamed("fp", "b").join(one, ["t", "v", "d"]).filter("a <> b").select("a", "b")
+    return two.withColumnRenamed("fp", "b").join(sorted_side(one), ["t", "v", "d"]).filter("a <> b").select("a", "b")
 
 
 def near_duplicates(prints: DataFrame, id_col: str = "doc_id", max_distance: int = 3) -> DataFrame:
@@ -172,10 +173,10 @@ def near_duplicates(prints: DataFrame, id_col: str = "doc_id", max_distance: int
     component, and ``component_id``, the smallest id in it."""
     nodes = written(prints.groupBy("fp").agg(F.min(id_col).alias("_least")), "fingerprints")
     found = components(links(nodes.select("fp"), max_distance))
-    roots = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group_fp", F.coalesce("root", "fp"))
+    roots = nodes.join(sorted_side(found.withColumnRenamed("node", "fp")), "fp", "left").withColumn("group_fp", F.coalesce("root", "fp"))
     ids = roots.groupBy("group_fp").agg(F.min("_least").alias("component_id"))
-    members = written(roots.join(ids, "group_fp").select("fp", "group_fp", "component_id"), "members")
-    return prints.drop("component_id", "group_fp").join(members, "fp")
+    members = written(roots.join(sorted_side(ids), "group_fp").select("fp", "group_fp", "component_id"), "members")
+    return prints.drop("component_id", "group_fp").join(sorted_side(members), "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
