@@ -287,6 +287,21 @@ def test_pipeline_stages_are_the_operators(spark):
     assert Counter(map(tuple, corpus_pipeline.run(spark, SF).collect())) == Counter(map(tuple, last))
 
 
+def test_near_dedup_stage_writes_no_table_by_way_of_a_broadcast(spark, docs, monkeypatch):
+    df, rows = docs
+    plans = {}
+
+    def seen(df, name, written=simhash.written):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(simhash, "written", seen)
+    monkeypatch.setattr("tradewatch.llm.components.written", seen)
+    kept = corpus_pipeline.simhash_near_dedup(spark, df, SF)
+    assert 0 < kept.count() < len(rows)
+    assert {"met", "edges", "members"} <= set(plans) and not [n for n, ps in plans.items() if "Broadcast" in "".join(ps)]
+
+
 def test_simhash_of_unlabelled_links_is_validated(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.range(1).withColumnRenamed("id", "fp"), 5)
