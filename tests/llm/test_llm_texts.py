@@ -74,6 +74,28 @@ def test_simhash_groups_equal_brute_force(spark, docs):
     assert got_fp == Counter((r[0], fp_brute(r[1])) for r in rows)
 
 
+def test_long_lines_that_share_words_are_no_candidates(spark, monkeypatch):
+    rng, counted = random.Random(5), {}
+    pool = [f"w{k}" for k in range(400)]
+    lines = [rng.sample(pool, 160) for _ in range(12)]
+    texts = [(k, " ".join(w)) for k, w in enumerate(lines)]
+
+    def seen(df, name, written=line_dedup.written):
+        out = written(df, name)
+        counted[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", seen)
+    out = line_dedup.summary(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert counted["line-classes"] == 12 and counted["line-candidates"] == 0 and not any(r.n_removed for r in out)
+    # one with 8 other words, one with 40 other words, white space of all kinds
+    texts.append((20, "\t" + "  ".join(lines[3][8:] + [f"x{k}" for k in range(8)])))
+    texts.append((21, " ".join(lines[4][40:] + [f"y{k}" for k in range(40)])))
+    texts += [(22, " \t\r\n \x0b\n\n" + "\x0c".join(lines[5])), (23, None), (24, "")]
+    out = line_dedup.summary(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.removed) for r in out if r.n_removed) == [(20, "0"), (22, "3")]
+
+
 def test_no_side_of_the_links_and_components_is_broadcast(spark):
     # three fingerprints within one block: both balls have rows, and the planner takes them for a few hundred bytes
     prints = [(0, 0, 0, 0), (0, 0, 7, 0), (0, 0, 3, 0)]

@@ -7,7 +7,8 @@ line stands for it, the later ones go at once; the join sees classes only.
 The join is a prefix join. Words are ordered by rarity, and two similar sets must share a word among
 their first ``n - ceil(t * n) + 1``. Rows (word, position, size, class, bitmap) are joined on the
 word under the length filter, the positional filter (words left after the shared one) and a bitmap
-filter (the parity bitmaps of two sets differ in at most as many bits as the sets do in words).
+filter (the parity bitmaps of two sets differ in at most as many bits as the sets do in words). Long sets
+also have the half of a bitmap of 128 bits; the other half is what the one of 64 bits differs from it in.
 All joins are semi joins: whether a partner exists is asked, pairs are never made. The first keeps
 classes with some partner that the filters cannot rule out. The second has their prefixes and keeps them at the
 words where they meet a partner first: two similar sets pass all filters at the first word that their
@@ -35,6 +36,8 @@ come last, and every row without an id is a document of its own, equal texts inc
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,22 +46,34 @@ from tradewatch.llm.common import written
 BITS = 18
 #: bits of the largest bitmap, 2 ** 28 (32 MB): with many more keys more rows pass by chance, and are shuffled
 MOST_SLOTS = 28
+#: sets of so many words have a bitmap of 128 bits: parities of 64 bits say little of more than about 140 words
+LONG = 96
 _SPACES = "[\\x20\\x09-\\x0D]+"
+_TABS = "\t\x0b\x0c\r"  # the line feed ends a line
 _LOW56 = (1 << 56) - 1
 
 
+def _has(text: Column, parts) -> Column:
+    """Whether one of ``parts`` is in the text. Bytes are compared, which takes less time than a pattern."""
+    return reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in parts])
+
+
+def _odd(line: Column) -> Column:
+    """Whether a line is other than words with one space in between."""
+    return _has(line, [*_TABS, "  "]) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+
+
 def _words(line: Column) -> Column:
     """Words of a line that has some. Most lines have one space between words, which needs no pattern."""
-    odd = line.rlike("[\\t\\x0B-\\x0D]") | F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
-    return F.when(odd, F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _SPACES)).otherwise(F.split(line, " "))
+    return F.when(_odd(line), F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _SPACES)).otherwise(F.split(line, " "))
 
 
 def rarity(docs: DataFrame, text_col: str) -> str:
     """One character per hash range of words: 4 * log2 of its occurrences, rounded (32 added)."""
     text = F.col(text_col)
     plain = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")
-    w = docs.select(F.explode(F.when(text.rlike("[\\t\\x0B-\\x0D]"), F.split(text, _SPACES)).otherwise(plain)).alias("w"))
-    counts = w.groupBy(F.pmod(F.xxhash64("w"), F.lit(1 << BITS)).alias("range")).count()
+    w = docs.select(F.explode(F.when(_has(text, _TABS), F.split(text, _SPACES)).otherwise(plain)).alias("w"))
+    counts = w.groupBy(F.xxhash64("w").bitwiseAND(F.lit((1 << BITS) - 1)).alias("range")).count()
     marks = counts.select("range", F.chr(F.least(F.round(4 * F.log2(F.col("count"))), F.lit(90)).cast("int") + 32).alias("mark"))
     every = docs.sparkSession.range(1 << BITS).select(F.col("id").alias("range")).join(marks, "range", "left")
     # at most 2 ** BITS rows, whatever the input; rows of 4096 ranges first, then one text
@@ -72,7 +87,7 @@ def _codes(line: Column, marks: str) -> Column:
     """Distinct words as numbers in order of rarity: the mark of the hash range above 56 hash bits."""
     table = F.split(F.lit(",".join(str(ord(m)) for m in marks)), ",").cast("array<bigint>")  # a constant of the plan
     hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
-    mark = lambda h: F.coalesce(F.get(table, h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")), F.lit(0).cast("long"))
+    mark = lambda h: F.get(table, h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))
     codes = F.transform(hashes, lambda h: F.shiftleft(mark(h), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW56))))
     return F.sort_array(F.array_distinct(codes))
 
@@ -101,7 +116,8 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sets(lines: DataFrame, marks: str) -> DataFrame:
     """(place, codes, n, cls) of the lines that have words."""
-    out = lines.filter(F.length(F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))) > 0).select("place", _codes(F.col("line"), marks).alias("codes"))
+    some = F.when(_odd(F.col("line")), F.col("line").rlike("[^\\x20\\x09-\\x0D]")).otherwise(F.col("line") != "")
+    out = lines.filter(some).select("place", _codes(F.col("line"), marks).alias("codes"))
     return out.select("place", "codes", F.size("codes").alias("n"), F.xxhash64("codes").alias("cls"))
 
 
@@ -133,23 +149,26 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prefix = F.slice("codes", F.lit(1), F.col("n") - F.ceil(F.col("n") * num / F.lit(den)).cast("int") + 1)
     prefix = F.transform(prefix, lambda c: c.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     bitmap = F.expr("aggregate(codes, 0L, (b, c) -> b ^ shiftleft(1L, cast(c & 63 AS int)))")
-    sets = written(_sets(lines, marks).select("place", "cls", "n", bitmap.alias("bits"), prefix.alias("prefix")), "line-sets")
-    firsts = written(sets.groupBy("cls").agg(F.min(F.struct("place", "n", "bits", "prefix")).alias("f")).select("cls", "f.*"), "line-classes")
+    half = F.expr(f"CASE WHEN n >= {LONG} THEN aggregate(codes, 0L, (b, c) -> b ^ shiftleft(shiftright(c, 6) & 1L, cast(c & 63 AS int))) ELSE 0L END")
+    sets = written(_sets(lines, marks).select("place", "cls", "n", bitmap.alias("bits"), half.alias("half"), prefix.alias("prefix")), "line-sets")
+    firsts = written(sets.groupBy("cls").agg(F.min(F.struct("place", "n", "bits", "half", "prefix")).alias("f")).select("cls", "f.*"), "line-classes")
 
     # an overlap of o is enough if o / (n + m - o) >= num / den, that is (num + den) * o >= num * (n + m)
     enough = lambda o: (num + den) * o >= num * (F.col("x.n") + F.col("y.n"))
     close_size = (den * F.col("x.n") >= num * F.col("y.n")) & (den * F.col("y.n") >= num * F.col("x.n"))
     # for the first shared word in the order nothing before it is shared; one such row is enough
     left_over = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    apart = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
-    even = enough(F.floor((F.col("x.n") + F.col("y.n") - apart) / 2))
+    bits, half = F.col("x.bits").bitwiseXOR(F.col("y.bits")), F.col("x.half").bitwiseXOR(F.col("y.half"))
+    at_most = lambda apart: F.shiftright(F.col("x.n") + F.col("y.n") - apart, 1)
+    both_long = (F.col("x.n") >= LONG) & (F.col("y.n") >= LONG)
+    even = enough(at_most(F.bit_count(bits))) & (~both_long | enough(at_most(F.bit_count(half) + F.bit_count(bits.bitwiseXOR(half)))))
     same_word = (F.col("x.word") == F.col("y.word")) & (F.col("x.cls") != F.col("y.cls")) & close_size
-    rows = firsts.select("cls", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
+    rows = firsts.select("cls", "n", "bits", "half", F.posexplode("prefix").alias("pos", "word"))
     possible = rows.alias("x").join(rows.alias("y"), same_word & enough(left_over) & even, "left_semi")
     possible = written(possible.select("cls", "word"), "line-candidates")  # partners meet at one of these words
 
     # in the next joins both sides have the same columns, so that one exchange serves both
-    heads = _marked(firsts, "cls", possible, 8).select("cls", "n", "bits", F.array_distinct("prefix").alias("prefix")).join(possible, "cls")
+    heads = _marked(firsts, "cls", possible, 8).select("cls", "n", "bits", "half", F.array_distinct("prefix").alias("prefix")).join(possible, "cls")
     common = F.array_intersect("x.prefix", "y.prefix")  # in the order of x; equal bits of two words count in the rest
     rest = F.greatest(F.col("x.n") - F.size("x.prefix"), F.col("y.n") - F.size("y.prefix"))
     meet = heads.alias("x").join(heads.alias("y"), same_word & even & (F.get(common, F.lit(0)) == F.col("x.word")) & enough(F.size(common) + rest), "left_semi")
