@@ -12,6 +12,7 @@ from tradewatch.plans import cases as CA
 from tradewatch.plans import features as FE
 from tradewatch.plans import governance as GV
 from tradewatch.plans import harmonise as H
+from tradewatch.plans import reports as RP
 from tradewatch.plans import rules as R
 from tradewatch.plans.pipeline import since_part
 from tradewatch.sources import raw as RAW
@@ -108,3 +109,19 @@ def test_wash_tolerance_of_any_size(spark, tolerance):
     p = replace(DEFAULT_RULES, wash_qty_pct=tolerance)
     want = {("b1", s) for s, q in (("s1", 10.2), ("s2", 25.0), ("s3", 0.5)) if abs(10 - q) / 10 < tolerance}
     assert set(rows(R.wash_trades(trades, "2024-01-31 00:00:00", p), "buy_trade_id", "sell_trade_id")) == want
+
+
+def test_health_check_of_a_written_table_shuffles_hashes_of_wide_keys(spark, tmp_path):
+    keys = ["chain", "tx_hash", "event_id"]
+    data = [("a", "t1", "e1"), ("a", "t1", "e1"), ("a", "t1", "e1"), ("a", "t1", None), ("a", None, "t1"), ("a", None, "t1"),
+            (None, None, None), (None, None, None), ("b", "t2", "e2"), ("b", "t2", "e3")]
+    schema = "chain string, tx_hash string, event_id string"
+    for name, given in (("full", data), ("none", []), ("single", data[-2:]), ("pairs", data[:3] * 2)):
+        spark.createDataFrame(given, schema).write.parquet(f"{tmp_path}/{name}")
+        table = spark.read.parquet(f"{tmp_path}/{name}")
+        plain = RP.health_check({"t": (table, keys, 3)}).collect()
+        by_hash = RP.health_check({"t": (table, keys, 3)}, stored=("t",))
+        assert by_hash.collect() == plain and by_hash.dtypes == RP.health_check({"t": (table, keys, 3)}).dtypes
+        assert plain[0].row_count == len(given) and plain[0].duplicate_keys == len(given) - len(set(given))
+    plan = by_hash._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "Cross" not in plan
